@@ -40,6 +40,11 @@ def mean(trace: Column) -> Column:
     return F.try_divide(total(trace), F.size(trace).cast("double"))
 
 
+def against(trace: Column, scalar: Column, combine) -> Column:
+    """Combine every element with one per-row value, which is computed once per row."""
+    return F.zip_with(trace, F.array_repeat(scalar, F.size(trace)), combine)
+
+
 def nanmean(trace: Column) -> Column:
     return mean(usable(trace))
 

@@ -25,10 +25,7 @@ def relative_change(trace: Column | str, start: Column, end: Column) -> Column:
     trace = A.col(trace)
     f0 = baseline(trace, start, end)
     divisor = F.when(f0 == 0, 1.0).otherwise(f0)
-    # F0 enters the lambda through a one-element array, so it is computed once per row.
-    return F.flatten(
-        F.transform(F.array(divisor), lambda f: F.transform(trace, lambda v: v / f - 1))
-    )
+    return A.against(trace, divisor, lambda v, f: v / f - 1)
 
 
 def dff(traces: DataFrame, backgrounds: DataFrame) -> DataFrame:
@@ -64,7 +61,7 @@ def ratio_change(traces1: DataFrame, traces2: DataFrame, area: DataFrame, backgr
     with_ratio = joined.withColumn("ratio", ratio)
     base = A.mean(A.span(F.col("ratio"), F.col("bg_start"), F.col("bg_end")))
     return with_ratio.withColumn("base", base).select(
-        "measu", "x", "y", F.transform("ratio", lambda r: r - F.col("base")).alias("trace")
+        "measu", "x", "y", A.against(F.col("ratio"), F.col("base"), lambda r, b: r - b).alias("trace")
     )
 
 
@@ -97,7 +94,7 @@ def composite_ratio(
     with_ratio = joined.withColumn("ratio", ratio)
     base = A.mean(A.span(F.col("ratio"), frames[0], frames[1] - 1))
     return with_ratio.withColumn("base", base).select(
-        *key, F.transform("ratio", lambda r: r - F.col("base")).alias("trace")
+        *key, A.against(F.col("ratio"), F.col("base"), lambda r, b: r - b).alias("trace")
     )
 
 

@@ -45,10 +45,12 @@ def rows_of(columns, rows):
 
 
 def compare(spark, con, fn, sql, sf):
+    start = time.time()
     df = fn(spark, sf)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    took = f"spark {time.time() - start:.2f}s"
     if sql is None:
-        return True, f"{len(got[1])} rows, no SQL"
+        return True, f"{len(got[1])} rows, no SQL, {took}"
     con.execute(sql)
     want = rows_of([d[0] for d in con.description], con.fetchall())
     if got[0] != want[0]:
@@ -60,7 +62,7 @@ def compare(spark, con, fn, sql, sf):
     bad = [(g, w) for g, w in zip(got[1], want[1]) if g != w]
     if a != b and bad:
         return False, f"{len(a - b)} differ; spark {sorted(a - b)[:2]} sql {sorted(b - a)[:2]}"
-    return True, f"{len(got[1])} rows"
+    return True, f"{len(got[1])} rows, {took}"
 
 
 def main() -> int:
