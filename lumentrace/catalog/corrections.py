@@ -156,7 +156,7 @@ def facts(spark, sf):
 @query("r9_bleach_weights", sql_over("bg", body=_WEIGHTS + "SELECT measu, t, CAST(w AS DOUBLE) AS w FROM wt"))
 def _(spark, sf):
     w = B.bleach_weights(F.lit(64), F.col("bg_end"), F.col("rate_hz"), _BLEACH, True)
-    return facts(spark, sf).select("measu", F.posexplode(w).alias("t", "w"))
+    return A.unrolled(facts(spark, sf), "measu", trace=w, names=("t", "w"))
 
 
 _CURVE = """, curve AS (SELECT p.measu, p.t, avg(p.v) AS y FROM pixels p GROUP BY ALL)
@@ -189,13 +189,13 @@ def _(spark, sf):
 @query("r12_bleach_pixelwise")
 def _(spark, sf):
     out = B.pixelwise(M.traces(spark, sf), facts(spark, sf), M.area(spark, sf), _BLEACH)
-    return out.select("measu", "x", "y", F.posexplode("trace").alias("t", "v")).withColumn("v", F.round("v", 4))
+    return A.unrolled(out, "measu", "x", "y").withColumn("v", F.round("v", 4))
 
 
 @query("r13_bleach_uniform")
 def _(spark, sf):
     out = B.uniform(M.traces(spark, sf), facts(spark, sf), M.area(spark, sf), _BLEACH)
-    return out.select("measu", "x", "y", F.posexplode("trace").alias("t", "v")).withColumn("v", F.round("v", 4))
+    return A.unrolled(out, "measu", "x", "y").withColumn("v", F.round("v", 4))
 
 
 @query(
@@ -208,13 +208,13 @@ SELECT measu, t, round(avg(CASE WHEN a.x IS NOT NULL THEN r.v ELSE 0 END), 6) AS
 )
 def _(spark, sf):
     curve = B.uniform_curves(M.traces(spark, sf), facts(spark, sf), M.area(spark, sf))
-    return curve.select("measu", F.posexplode("trace").alias("t", "v")).withColumn("v", F.round("v", 6))
+    return A.unrolled(curve, "measu").withColumn("v", F.round("v", 6))
 
 
 @query("r14_bleach_whole_frame")
 def _(spark, sf):
     out = B.whole_frame(signal(spark, sf), facts(spark, sf), M.area(spark, sf), _BLEACH, lamp_noise_sigma=5.0)
-    return out.select("measu", "x", "y", F.posexplode("trace").alias("t", "v")).withColumn("v", F.round("v", 4))
+    return A.unrolled(out, "measu", "x", "y").withColumn("v", F.round("v", 4))
 
 
 @query(

@@ -31,7 +31,7 @@ def signal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def long(traces: DataFrame, digits: int = 6) -> DataFrame:
-    return traces.select("measu", "x", "y", F.posexplode("trace").alias("t", "v")).withColumn("v", F.round("v", digits))
+    return A.unrolled(traces, "measu", "x", "y").withColumn("v", F.round("v", digits))
 
 
 @query("g1_scaled_first", sql_over("pixels", body="SELECT measu, x, y, t, round(v / 1000, 6) AS v FROM pixels"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,4 +90,5 @@ def sql_over(*tables: str, body: str) -> str:
         for name in [*_NEEDS.get(table, []), table]:
             if name not in names:
                 names.append(name)
-    return "WITH " + ",\n".join(_CTES[n] for n in names) + "\n" + body
+    text = "WITH " + ",\n".join(_CTES[n] for n in names) + "\n" + body
+    return re.sub(r'(?<!")\banalyze\b(?!")', '"analyze"', text)  # a keyword in DuckDB

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,30 +74,48 @@ def around(trace: Column, i: Column | int) -> Column:
 
 def fold_index(i: Column, n: Column, edge: str) -> Column:
     """Map an out-of-range position into 0..n-1: ``nearest`` clamps, ``reflect`` mirrors
-    including the border element; ``zero`` leaves it outside."""
+    including the border element."""
     if edge == "nearest":
         return F.greatest(F.lit(0), F.least(i, n - 1))
     if edge == "reflect":
         m = F.pmod(i, 2 * n)
         return F.when(m < n, m).otherwise(2 * n - 1 - m)
-    return i
+    raise ValueError(f"no edge rule {edge!r}")
+
+
+def unrolled(df: DataFrame, *keep: Column | str, trace: Column | str = "trace", names=("t", "v")) -> DataFrame:
+    """One row per element of a computed trace, with its position.
+
+    The outer form is used on purpose: for the inner form the optimizer adds a filter on
+    the array's size, which would compute the whole trace expression a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(trace).alias(*names))
+    return rows.filter(F.col(names[0]).isNotNull())
 
 
 def convolved(trace: Column, weights: list[float], low: int, edge: str) -> Column:
-    """Correlate a trace with ``weights`` whose first weight belongs to offset ``low``."""
-    n = F.size(trace)
-    kernel = F.array(*[F.lit(float(w)) for w in weights])
+    """Correlate a trace with ``weights`` whose first weight belongs to offset ``low``.
 
-    def one(_v: Column, i: Column) -> Column:
-        def add(acc: Column, pair: Column) -> Column:
-            source = fold_index(i + pair["d"], n, edge)
-            value = at(trace, source)
-            return acc + pair["w"] * (F.coalesce(value, F.lit(0.0)) if edge == "zero" else value)
+    The trace is extended at both ends once; every output is then a plain weighted sum
+    over a slice.
+    """
+    n, k = F.size(trace), len(weights)
+    left, right = max(0, -low), max(0, low + k - 1)
+
+    def outside(first: Column | int, count: int) -> Column:
+        if not count:
+            return F.slice(trace, 1, 0)
+        positions = F.transform(F.array(*[F.lit(i) for i in range(count)]), lambda i: i + first)
+        return F.transform(positions, lambda i: F.get(trace, fold_index(i, n, edge).cast("int")))
+
+    extended = F.concat(outside(F.lit(-left), left), trace, outside(n, right))
+    kernel = F.array(*[F.lit(float(w)) for w in weights])
+    skip = max(0, low)  # kernels that start to the right of their target
 
-        pairs = F.transform(kernel, lambda w, j: F.struct(w.alias("w"), (j + low).alias("d")))
-        return F.aggregate(pairs, F.lit(0.0), add)
+    def one(start: Column) -> Column:
+        return total(F.zip_with(F.slice(extended, start + skip, k), kernel, lambda v, w: v * w))
 
-    return F.transform(trace, one)
+    return F.transform(F.sequence(F.lit(1), n), one)
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:

@@ -234,7 +234,7 @@ def apply_feature(traces: DataFrame, name: int | str, ctx: FeatureContext, trace
     """C_apply: feature values of every row, one output row per feature number."""
     values = F.array(*[v.cast("double") for v in feature(name)(F.col(trace), ctx)])
     keep = [c for c in ("measu", "roi", "x", "y") if c in traces.columns]
-    return traces.select(*keep, F.posexplode(values).alias("feature", "value"))
+    return A.unrolled(traces, *keep, trace=values, names=("feature", "value"))
 
 
 # The argument names of a user feature, in order; part of the user-function contract.
@@ -323,7 +323,7 @@ def global_peak_overview(traces: DataFrame, onsets: DataFrame, rate_hz: float) -
 
     marked = join_per_key(traces, onsets, ["measu"], spread=["x", "y"])
     stop = F.col("onset_frame") + int(3 * rate_hz)
-    frames = marked.select("measu", "onset_frame", F.posexplode("trace").alias("t", "v"))
+    frames = A.unrolled(marked, "measu", "onset_frame")
     curve = (
         frames.filter((F.col("t") >= F.col("onset_frame")) & (F.col("t") < stop))
         .groupBy("measu", "t")

@@ -116,7 +116,7 @@ def uniform_curves(traces: DataFrame, facts: DataFrame, mask: DataFrame, masked_
     joined = join_per_key(traces.join(marks, key, "left"), facts, ["measu"], spread=["x", "y"])
     f0 = A.mean(A.span(F.col("trace"), F.col("bg_start"), F.col("bg_end")))
     relative = A.against(F.col("trace"), f0, F.try_divide)
-    frames = joined.select("measu", F.col("in_mask").isNotNull().alias("m"), F.posexplode(relative).alias("t", "v"))
+    frames = A.unrolled(joined, "measu", F.col("in_mask").isNotNull().alias("m"), trace=relative)
     value = F.when(F.col("m"), F.nanvl("v", F.lit(None).cast("double")))
     if not masked_mean:
         value = F.when(F.col("v").isNotNull(), F.when(F.col("m"), F.col("v")).otherwise(0.0))
@@ -156,7 +156,7 @@ def whole_frame(
     the curve.
     """
     inside = signal.join(mask.select("measu", "x", "y").distinct(), ["measu", "x", "y"], "left_semi")
-    frames = inside.select("measu", F.posexplode("trace").alias("t", "v"))
+    frames = A.unrolled(inside, "measu")
     reduce = F.avg("v") if use_mean else F.percentile("v", F.lit(0.5))
     curve = frames.groupBy("measu", "t").agg(reduce.alias("v"))
     ordered = F.array_sort(F.collect_list(F.struct("t", "v")))["v"]

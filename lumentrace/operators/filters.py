@@ -33,7 +33,7 @@ def filter_sizes(mode: int, space: int, time: int) -> tuple[int, int] | None:
 def exploded(traces: DataFrame) -> DataFrame:
     """Long form (measu, x, y, t, v)."""
     keep = [c for c in traces.columns if c != "trace"]
-    return traces.select(*keep, F.posexplode("trace").alias("t", "v"))
+    return A.unrolled(traces, *keep)
 
 
 def collected(pixels: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def median_filter(traces: DataFrame, space: int, time: int) -> DataFrame:
     local = F.transform(
         trace, lambda _v, i: F.transform(offsets, lambda d: F.get(trace, A.fold_index(i + d, n, "nearest")))
     )
-    pixels = traces.select("measu", "x", "y", F.posexplode(local).alias("t", "near"))
+    pixels = A.unrolled(traces, "measu", "x", "y", trace=local, names=("t", "near"))
     if space > 1:
         pixels = by_frame(pixels)
         for axis in ("x", "y"):

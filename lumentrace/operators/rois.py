@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrace.functions import arrays as A
 from lumentrace.model import Params
 from lumentrace.plans.ranking import indexed
 from lumentrace.plans.skew import join_per_key
@@ -181,6 +182,11 @@ def footprint_perimeter(footprints: DataFrame, threshold: float = 75.0) -> DataF
     return perimeter(footprint_weights(footprints, threshold).filter("member").select("roi", "x", "y"))
 
 
+def weighted_points(frames: DataFrame, *more: Column) -> DataFrame:
+    """Sum of w * v per (recording, region, frame); partial sums travel, not pixels."""
+    return frames.groupBy("measu", "roi", "t").agg(F.sum(F.col("w") * F.col("v")).alias("v"), *more)
+
+
 def roi_trace_points(traces: DataFrame, weights: DataFrame) -> DataFrame:
     """I12, long form: sum of w * v per (recording, region, frame), combined map-side.
 
@@ -189,8 +195,8 @@ def roi_trace_points(traces: DataFrame, weights: DataFrame) -> DataFrame:
     """
     on = [c for c in ("measu", "x", "y") if c in weights.columns]
     joined = traces.join(weights.select(*on, "roi", "w"), on)
-    frames = joined.select("measu", "roi", "w", F.posexplode("trace").alias("t", "v"))
-    return frames.groupBy("measu", "roi", "t").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    frames = A.unrolled(joined, "measu", "roi", "w")
+    return weighted_points(frames)
 
 
 def roi_traces(traces: DataFrame, weights: DataFrame) -> DataFrame:
@@ -204,7 +210,7 @@ def mask_mean(traces: DataFrame, mask: DataFrame) -> DataFrame:
     """Mean trace of a mask, long form."""
     on = [c for c in ("measu", "x", "y") if c in mask.columns]
     inside = traces.join(mask.select(*on).distinct(), on, "left_semi")
-    frames = inside.select("measu", F.posexplode("trace").alias("t", "v"))
+    frames = A.unrolled(inside, "measu")
     return frames.groupBy("measu", "t").agg(F.avg("v").alias("v"))
 
 
