@@ -199,6 +199,17 @@ def first_onsets(stimuli: DataFrame) -> DataFrame:
     return stimuli.groupBy("measu").agg(F.min_by(frame, "stim_idx").cast("int").alias("onset_frame"))
 
 
+def onsets(stimuli: DataFrame, number: int = 0) -> DataFrame:
+    """On-time of the ``number``-th listed stimulus of every recording that has one."""
+    if number == 0:
+        return stimuli.groupBy("measu").agg(F.min_by("on_ms", "stim_idx").alias("on_ms"))
+    from lumentrace.plans.ranking import rank_picks
+
+    picked = rank_picks(stimuli, "stim_idx", ["measu"], {"stim": F.lit(number)})
+    picked = picked.filter(F.col("stim").isNotNull()).withColumnRenamed("stim", "stim_idx")
+    return stimuli.join(picked, ["measu", "stim_idx"], "left_semi").select("measu", "on_ms")
+
+
 def background_ranges(recordings: DataFrame, stimuli: DataFrame, params: Params) -> DataFrame:
     """Background frames per recording. ``recordings`` has one row per ``measu``."""
     low, high = params.default_background
