@@ -142,7 +142,7 @@ def parse_protocols(texts: DataFrame) -> DataFrame:
         lines, lambda s: F.struct(F.trim(F.get(F.split(s, ":"), F.lit(0))).alias("k"), F.trim(F.get(F.split(s, ":"), F.lit(1))).alias("v"))
     )
     facts = texts.select("file", F.map_from_entries(pairs).alias("m"))
-    stimuli = F.transform(F.split(F.col("m")["Stimuli"], ","), F.trim)
+    stimuli = F.transform(F.split(F.col("m")["Stimuli"], ","), lambda s: F.trim(s))
     rows = facts.select("file", "m", F.posexplode(stimuli).alias("measu", "stimulus"))
     return rows.select(
         "file",
