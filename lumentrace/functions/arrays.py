@@ -37,7 +37,7 @@ def total(trace: Column) -> Column:
 
 def mean(trace: Column) -> Column:
     """Mean of all elements; null for an empty array."""
-    return F.try_divide(total(trace), F.size(trace).cast("double"))
+    return let(trace, lambda a: F.try_divide(total(a), F.size(a).cast("double")))
 
 
 def against(trace: Column, scalar: Column, combine) -> Column:
@@ -45,25 +45,31 @@ def against(trace: Column, scalar: Column, combine) -> Column:
     return F.zip_with(trace, F.array_repeat(scalar, F.size(trace)), combine)
 
 
+def let(value: Column, use) -> Column:
+    """Compute ``value`` once per row and build an expression on it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def nanmean(trace: Column) -> Column:
     return mean(usable(trace))
 
 
 def nanmedian(trace: Column) -> Column:
-    ordered = F.array_sort(usable(trace))
-    n = F.size(ordered)
-    low = at(ordered, F.floor((n - 1) / 2))
-    high = at(ordered, F.floor(n / 2))
-    return (low + high) / 2
+
+    def middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        return (at(ordered, F.floor((n - 1) / 2)) + at(ordered, F.floor(n / 2))) / 2
+
+    return let(F.array_sort(usable(trace)), middle)
 
 
 def first_argmax(trace: Column) -> Column:
     """Position of the first maximum; null for an empty array."""
-    return F.array_position(trace, F.array_max(trace)).cast("int") - 1
+    return let(trace, lambda a: F.array_position(a, F.array_max(a)).cast("int") - 1)
 
 
 def first_argmin(trace: Column) -> Column:
-    return F.array_position(trace, F.array_min(trace)).cast("int") - 1
+    return let(trace, lambda a: F.array_position(a, F.array_min(a)).cast("int") - 1)
 
 
 def around(trace: Column, i: Column | int) -> Column:

@@ -78,14 +78,15 @@ def peak_after_onset(trace: Column, ctx: FeatureContext) -> list[Column]:
     n = F.size(trace)
     start = (ctx.on_ms / ctx.period_ms).cast("int") + 1
     end = F.least(((ctx.on_ms + 3000) / ctx.period_ms).cast("int") + 1, n - 1)
-    peak = A.first_argmax(A.span(trace, start, end)) + start
 
     def clamp(i: Column) -> Column:
         return F.least(F.greatest(i, F.lit(1)), n - 2)
 
-    before = clamp(start - ctx.params.prestim_end_background)
-    value = A.around(trace, clamp(peak)) - A.around(trace, before)
-    return [F.when((start <= end) & peak.isNotNull(), value)]
+    def contrast(peak: Column) -> Column:
+        before = clamp(start - ctx.params.prestim_end_background)
+        return F.when(peak.isNotNull(), A.around(trace, clamp(peak)) - A.around(trace, before))
+
+    return [F.when(start <= end, A.let(A.first_argmax(A.span(trace, start, end)) + start, contrast))]
 
 
 @_feature("22and35")
@@ -157,20 +158,40 @@ def chunk_magnitude(trace: Column, ctx: FeatureContext | None = None) -> list[Co
     The response rides on a flat or falling baseline. The search starts at the lowest
     value of the left half; which of the later extremes comes first decides the sign.
     """
+    found = _chunk_extremes(trace)
+    return [found["value"], found["base"], found["peak"]]
+
+
+def _chunk_extremes(trace: Column) -> Column:
+    def left(half: Column) -> Column:
+        return F.struct(A.first_argmin(half).alias("low"), A.first_argmax(half).alias("high"))
+
+    def right(first: Column) -> Column:
+        rest = A.span(trace, first["low"], F.size(trace))
+        return F.struct(
+            first["low"].alias("start"), first["high"].alias("left_high"),
+            A.first_argmin(rest).alias("low"), A.first_argmax(rest).alias("high"),
+        )
+
+    def ends(s: Column) -> Column:
+        only_left = (s["low"] != 0) & (s["high"] == 0)
+        negative = (s["low"] != 0) & (s["low"] < s["high"])
+        return F.struct(
+            (s["start"] + F.when(negative & ~only_left, s["high"]).otherwise(s["low"])).alias("base"),
+            F.when(only_left, s["left_high"]).when(negative, s["start"] + s["low"]).otherwise(s["start"] + s["high"]).alias("peak"),
+        )
+
+    def measured(e: Column) -> Column:
+        value = A.at(trace, e["peak"]) - A.at(trace, e["base"])
+        return F.struct(value.alias("value"), e["base"].alias("base"), e["peak"].alias("peak"))
+
     half = A.span(trace, 0, F.floor(F.size(trace) / 2) - 1)
-    low_left, high_left = A.first_argmin(half), A.first_argmax(half)
-    rest = A.span(trace, low_left, F.size(trace))
-    low, high = A.first_argmin(rest), A.first_argmax(rest)
-    negative = (low != 0) & (low < high)
-    only_left = (low != 0) & (high == 0)
-    base = low_left + F.when(negative & ~only_left, high).otherwise(low)
-    peak = F.when(only_left, high_left).when(negative, low_left + low).otherwise(low_left + high)
-    return [A.at(trace, peak) - A.at(trace, base), base, peak]
+    return A.let(A.let(A.let(A.let(half, left), right), ends), measured)
 
 
 def chunk_value(trace: Column) -> Column:
     """C_basic: only the magnitude."""
-    return chunk_magnitude(trace)[0]
+    return _chunk_extremes(trace)["value"]
 
 
 def strongest_index(trace: Column) -> Column:

@@ -36,51 +36,49 @@ def _typed(text: Column, dtype: str) -> Column:
     return text if dtype == "string" else text.cast(dtype)
 
 
+def _pulse_rows(measurements: DataFrame, second: bool) -> DataFrame:
+    """Parse the list cells of a recording into an array of pulses and unroll it once."""
+    cells = F.array(*[F.split(_given(c, spec[2]), ",") for c, spec in PULSE_COLUMNS.items()])
+    lists = measurements.withColumn("__cells", cells)
+    widths = F.transform(F.filter("__cells", lambda c: c.isNotNull()), lambda c: F.size(c))
+    lists = lists.withColumn("__widths", widths)
+    longer = F.array_distinct(F.filter("__widths", lambda w: w > 1))
+    n = F.when(F.size(longer) <= 1, F.array_max("__widths")).otherwise(
+        F.raise_error(F.lit("stimulus cells hold lists of different lengths")).cast("int")
+    )
+    lists = lists.withColumn("n_stim", n)
+
+    def entry(i: Column) -> Column:
+        parts = []
+        for k, (c, spec) in enumerate(PULSE_COLUMNS.items()):
+            cell = F.get("__cells", F.lit(k))
+            text = F.get(cell, F.when(F.size(cell) > 1, i).otherwise(0))
+            parts.append(_typed(text, spec[0]).alias(f"p_{c}"))
+        return F.struct(i.cast("int").alias("stim_idx"), *parts)
+
+    pulses = F.when(F.col("n_stim").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("n_stim") - 1), entry))
+    if second:
+        given = {c: _typed(_given(spec[1], spec[3]), spec[0]) for c, spec in PULSE_COLUMNS.items()}
+        timed = F.coalesce(*[v.cast("double") for c, v in given.items() if c.startswith("stim")])
+        other = F.struct(F.lit(1).alias("stim_idx"), *[v.alias(f"p_{c}") for c, v in given.items()])
+        alone = (F.col("n_stim") == 1) & timed.isNotNull()
+        pulses = F.when(alone, F.concat(pulses, F.array(other))).otherwise(pulses)
+    rows = lists.select(*measurements.columns, "n_stim", F.explode_outer(pulses).alias("__p"))
+    return rows.filter(F.col("__p").isNotNull()).select(*measurements.columns, "n_stim", "__p.*")
+
+
 def exploded_cells(measurements: DataFrame) -> DataFrame:
     """One row per stimulus from comma lists; single values go to every stimulus.
 
     Lists of different lengths (other than one) are an error, recordings without any
     stimulus cell give no row.
     """
-    given = {c: _given(c, spec[2]) for c, spec in PULSE_COLUMNS.items()}
-    lists = measurements
-    for c, text in given.items():
-        lists = lists.withColumn(f"__{c}", F.split(text, ","))
-    sizes = [F.when(F.col(f"__{c}").isNotNull(), F.size(f"__{c}")) for c in given]
-    n = F.greatest(*sizes)
-    fits = F.lit(True)
-    for s in sizes:
-        fits = fits & F.coalesce((s == 1) | (s == n), F.lit(True))
-    checked = F.when(fits, n).otherwise(
-        F.raise_error(F.lit("stimulus cells hold lists of different lengths"))
-    )
-    rows = (
-        lists.withColumn("n_stim", checked.cast("int"))
-        .filter(F.col("n_stim").isNotNull())
-        .withColumn("stim_idx", F.explode(F.sequence(F.lit(0), F.col("n_stim") - 1)))
-    )
-    entry = {}
-    for c, (dtype, *_rest) in PULSE_COLUMNS.items():
-        cell = F.col(f"__{c}")
-        position = F.when(F.size(cell) > 1, F.col("stim_idx")).otherwise(0)
-        entry[f"p_{c}"] = _typed(F.get(cell, position), dtype)
-    return rows.withColumns(entry).drop(*[f"__{c}" for c in given])
+    return _pulse_rows(measurements, second=False)
 
 
 def with_second_pulse(measurements: DataFrame) -> DataFrame:
     """T1 + T2: pulses of the lists, plus the second-pulse columns of single-pulse rows."""
-    first = exploded_cells(measurements)
-    keep = [c for c in first.columns if not c.startswith("p_")]
-    second = {
-        f"p_{c}": _typed(_given(spec[1], spec[3]), spec[0]) for c, spec in PULSE_COLUMNS.items()
-    }
-    timed = F.coalesce(*[second[f"p_{c}"].cast("double") for c in PULSE_COLUMNS if c.startswith("stim")])
-    extra = (
-        first.filter((F.col("n_stim") == 1) & timed.isNotNull())
-        .withColumns({**second, "stim_idx": F.lit(1)})
-        .select(*first.columns)
-    )
-    return first.select(*keep, *second.keys()).unionByName(extra.select(*keep, *second.keys()))
+    return _pulse_rows(measurements, second=True)
 
 
 def resolved(pulses: DataFrame) -> DataFrame:
