@@ -216,8 +216,8 @@ SELECT feature, n AS pixels FROM n, (VALUES (0), (22), (35), (222), (300), (301)
     ),
 )
 def _(spark, sf):
-    pixels = M.traces(spark, sf).agg(F.count(F.lit(1)).alias("pixels"))
-    return C.available_features(spark).join(pixels)
+    pixels = M.traces(spark, sf).agg(F.count(F.lit(1))).scalar()
+    return C.available_features(spark).withColumn("pixels", pixels)
 
 
 @query(

@@ -67,7 +67,7 @@ def chunks(roi_traces: DataFrame, stimuli: DataFrame, params: Params) -> DataFra
     )
     end = F.bround((F.col("off_ms") + params.chunk_post_s * 1000) / period).cast("int")
     cut = (
-        roi_traces.join(stimuli, "measu")
+        join_per_key(roi_traces, stimuli, ["measu"], spread=["roi"])
         .withColumn("start_idx", start)
         .withColumn("end_idx", F.least(F.size("trace"), end))
     )
@@ -104,23 +104,17 @@ def region_table(
 
 def appended(first: DataFrame, second: DataFrame, index: str = "idx") -> DataFrame:
     """H4: second table after the first, numbered from max + 1; all columns are kept."""
-    top = first.agg(F.max(index).alias("__top"))
-    moved = (
-        indexed(second, index, name="__i")
-        .join(top)
-        .withColumn(index, F.coalesce(F.col("__top"), F.lit(-1)) + 1 + F.col("__i"))
-        .drop("__i", "__top")
-    )
+    top = F.coalesce(first.agg(F.max(index)).scalar(), F.lit(-1))
+    moved = indexed(second, index, name="__i").withColumn(index, top + 1 + F.col("__i")).drop("__i")
     return first.unionByName(moved, allowMissingColumns=True)
 
 
 def subset(table: DataFrame, indices: DataFrame, index: str = "idx") -> DataFrame:
     """H5: rows of an index list; an index that does not exist is an error."""
     wanted = indices.select(index).distinct()
-    unknown = wanted.join(table, index, "left_anti").agg(F.count(F.lit(1)).alias("__bad"))
-    guard = F.assert_true(F.col("__bad") == 0, F.lit("some indices do not exist"))
-    checked = table.join(wanted, index, "left_semi").join(unknown.select(guard.alias("__ok")))
-    return checked.filter(F.col("__ok").isNull()).drop("__ok")
+    unknown = wanted.join(table, index, "left_anti").agg(F.count(F.lit(1))).scalar()
+    guard = F.assert_true(unknown == 0, F.lit("some indices do not exist"))
+    return table.join(wanted, index, "left_semi").filter(guard.isNull())
 
 
 def where(table: DataFrame, condition: Column) -> DataFrame:
@@ -135,9 +129,9 @@ def row(table: DataFrame, i: int, index: str = "idx") -> DataFrame:
 
 def matrix(table: DataFrame, index: str = "idx") -> DataFrame:
     """H8: index and trace, if all traces have one length; otherwise an error."""
-    lengths = table.agg(F.min(F.size("trace")).alias("__a"), F.max(F.size("trace")).alias("__b"))
-    guard = F.assert_true(F.col("__a") == F.col("__b"), F.lit("traces have different lengths"))
-    return table.join(lengths.select(guard.alias("__ok"))).filter(F.col("__ok").isNull()).select(index, "trace")
+    same = table.agg(F.min(F.size("trace")) == F.max(F.size("trace"))).scalar()
+    guard = F.assert_true(same, F.lit("traces have different lengths"))
+    return table.filter(guard.isNull()).select(index, "trace")
 
 
 def export_attributes(table: DataFrame) -> DataFrame:

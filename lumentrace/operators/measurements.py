@@ -143,13 +143,8 @@ def checked_loading(df: DataFrame, traces: DataFrame, frames: Column | int) -> D
 
 def appended(first: DataFrame, second: DataFrame, suffix: str | None = None, order: str = "measu") -> DataFrame:
     """Second list after the first, renumbered from max + 1, labels with a suffix."""
-    top = first.agg(F.max("measu").alias("__top"))
-    renumbered = (
-        indexed(second, order, name="__i")
-        .join(top)
-        .withColumn("measu", F.coalesce(F.col("__top"), F.lit(-1)) + 1 + F.col("__i"))
-        .drop("__i", "__top")
-    )
+    top = F.coalesce(first.agg(F.max("measu")).scalar(), F.lit(-1))
+    renumbered = indexed(second, order, name="__i").withColumn("measu", top + 1 + F.col("__i")).drop("__i")
     if suffix is not None:
         renumbered = renumbered.withColumn("label", F.concat("label", F.lit(suffix)))
     return first.unionByName(renumbered, allowMissingColumns=True)
@@ -161,13 +156,14 @@ def merged_old_values(new: DataFrame, old: DataFrame, columns: Sequence[str], ke
     chosen = [c for c in dict.fromkeys(columns) if c in old.columns and c != key]
     side = old.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__old_{c}") for c in chosen])
     joined = new.join(side, key, "left")
-    counts = joined.agg(*[F.count(f"__old_{c}").alias(f"__k_{c}") for c in chosen])
-    marked = joined.join(counts)
-    merged = {
-        c: F.when(F.col(f"__k_{c}") > 0, F.col(f"__old_{c}")).otherwise(F.col(c)) if c in new.columns else F.col(f"__old_{c}")
-        for c in chosen
-    }
-    return marked.withColumns(merged).select(*new.columns, *[c for c in chosen if c not in new.columns])
+    merged = {}
+    for c in chosen:
+        value = F.col(f"__old_{c}")
+        if c in new.columns:
+            known = joined.agg(F.count(f"__old_{c}")).scalar() > 0
+            value = F.when(known, value).otherwise(F.col(c))
+        merged[c] = value
+    return joined.withColumns(merged).select(*new.columns, *[c for c in chosen if c not in new.columns])
 
 
 def renamed(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -248,13 +244,16 @@ def with_mtime(df: DataFrame) -> DataFrame:
 def paired_wavelengths(df: DataFrame, group: str = "animal", order: str = "measu") -> DataFrame:
     """The i-th 340 nm and 380 nm recordings belong together: the first gets the
     second's file as ``dbb2``, the second is not analysed. Unpaired rows are dropped."""
-    first = indexed(df.filter(F.col("lambda_nm") == 340), order, groups=[group], name="__i")
-    second = indexed(df.filter(F.col("lambda_nm") == 380), order, groups=[group], name="__i")
-    key = [group, "__i"]
-    a = first.join(second.select(*key, F.col("dbb1").alias("dbb2")), key).drop("__i")
-    b = second.join(first.select(*key), key, "left_semi").drop("__i")
-    b = b.withColumns({"dbb2": F.lit(None).cast("string"), "analyze": F.lit(0)})
-    return a.unionByName(b)
+    wanted = df.filter(F.col("lambda_nm").isin(340, 380))
+    numbered = indexed(wanted, order, groups=[group, "lambda_nm"], name="__i")
+    row = F.struct(*df.columns)
+    pairs = numbered.groupBy(group, "__i").agg(
+        F.max(F.when(F.col("lambda_nm") == 340, row)).alias("a"), F.max(F.when(F.col("lambda_nm") == 380, row)).alias("b")
+    )
+    pairs = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    first = F.col("a").withField("dbb2", F.col("b.dbb1"))
+    second = F.col("b").withField("dbb2", F.lit(None).cast("string")).withField("analyze", F.lit(0))
+    return pairs.select(F.explode_outer(F.array(first, second)).alias("row")).select("row.*")
 
 
 def from_vendor(df: DataFrame, vendor: str) -> DataFrame:

@@ -32,7 +32,8 @@ def overview_frames(
 
 def overview_grid(traces: DataFrame, stimuli: DataFrame, feature: int | str, params: Params) -> DataFrame:
     """O2: the feature of every pixel for every stimulus of its recording."""
-    joined = traces.join(stimuli.select("measu", "stim_idx", "on_ms", "period_ms"), "measu")
+    pulses = stimuli.select("measu", "stim_idx", "on_ms", "period_ms")
+    joined = join_per_key(traces, pulses, ["measu"], spread=["x", "y"])
     ctx = C.FeatureContext.from_params(params, on_ms=F.col("on_ms"), period_ms=F.col("period_ms"))
     values = F.array(*[v.cast("double") for v in C.feature(feature)(F.col("trace"), ctx)])
     return A.unrolled(joined, *PIXEL, "stim_idx", trace=values, names=("feature", "value"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions import arrays as A
 from lumentrace.model import Params
 from lumentrace.plans.ranking import indexed
-from lumentrace.plans.skew import join_per_key
+from lumentrace.plans.skew import SALTS, join_per_key
 
 
 def _truncated(c: str) -> Column:
@@ -190,11 +190,15 @@ def weighted_points(frames: DataFrame, *more: Column) -> DataFrame:
 def roi_trace_points(traces: DataFrame, weights: DataFrame) -> DataFrame:
     """I12, long form: sum of w * v per (recording, region, frame), combined map-side.
 
-    The pair of a pixel and its region is formed on whole traces, before they are
-    unrolled, so the join moves one row per pixel and not one per frame.
+    Pixels meet their region, and then the other pixels of that region, as whole traces:
+    both moves ship one compact row per pixel. Only then are traces unrolled, so the
+    partial sums already cover a region (or, for a region with very many pixels, one of
+    ``SALTS`` parts of it) and the last shuffle carries a few rows per frame.
     """
     on = [c for c in ("measu", "x", "y") if c in weights.columns]
     joined = traces.join(weights.select(*on, "roi", "w"), on)
+    part = F.pmod(F.xxhash64("x", "y"), F.lit(SALTS))
+    joined = joined.select("measu", "roi", "w", "trace", part.alias("__part")).repartition("measu", "roi", "__part")
     frames = A.unrolled(joined, "measu", "roi", "w")
     return weighted_points(frames)
 
@@ -236,10 +240,9 @@ def relabelled(rois: DataFrame, labels: DataFrame, order: str = "roi_idx") -> Da
     otherwise they are called "0", "1", ... ``labels(label_idx, label)``."""
     placed = indexed(rois, order, name="__pos")
     named = indexed(labels, "label_idx", name="__pos").select("__pos", "label")
-    counts = rois.agg(F.count(F.lit(1)).alias("__a")).join(labels.agg(F.count(F.lit(1)).alias("__b")))
-    joined = placed.join(named, "__pos", "left").join(counts)
-    label = F.when(F.col("__a") == F.col("__b"), F.col("label")).otherwise(F.col("__pos").cast("string"))
-    return joined.withColumn("roi", label).drop("__pos", "__a", "__b", "label")
+    same = rois.agg(F.count(F.lit(1))).scalar() == labels.agg(F.count(F.lit(1))).scalar()
+    label = F.when(same, F.col("label")).otherwise(F.col("__pos").cast("string"))
+    return placed.join(named, "__pos", "left").withColumn("roi", label).drop("__pos", "label")
 
 
 def label_inventory(image: DataFrame) -> DataFrame:

@@ -23,8 +23,7 @@ def baseline(trace: Column | str, start: Column, end: Column) -> Column:
 def relative_change(trace: Column | str, start: Column, end: Column) -> Column:
     """V / F0 - 1, where a zero F0 divides by 1."""
     trace = A.col(trace)
-    f0 = baseline(trace, start, end)
-    divisor = F.when(f0 == 0, 1.0).otherwise(f0)
+    divisor = A.let(baseline(trace, start, end), lambda f: F.when(f == 0, 1.0).otherwise(f))
     return A.against(trace, divisor, lambda v, f: v / f - 1)
 
 

@@ -138,7 +138,9 @@ def movie_table(
     raw_kept = O.cropped(R.exploded(raw).filter(F.col("t").between(start, end - 1)), params.cut_border, nx, ny)
     foto = O.cropped(R.morphology(raw), params.cut_border, nx, ny)
     masked = O.masked_movie(scaled, params, raw_kept, foto, inner_area)
-    frames = pixels.select("measu", "t").distinct().withColumn("t_ms", F.col("t") * period_ms)
+    recordings = raw.select("measu").distinct()
+    frames = recordings.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(end - 1))))
+    frames = frames.withColumn("t_ms", F.col("t") * period_ms)
     frames = frames.withColumn("frame_key", F.struct("measu", "t"))
     texts = T.frame_labels(stimuli, frames, "frame_key")
     times = T.relative_times(texts, stimuli, with_ms=not params.suppress_milliseconds)

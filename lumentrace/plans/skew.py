@@ -48,8 +48,3 @@ def with_key_stats(
     """
     summary = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
     return join_per_key(df, summary, keys, spread=spread)
-
-
-def with_total_stats(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
-    """Attach global aggregates: a one-row table joined to every row."""
-    return df.join(df.agg(*[c.alias(n) for n, c in stats.items()]))

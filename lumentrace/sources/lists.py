@@ -76,9 +76,9 @@ def column_docs(columns: DataFrame, docs: DataFrame, extra: DataFrame | None = N
     """
     lines = columns.join(docs, "column", "left").select("position", "column", "description")
     if extra is not None:
-        offset = columns.agg(F.max("position").alias("__top"))
-        more = extra.join(offset).select(
-            (F.col("position") + F.col("__top")).alias("position"), F.lit(None).cast("string").alias("column"), "description"
+        top = columns.agg(F.max("position")).scalar()
+        more = extra.select(
+            (F.col("position") + top).alias("position"), F.lit(None).cast("string").alias("column"), "description"
         )
         lines = lines.unionByName(more)
     return lines.withColumn(
