@@ -8,7 +8,6 @@ from lumentrace.catalog import tables as M
 from lumentrace.catalog.features import signal
 from lumentrace.catalog.registry import query, sql_over
 from lumentrace.operators import rois as I
-from lumentrace.plans.ranking import indexed
 from lumentrace.sources import roi_text as RT
 
 NX, NY = 172, 130
@@ -287,16 +286,14 @@ def _(spark, sf):
 
 @query(
     "s10_parse_coor",
-    """SELECT 'n' || CAST(s_nationkey AS VARCHAR) AS file, s_name AS roi, CAST(s_suppkey % 172 AS INTEGER) AS cx, CAST((s_suppkey * 7) % 130 AS INTEGER) AS cy,
-CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS roi_idx FROM supplier""",
+    """SELECT 'f' || CAST(s_suppkey // 5 AS VARCHAR) AS file, s_name AS roi, CAST(s_suppkey % 172 AS INTEGER) AS cx, CAST((s_suppkey * 7) % 130 AS INTEGER) AS cy,
+CAST(s_suppkey % 5 AS INTEGER) AS roi_idx FROM supplier WHERE s_suppkey % 5 < 4""",
 )
 def _(spark, sf):
-    """One coordinate file per nation, written as lines and parsed back."""
+    """Files of five lines below a count of four, parsed back: the fifth line is unused."""
+    suppliers = M.table(spark, sf, "supplier")
     line = F.concat_ws("\t", F.col("s_suppkey") % 172, (F.col("s_suppkey") * 7) % 130, F.col("s_name"))
-    placed = indexed(M.table(spark, sf, "supplier"), "s_suppkey", groups=["s_nationkey"], name="k")
-    file = F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("file")
-    body = placed.select(file, (F.col("k") + 1).alias("line_no"), line.alias("value"))
-    counts = placed.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    heads = counts.select(file, F.lit(0).cast("long").alias("line_no"), F.col("n").cast("string").alias("value"))
-    tails = counts.select(file, (F.col("n") + 1).alias("line_no"), F.lit("0\t0\tunused").alias("value"))
-    return RT.parse_coor_lines(heads.unionByName(body).unionByName(tails))
+    file = F.concat(F.lit("f"), F.expr("s_suppkey div 5").cast("string")).alias("file")
+    body = suppliers.select(file, (F.col("s_suppkey") % 5 + 1).alias("line_no"), line.alias("value"))
+    heads = suppliers.filter("s_suppkey % 5 = 0").select(file, F.lit(0).cast("long").alias("line_no"), F.lit("4").alias("value"))
+    return RT.parse_coor_lines(heads.unionByName(body))
