@@ -13,6 +13,8 @@ from lumentrace.operators import overview as O
 from lumentrace.operators import rois as I
 from lumentrace.operators import signals as G
 from lumentrace.operators import stimuli as T
+from lumentrace.plans.skew import join_per_key
+from lumentrace.session import cut_lineage
 
 
 def corrected(
@@ -53,12 +55,12 @@ def _composite_channel(
     digit = params.calc_method // 100 % 10
     key = ["measu", "x", "y"]
     window = facts.select("measu", "bg_start", "bg_end")
-    joined = B.join_per_key(traces, window, ["measu"], spread=["x", "y"])
+    joined = join_per_key(traces, window, ["measu"], spread=["x", "y"])
     back = joined.select(*key, A.mean(A.span(F.col("trace"), F.col("bg_start"), F.col("bg_end") - 1)).alias("f0"))
     mask = B.bleach_area(traces, area, nx, ny, params.with_(bleach_exclude_area=digit <= 3))
     light = back.join(mask, key, "left_semi").groupBy("measu").agg(F.avg("f0").alias("l"))
     level = 1000.0 / F.when(F.col("l") == 0, 1.0).otherwise(F.col("l"))
-    scaled = B.join_per_key(traces, light, ["measu"], spread=["x", "y"]).withColumn(
+    scaled = join_per_key(traces, light, ["measu"], spread=["x", "y"]).withColumn(
         "trace", A.against(F.col("trace"), level, lambda v, k: v * k)
     ).drop("l")
     if sigma_um:
@@ -97,7 +99,7 @@ def composite_signal(
         quotient = F.zip_with("trace", "trace2", lambda a, b: F.try_divide(1 + a, 1 + b))
         scale = F.try_divide(F.col("b1"), F.col("b2"))
         signal = both.select(*key, A.against(quotient, scale, lambda q, s: q * s).alias("trace"))
-    joined = B.join_per_key(signal, facts.select("measu", "bg_start", "bg_end"), ["measu"], spread=["x", "y"])
+    joined = join_per_key(signal, facts.select("measu", "bg_start", "bg_end"), ["measu"], spread=["x", "y"])
     base = A.mean(A.span(F.col("trace"), F.col("bg_start"), F.col("bg_end") - 1))
     return joined.select(*key, A.against(F.col("trace"), base, lambda v, b: v - b).alias("trace"))
 
@@ -120,9 +122,15 @@ def movie_table(
     raw: DataFrame,
     area: DataFrame | None = None,
     period_ms: float = 200.0,
+    materialise: bool = False,
 ) -> DataFrame:
     """Frames of a movie as rows: filtered, cropped, scaled to 0..1, masked, with the
-    time and stimulus text of their frame."""
+    time and stimulus text of their frame.
+
+    The filtered movie is read twice, for its limits and for its values;
+    ``materialise=True`` writes it to the checkpoint folder in between, which pays when
+    the signal or its filters are costly.
+    """
     if params.time_filter and params.time_filter_size > 0:
         signal = signal.withColumn("trace", R.gaussian_trace(F.col("trace"), params.time_filter_size))
     if params.space_filter and params.space_filter_size > 0:
@@ -130,6 +138,8 @@ def movie_table(
     start, end = O.frame_range(params.movie_first_frame, params.movie_last_frame, n)
     kept = R.exploded(signal).filter(F.col("t").between(start, end - 1))
     pixels = O.cropped(kept, params.cut_border, nx, ny)
+    if materialise:
+        pixels = cut_lineage(pixels)
     inner_area = O.cropped(area, params.cut_border, nx, ny) if area is not None else None
     w, h, _ = O.cropped_size(params, nx, ny, n)
     limits = O.data_limits(pixels, params, w, h, inner_area)

@@ -42,4 +42,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="lumentrace-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=False)
+    return df.checkpoint()
