@@ -91,14 +91,14 @@ SETUPS = {
     3: ("pst", 1),
     4: ("pst", 2),
     20: ("lsm", 1),
-    21: ("tif", 1),
-    32: ("lif", 1),
+    21: ("lif", 1),
+    32: ("txt", 1),
     33: ("tif", 1),
     34: ("tif", 2),
-    35: ("txt", 1),
+    35: ("tif", 2),
     665: ("synthetic", 1),
     666: ("synthetic", 1),
-    667: ("synthetic", 2),
+    667: ("synthetic", 1),
     676: ("synthetic", 1),
 }
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions import features as C
 from lumentrace.model import Params
 from lumentrace.operators import signals as G
+from lumentrace.streaming import dff_stream, traces_stream
 
 
 def one(spark, trace, *columns):
@@ -114,10 +115,8 @@ def test_model_choice_needs_a_clear_margin(spark):
 def test_signal_runs_on_a_stream(spark, traces, tmp_path):
     """Row-wise operators need no change for a streaming source."""
     traces.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(traces.schema).parquet(str(tmp_path / "in"))
-    out = stream.select("measu", "x", "y", G.relative_change("trace", F.lit(3), F.lit(5)).alias("trace"))
+    out = dff_stream(traces_stream(spark, str(tmp_path / "in")), Params())
     query = out.writeStream.format("memory").queryName("dff_stream").trigger(availableNow=True).start()
     query.awaitTermination(60)
-    batch = traces.select("measu", "x", "y", G.relative_change("trace", F.lit(3), F.lit(5)).alias("trace"))
-    assert spark.table("dff_stream").exceptAll(batch).count() == 0
+    assert spark.table("dff_stream").exceptAll(dff_stream(traces, Params())).count() == 0
     assert spark.table("dff_stream").count() == 60

@@ -44,9 +44,9 @@ def rows_of(columns, rows):
     return names, sorted(data, key=repr)
 
 
-def compare(spark, con, fn, sql, sf):
+def compare(con, df, sql):
+    """Whether a query's rows equal those of its SQL twin, and a line about it."""
     start = time.time()
-    df = fn(spark, sf)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     took = f"spark {time.time() - start:.2f}s"
     if sql is None:
@@ -80,7 +80,7 @@ def main() -> int:
             continue
         start = time.time()
         try:
-            ok, text = compare(spark, con, fn, oracles.get(name), sf)
+            ok, text = compare(con, fn(spark, sf), oracles.get(name))
         except Exception as error:  # noqa: BLE001 - report and go on
             ok, text = False, f"{type(error).__name__}: {str(error)[:700]}"
         failed += not ok
