@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentrace.functions import arrays as A
 from lumentrace.functions import text as X
 from lumentrace.model import defaults, meta_def, meta_rows
 from lumentrace.plans.ranking import indexed, rank_picks
@@ -339,7 +340,7 @@ def first_existing(df: DataFrame, listing: DataFrame, key: str, extensions: Sequ
     The best candidate is a map-side minimum of (priority, path), so no row is sorted.
     """
     tried = F.concat(*[candidate_paths(X.slashes("dbb1"), F.col("animal"), e, root) for e in extensions])
-    candidates = df.select(key, F.posexplode(tried).alias("prio", "path"))
+    candidates = A.unrolled(df, key, trace=tried, names=("prio", "path"))
     hits = candidates.join(listing.select("path").distinct(), "path", "left_semi")
     best = hits.groupBy(key).agg(F.min(F.struct("prio", "path")).alias("b"))
     return df.join(best.select(key, F.col("b.path").alias("existing_path")), key, "left")

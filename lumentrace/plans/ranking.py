@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrace.plans.skew import join_per_key
+from lumentrace.plans.skew import SALTS, join_per_key
 
 BUCKETS = 64
 LEVELS = 2
@@ -39,18 +39,39 @@ def _numeric(column: Column, dtype: str) -> Column:
 def _bucketed(df: DataFrame, groups: Sequence[str], order: str, buckets: int) -> DataFrame:
     value = _numeric(F.col(order), dict(df.dtypes)[order])
     marked = df.withColumn("__bucket", F.lit(0))
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         keys = [*groups, "__bucket"]
         bounds = marked.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
         finer = F.col("__bucket") * buckets + order_bucket(value, F.col("__lo"), F.col("__hi"), buckets)
         marked = (
-            join_per_key(marked, bounds, keys, spread=[order])
+            # Only the first level can meet a hot key; later keys are buckets of it.
+            join_per_key(marked, bounds, keys, spread=[order], salts=SALTS if level == 0 else 1)
             .withColumn("__bucket", finer)
             .drop("__lo", "__hi")
         )
     return marked
 
 
+def _bucketed_by_order(df: DataFrame, order: str, buckets: int) -> DataFrame:
+    """Buckets of an order column, cut between bounds of the whole table.
+
+    A group with many rows spreads over many order values and so over many buckets. The
+    bounds are scalar subqueries (two numbers, then one pair per first-level bucket), so
+    the rows themselves are neither joined nor moved here.
+    """
+    value = _numeric(F.col(order), dict(df.dtypes)[order]).cast("double")
+    low, high = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
+    first = order_bucket(value, low, high, buckets)
+    found = df.groupBy(first.alias("b")).agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("r"))
+    pairs = found.agg(F.map_from_entries(F.collect_list(F.struct("b", "r"))).alias("m"))  # at most `buckets` entries
+    bounds = pairs.select(
+        F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.try_element_at("m", i))
+    ).scalar()
+    marked = df.withColumn("__first", first).withColumn("__r", F.get(bounds, F.col("__first")))
+    finer = order_bucket(value, F.col("__r.lo"), F.col("__r.hi"), buckets)
+    return marked.withColumn("__bucket", F.col("__first") * buckets + finer).drop("__first", "__r")
+
+
 def indexed(
     df: DataFrame,
     order: str,
@@ -61,7 +82,7 @@ def indexed(
 ) -> DataFrame:
     """0-based position of each row inside its group by a numeric or time column."""
     groups = list(groups)
-    marked = _bucketed(df, groups, order, buckets)
+    marked = _bucketed_by_order(df, order, buckets)
     per_bucket = marked.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
@@ -69,7 +90,7 @@ def indexed(
     )
     inside = Window.partitionBy(*groups, "__bucket").orderBy(order, *ties)
     return (
-        join_per_key(marked, offsets, [*groups, "__bucket"], spread=[order, *ties])
+        join_per_key(marked, offsets, [*groups, "__bucket"], salts=1)
         .withColumn(name, F.col("__before") + F.row_number().over(inside) - 1)
         .drop("__bucket", "__before")
     )
@@ -84,7 +105,7 @@ def carried_forward(
 ) -> DataFrame:
     """Replace nulls by the last non-null value before them, per group and column."""
     groups = list(groups)
-    marked = _bucketed(df, groups, order, buckets)
+    marked = _bucketed_by_order(df, order, buckets)
     tails = marked.groupBy(*groups, "__bucket").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__tail_{c}") for c in columns]
     )
@@ -99,7 +120,7 @@ def carried_forward(
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = join_per_key(marked, carried, [*groups, "__bucket"], spread=[order])
+    joined = join_per_key(marked, carried, [*groups, "__bucket"], salts=1)
     filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"__prev_{c}")) for c in columns}
     return joined.withColumns(filled).select(*df.columns)
 
@@ -137,7 +158,7 @@ def rank_picks(
         hit = hit | ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))
     wanted = wanted.filter(hit)
     inside = Window.partitionBy(*groups, "__bucket").orderBy(value)
-    positioned = join_per_key(marked, wanted, [*groups, "__bucket"], spread=[value]).withColumn(
+    positioned = join_per_key(marked, wanted, [*groups, "__bucket"], salts=1).withColumn(
         "__end", F.col("__before") + F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     )
     picks = []

@@ -27,8 +27,11 @@ def join_per_key(
     """Join per-key facts (at most a few rows per key) onto a large table.
 
     The salt comes from a hash of ``spread`` columns, so a recomputed task sees the
-    same salt again. ``how`` may be inner, left, left_semi or left_anti.
+    same salt again. ``how`` may be inner, left, left_semi or left_anti. ``salts=1`` is
+    for keys that are known to be even, such as buckets of a hot key.
     """
+    if salts == 1:
+        return big.join(small, list(keys), how)
     spread = [c for c in (spread or big.columns) if c not in keys] or list(keys)
     hashable = [c for c in spread if not dict(big.dtypes)[c].startswith("map")]
     salted = big.withColumn(_SALT, F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
