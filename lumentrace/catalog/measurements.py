@@ -315,7 +315,7 @@ def _(spark, sf):
     return L.with_label_odour(rows).select("measu", "odour", "oconc")
 
 
-@query("m27_zero_based", "SELECT p_partkey AS measu, p_size - 1 AS stim_on, p_size + 9 AS stim_off, p_name || '_2pyVIEW' AS comment FROM part")
+@query("m27_zero_based", "SELECT p_partkey AS measu, p_size - 1 AS stim_on, p_size + 9 AS stim_off, p_name || '_zero_based' AS comment FROM part")
 def _(spark, sf):
     rows = M.table(spark, sf, "part").selectExpr("p_partkey AS measu", "p_size AS stim_on", "p_size + 10 AS stim_off", "p_name AS comment")
     return L.zero_based(rows)

@@ -303,10 +303,12 @@ def with_label_odour(df: DataFrame) -> DataFrame:
     return df.withColumns({"odour": odour, "oconc": conc})
 
 
-def zero_based(df: DataFrame, columns: Sequence[str] = ("stim_on", "stim_off", "stim2on", "stim2off")) -> DataFrame:
-    """Frame numbers from 1 to frame numbers from 0, noted in the comment."""
+def zero_based(
+    df: DataFrame, columns: Sequence[str] = ("stim_on", "stim_off", "stim2on", "stim2off"), note: str = "_zero_based"
+) -> DataFrame:
+    """Frame numbers from 1 to frame numbers from 0, with a note behind the comment."""
     changes = {c: F.col(c) - 1 for c in columns if c in df.columns}
-    return df.withColumns({**changes, "comment": F.concat("comment", F.lit("_2pyVIEW"))})
+    return df.withColumns({**changes, "comment": F.concat("comment", F.lit(note))})
 
 
 def candidate_paths(path: Column, tag: Column, extension: str, root: str) -> Column:

@@ -70,41 +70,6 @@ def plain_ratio(traces1: DataFrame, traces2: DataFrame) -> DataFrame:
     return both.select("measu", "x", "y", F.zip_with("trace", "trace2", F.try_divide).alias("trace"))
 
 
-def composite_ratio(
-    signal1: DataFrame,
-    signal2: DataFrame,
-    backgrounds1: DataFrame,
-    backgrounds2: DataFrame,
-    frames: tuple[int, int],
-) -> DataFrame:
-    """G6, last steps: (1+s1)/(1+s2) scaled by the background images, minus its own
-    background mean whose end frame is excluded.
-
-    ``backgrounds*(measu, x, y, f0)`` are the raw background images.
-    """
-    key = ["measu", "x", "y"]
-    joined = (
-        signal1.join(signal2.withColumnRenamed("trace", "trace2"), key)
-        .join(backgrounds1.withColumnRenamed("f0", "b1"), key)
-        .join(backgrounds2.withColumnRenamed("f0", "b2"), key)
-    )
-    scale = F.try_divide(F.col("b1"), F.col("b2"))
-    ratio = F.zip_with("trace", "trace2", lambda a, b: F.try_divide(1 + a, 1 + b) * scale)
-    with_ratio = joined.withColumn("ratio", ratio)
-    base = A.mean(A.span(F.col("ratio"), frames[0], frames[1] - 1))
-    return with_ratio.withColumn("base", base).select(
-        *key, A.against(F.col("ratio"), F.col("base"), lambda r, b: r - b).alias("trace")
-    )
-
-
-def decode_method(method: int) -> dict[str, int | bool]:
-    """Digits of a composite method: thousands choose the signal, hundreds and the rest
-    switch its steps (see `plans.recipes.composite_signal`)."""
-    thousands, rest = divmod(method, 1000)
-    hundreds, percent = divmod(rest, 100)
-    return {"ratio": thousands == 4, "bleach": hundreds, "percent": percent}
-
-
 def signal(
     params: Params,
     traces1: DataFrame,

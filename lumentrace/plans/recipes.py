@@ -25,10 +25,13 @@ def corrected(
     nx: int,
     ny: int,
     pixel_size: tuple[float, float] = (1.0, 1.0),
+    materialise: bool = False,
 ) -> DataFrame:
     """Replace first frames, median, mean, scattered light, bleaching, in this order.
 
-    ``facts(measu, bg_start, bg_end, rate_hz)``. Steps that are off cost nothing.
+    ``facts(measu, bg_start, bg_end, rate_hz)``. Steps that are off cost nothing. Bleach
+    correction reads the filtered movie twice; ``materialise=True`` writes it to the
+    checkpoint folder before.
     """
     if params.replace_init_frames:
         traces = traces.withColumn("trace", R.replaced_start(F.col("trace"), params.replace_init_frames))
@@ -38,6 +41,8 @@ def corrected(
         traces = R.collected(R.descattered(R.exploded(traces), params.scatter_factor, sigma))
     if params.bleach_method == "None":
         return traces
+    if materialise:
+        traces = cut_lineage(traces)
     mask = B.bleach_area(traces, area, nx, ny, params)
     if params.bleach_method in ("log_pixelwise_1cpu", "log_pixelwise_parallel"):
         return B.pixelwise(traces, facts, mask, params).select("measu", "x", "y", "trace")
@@ -83,14 +88,19 @@ def composite_signal(
     ny: int,
     traces2: DataFrame | None = None,
     pixel: tuple[float, float] = (1.0, 1.0),
+    materialise: bool = False,
 ) -> DataFrame:
     """Methods 3xyy (one wavelength) and 4xyy (ratio): x is the bleach digit, yy the
     scattered-light radius in micrometres. The background ends before its end frame."""
     ratio, sigma_um = params.calc_method // 1000 == 4, params.calc_method % 100
     signal, back1 = _composite_channel(traces1, facts, area, params, nx, ny, sigma_um, pixel)
+    if materialise:
+        signal = cut_lineage(signal)
     key = ["measu", "x", "y"]
     if ratio:
         second, back2 = _composite_channel(traces2, facts, area, params, nx, ny, sigma_um, pixel)
+        if materialise:
+            second = cut_lineage(second)
         both = (
             signal.join(second.withColumnRenamed("trace", "trace2"), key)
             .join(back1.withColumnRenamed("f0", "b1"), key)

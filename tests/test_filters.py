@@ -279,6 +279,11 @@ def test_correction_pipeline(bleached, facts, method, by_area):
     out = recipes.corrected(bleached, facts, area, params, 4, 4)
     rows = out.collect()
     assert len(rows) == 32 and all(len(r.trace) == 40 for r in rows)
+    if method == "log_uniform" and by_area:
+        again = recipes.corrected(bleached, facts, area, params, 4, 4, materialise=True)
+        got = {(r.measu, r.x, r.y): r.trace for r in again.collect()}
+        for r in rows:
+            np.testing.assert_allclose(got[r.measu, r.x, r.y], r.trace)
     with pytest.raises(NotImplementedError):
         recipes.corrected(bleached, facts, area, params.with_(bleach_method="linear"), 4, 4)
 

@@ -114,14 +114,14 @@ def test_three_digit_texts(spark):
 
 def test_tapestry_rows_inherit(spark):
     rows = spark.createDataFrame(
-        [(0, "row1", "A", [1, 2, 3, 4], {"CTV_Method": "22"}), (1, "row2", None, [5, 6, 7, 8, 9], None), (2, "row3", None, None, {"x": "1"})],
+        [(0, "row1", "A", [1, 2, 3, 4], {"feature": "22"}), (1, "row2", None, [5, 6, 7, 8, 9], None), (2, "row3", None, None, {"x": "1"})],
         "row_idx INT, row_name STRING, animal STRING, measus ARRAY<BIGINT>, flags MAP<STRING,STRING>",
     )
     known = spark.createDataFrame([("A", m) for m in range(1, 9)], "animal STRING, measu BIGINT")
     plan = O.tapestry_plan(rows, known).orderBy("row_idx", "position").collect()
     assert [(r.row_idx, r.measu) for r in plan] == [(0, m) for m in range(1, 5)] + [(i, m) for i in (1, 2) for m in range(5, 10)]
     assert all(r.animal == "A" for r in plan)
-    assert [r.flags for r in plan if r.position == 0] == [{"CTV_Method": "22"}, {"CTV_Method": "22"}, {"x": "1"}]
+    assert [r.flags for r in plan if r.position == 0] == [{"feature": "22"}, {"feature": "22"}, {"x": "1"}]
     assert [r.measu for r in plan if r.empty] == [9, 9]
 
 
