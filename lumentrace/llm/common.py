@@ -22,9 +22,8 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of ``[^\\x20\\x09-\\x0D]`` in order."""
-    blank = F.translate(text, SPACES[1:], " " * len(SPACES[1:]))
-    return F.array_remove(F.split(blank, " "), "")
+    r"""Runs of ``[^\x20\x09-\x0D]`` in order."""
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -38,8 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="lumentrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumentrace-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumentrace.functions.arrays import let
-from lumentrace.llm.common import SPACES, join_facts, text_or_empty, words, written
+from lumentrace.llm.common import join_facts, text_or_empty, words, written
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A host goes when its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -53,7 +53,8 @@ def _word_measures(text: Column) -> Column:
     def of(found: Column) -> Column:
         hashes = F.transform(found, lambda w: F.xxhash64(w))
         return F.struct(
-            F.size(found).cast("long").alias("n"), let(_windows(hashes), _covered).cast("long").alias("r")
+            F.size(found).cast("long").alias("n"), let(_windows(hashes), _covered).cast("long").alias("r"),
+            F.char_length(F.array_join(found, "")).cast("long").alias("c"),
         )
 
     return let(words(text), of)
@@ -65,15 +66,15 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     Windows are told apart by 64-bit hashes of their eight words.
     """
     t = text_or_empty(text)
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     found = docs.withColumn("__w", _word_measures(t))
     n, repeated = F.col("__w.n"), F.col("__w.r")
     return found.withColumn(
         "__q",
         F.struct(
             n.alias("n_words"),
-            F.char_length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-            (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.col("__w.c").alias("word_chars"),
+            (F.char_length(t) - F.char_length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
             repeated.alias("n_repeat_words"),
             ((n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
