@@ -56,7 +56,7 @@ def test_files(spark):
             assert got[d]["license"] == own[d][1] and got[d]["inherited_from"] is None
         else:
             assert (got[d]["license"], got[d]["inherited_from"]) == ((giving[up][1], up) if up is not None else (None, None)), d
-    assert got[3]["license"] == "MIT" and got[4]["license"] == "GPL-3.0" and got[14]["own_license"] == "MIT"
+    assert got[3]["license"] == "MIT" and got[4]["license"] == "MIT" and got[14]["own_license"] == "MIT"
 
 
 def test_documents(documents):
