@@ -242,8 +242,7 @@ def _(spark, sf):
 , curve AS (SELECT measu, t, round(avg(v), 12) AS v, any_value(onset_frame) AS o FROM dff JOIN onset USING (measu)
             WHERE t >= onset_frame AND t < onset_frame + 15 GROUP BY ALL),
 pk AS (SELECT measu, any_value(o) AS o, arg_min(t, struct_pack(a := -v, b := t)) AS m FROM curve GROUP BY 1)
-SELECT measu, x, y, CASE WHEN max(m) < 63 AND min(o) >= 3 AND min(m) >= 1 THEN
-  round(avg(v) FILTER (t BETWEEN m - 1 AND m + 1) - avg(v) FILTER (t BETWEEN o - 3 AND o - 1), 6) END AS value
+SELECT measu, x, y, round(sum(v * CASE WHEN t BETWEEN o - 3 AND o - 1 THEN -1 WHEN t BETWEEN m - 1 AND m + 1 THEN 1 ELSE 0 END) / 3, 6) AS value
 FROM dff JOIN pk USING (measu) GROUP BY measu, x, y""",
     ),
 )

@@ -29,9 +29,9 @@ def metadata(spark, sf):
     return facts.join(rows, "measu")
 
 
-def full(spark, sf):
+def full(spark, sf, params=P):
     text = I.descriptions(M.roi_membership(spark, sf), "labels", "embedding label")
-    return H.full_traces(roi_traces(spark, sf), metadata(spark, sf), text, P)
+    return H.full_traces(roi_traces(spark, sf), metadata(spark, sf), text, params)
 
 
 def indexed_full(spark, sf):
@@ -63,6 +63,25 @@ def full_trace_table(spark, sf):
     )
 
 
+@query(
+    "h1_feature_22and35",
+    sql_over(
+        "roi_tr", "meas",
+        body=""", o AS (SELECT measu, CAST(trunc(on_ms / (100 + 50 * (measu % 5))) AS INTEGER) AS o FROM onset),
+r AS (SELECT roi_tr.*, o, 1000.0 / (100 + 50 * (roi_tr.measu % 5)) AS hz FROM roi_tr LEFT JOIN o USING (measu) JOIN meas USING (measu)),
+h AS (SELECT measu, roi, avg(v) FILTER (t BETWEEN 44 AND 46) - avg(v) FILTER (t BETWEEN 24 AND 26) AS c22 FROM r GROUP BY ALL)
+SELECT measu, roi, 100.0 + 50 * (measu % 5) AS period_ms, 2 AS n_values, round(c22, 6) AS first FROM h""",
+    ),
+)
+def _(spark, sf):
+    """Every value of a feature with two, at the period of each recording."""
+    text = I.descriptions(M.roi_membership(spark, sf))
+    own = M.measurements(spark, sf).select("measu", F.col("cycle").alias("period_ms"))
+    facts = metadata(spark, sf).join(own, "measu")
+    out = H.full_traces(roi_traces(spark, sf), facts, text, P.with_(feature="22and35"))
+    return out.select("measu", "roi", "period_ms", F.size("ctvs").alias("n_values"), F.round(F.col("ctvs")[0], 6).alias("first"))
+
+
 _H2 = """, b AS (SELECT measu, stim_idx, odor, conc, on_ms, off_ms, greatest(0, CAST(round_even((on_ms - 300) / 200, 0) AS INTEGER)) AS s,
   least(64, CAST(round_even((off_ms + 500) / 200, 0) AS INTEGER)) AS e FROM stimuli),
 c AS (SELECT roi_tr.measu, roi, stim_idx, any_value(odor) AS odour, any_value(conc) AS oconc, any_value(off_ms - on_ms) AS stim_len_ms,
@@ -92,6 +111,32 @@ def _(spark, sf):
     )
 
 
+@query(
+    "h2_chunk_extremes",
+    sql_over("roi_tr", "stimuli", body=_H2 + "SELECT measu, roi, stim_idx, 3 AS n_values FROM c"),
+)
+def _(spark, sf):
+    out = H.chunks(roi_traces(spark, sf), M.stimuli(spark, sf), CHUNK.with_(feature="chunk_magnitude_basic"))
+    return out.select("measu", "roi", "stim_idx", F.size("ctvs").alias("n_values"))
+
+
+@query(
+    "h2_chunk_background",
+    sql_over(
+        "roi_tr", "stimuli", "bg",
+        body=_H2
+        + """, k AS (SELECT r.measu, r.roi, b.stim_idx, r.t - b.s AS i, r.v, bg_start, bg_end FROM roi_tr r JOIN b ON b.measu = r.measu AND r.t BETWEEN b.s AND b.e
+  JOIN bg ON bg.measu = r.measu),
+m AS (SELECT measu, roi, stim_idx, avg(v) FILTER (i BETWEEN bg_start AND bg_end) AS v FROM k GROUP BY ALL)
+SELECT c.measu, c.roi, c.stim_idx, round(m.v, 6) AS ctv FROM c LEFT JOIN m USING (measu, roi, stim_idx)""",
+    ),
+)
+def _(spark, sf):
+    """Feature 303 of chunks reads the background frames of the recording."""
+    out = H.chunks(roi_traces(spark, sf), M.stimuli(spark, sf), CHUNK.with_(feature=303))
+    return out.select("measu", "roi", "stim_idx", F.round(F.nanvl("ctv", F.lit(None).cast("double")), 6).alias("ctv"))
+
+
 @query(
     "h3_output_switch",
     sql_over("roi_tr", "stimuli", body=""", f AS (SELECT DISTINCT measu, roi FROM roi_tr)
@@ -133,10 +178,10 @@ def _(spark, sf):
     return H.row(indexed_full(spark, sf), 13).select("idx", "measu", "roi", F.round(A.total(F.col("trace")), 6).alias("total"))
 
 
-@query("h8_matrix", sql_over("roi_tr", "meas", body=_H1 + "SELECT measu * 10 + CAST(substr(roi, 2) AS INTEGER) AS idx, n_frames, round(last, 6) AS last FROM h JOIN meas USING (measu)"))
+@query("h8_matrix", sql_over("roi_tr", "meas", body="SELECT measu * 10 + CAST(substr(roi, 2) AS INTEGER) AS idx, t, round(v, 6) AS v FROM roi_tr JOIN meas USING (measu)"))
 def _(spark, sf):
     out = H.matrix(indexed_full(spark, sf))
-    return out.select("idx", F.size("trace").cast("long").alias("n_frames"), F.round(F.element_at("trace", -1), 6).alias("last"))
+    return A.unrolled(out, "idx").withColumn("v", F.round("v", 6))
 
 
 @query("h9_export_attributes", sql_over("roi_tr", "meas", body=_H1 + """SELECT measu, roi, 0.0 AS "TraceOffset", 200.0 AS "Cycle", CAST(n_frames AS INTEGER) AS "NumFrames" FROM h JOIN meas USING (measu)"""))
@@ -160,9 +205,19 @@ def _(spark, sf):
     return out.withColumns({"time_s": F.round("time_s", 6), "v": F.round("v", 6)})
 
 
-@query("h12_wide_to_long", sql_over("roi_tr", "meas", body="SELECT measu, roi, t AS frame, round(v, 6) AS value FROM roi_tr JOIN meas USING (measu)"))
+def ragged(spark, sf):
+    """Region traces of several lengths: those of odd recordings end after 60 frames."""
+    even = F.col("measu") % 2 == 0
+    rows = full(spark, sf).withColumn("n_frames", F.when(even, F.col("n_frames")).otherwise(60))
+    return rows.withColumn("trace", F.when(even, F.col("trace")).otherwise(F.slice("trace", 1, 60)))
+
+
+_RAGGED = "(measu % 2 = 0 OR t < 60)"
+
+
+@query("h12_wide_to_long", sql_over("roi_tr", "meas", body=f"SELECT measu, roi, t AS frame, round(v, 6) AS value FROM roi_tr JOIN meas USING (measu) WHERE {_RAGGED}"))
 def _(spark, sf):
-    wide = CSV.to_wide(full(spark, sf).select("measu", "roi", "trace"), 64).drop("PlaceHolder")
+    wide = CSV.to_wide(ragged(spark, sf).select("measu", "roi", "trace")).drop("PlaceHolder")
     return H.wide_to_long(wide).withColumn("value", F.round("value", 6))
 
 
@@ -185,27 +240,30 @@ def _(spark, sf):
 
 @query(
     "h15_legacy_table",
-    sql_over("roi_tr", "meas", body=_H1 + """SELECT measu AS "NMeasu", roi AS "NGloTag", 200.0 AS "NGDMfreq", CAST(n_frames AS INTEGER) AS "NFrames", animal AS "TAnimal", label AS "TLabel",
-round(last, 6) AS "Frame63" FROM h JOIN meas USING (measu)"""),
+    sql_over("roi_tr", "meas", body=f"""SELECT measu AS "NMeasu", roi AS "NGloTag", 200.0 AS "NGDMfreq", CASE WHEN measu % 2 = 0 THEN 64 ELSE 60 END AS "NFrames",
+animal AS "TAnimal", label AS "TLabel", t, CASE WHEN {_RAGGED} THEN round(v, 6) END AS v FROM roi_tr JOIN meas USING (measu)"""),
 )
 def _(spark, sf):
-    out = H.legacy_table(full(spark, sf), 64)
-    return out.select("NMeasu", "NGloTag", "NGDMfreq", "NFrames", "TAnimal", "TLabel", F.round("Frame63", 6).alias("Frame63"))
+    """All frames of all rows; the short ones end in nulls."""
+    out = H.legacy_table(ragged(spark, sf)).drop("NCTV")
+    long = A.unrolled(out, *[c for c in out.columns if c != "frames"], trace="frames")
+    return long.withColumn("v", F.round("v", 6))
 
 
 def wide_text(spark, sf):
-    rows = full(spark, sf).select(
+    """The wide table as its lines of text say it, all cells being text."""
+    rows = ragged(spark, sf).select(
         F.col("measu").alias("Measu"), F.col("roi").alias("GloTag"), F.col("animal").alias("Animal"),
-        F.concat("label", F.lit("_x")).alias("line"),
-        F.when(F.col("measu") % 2 == 0, F.col("n_frames")).otherwise(60).alias("NumFrames"),
-        F.when(F.col("measu") % 2 == 0, F.col("trace")).otherwise(F.slice("trace", 1, 60)).alias("trace"),
+        F.concat("label", F.lit("_x")).alias("line"), F.col("n_frames").alias("NumFrames"), "trace",
     )
-    return CSV.to_wide(rows, 64)
+    wide = CSV.to_wide(rows)
+    lines = wide.select(CSV.wide_lines(wide).alias("value"))
+    return CSV.parse_wide(lines, [c for c in wide.columns if c != "frames"])
 
 
 @query(
     "s5_read_wide_table",
-    sql_over("roi_tr", "meas", body="""SELECT measu AS "Measu", roi AS "GloTag", label AS line, t, round(v, 6) AS v FROM roi_tr JOIN meas USING (measu) WHERE measu % 2 = 0 OR t < 60"""),
+    sql_over("roi_tr", "meas", body=f"""SELECT CAST(measu AS VARCHAR) AS "Measu", roi AS "GloTag", label AS line, t, round(v, 6) AS v FROM roi_tr JOIN meas USING (measu) WHERE {_RAGGED}"""),
 )
 def _(spark, sf):
     table = CSV.from_wide(wide_text(spark, sf))
@@ -214,7 +272,7 @@ def _(spark, sf):
 
 @query(
     "s6_metadata_only",
-    sql_over("roi_tr", "meas", body=_H1 + """SELECT measu AS "Measu", roi AS "GloTag", animal AS "Animal", label AS line, CASE WHEN measu % 2 = 0 THEN 64 ELSE 60 END AS "NumFrames" FROM h JOIN meas USING (measu)"""),
+    sql_over("roi_tr", "meas", body=_H1 + """SELECT CAST(measu AS VARCHAR) AS "Measu", roi AS "GloTag", animal AS "Animal", label AS line, CASE WHEN measu % 2 = 0 THEN '64' ELSE '60' END AS "NumFrames" FROM h JOIN meas USING (measu)"""),
 )
 def _(spark, sf):
     return CSV.metadata_only(wide_text(spark, sf))
@@ -222,7 +280,10 @@ def _(spark, sf):
 
 @query(
     "s7_wide_table",
-    sql_over("roi_tr", "meas", body=_H1 + """SELECT measu AS "Measu", roi AS "GloTag", 'Trace begins->' AS "PlaceHolder", CASE WHEN measu % 2 = 0 THEN round(last, 6) END AS "Frame63" FROM h JOIN meas USING (measu)"""),
+    sql_over("roi_tr", "meas", body=f"""SELECT CAST(measu AS VARCHAR) AS "Measu", roi AS "GloTag", 'Trace begins->' AS "PlaceHolder", t, CASE WHEN {_RAGGED} THEN round(v, 6) END AS v FROM roi_tr JOIN meas USING (measu)"""),
 )
 def _(spark, sf):
-    return wide_text(spark, sf).select("Measu", "GloTag", "PlaceHolder", F.round("Frame63", 6).alias("Frame63"))
+    """Every frame cell of every line, empty ones included."""
+    cells = wide_text(spark, sf).withColumn("frames", F.col("frames").cast("array<double>"))
+    long = A.unrolled(cells, "Measu", "GloTag", "PlaceHolder", trace="frames")
+    return long.withColumn("v", F.round("v", 6))

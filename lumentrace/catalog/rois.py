@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lumentrace.catalog import tables as M
 from lumentrace.catalog.features import signal
 from lumentrace.catalog.registry import query, sql_over
+from lumentrace.functions import arrays as A
+from lumentrace.model import Params
 from lumentrace.operators import rois as I
 from lumentrace.sources import roi_text as RT
 
@@ -84,12 +86,14 @@ def _(spark, sf):
 
 
 def footprints(spark, sf):
+    """Mean image of every recording."""
     return M.traces(spark, sf).select(
-        F.concat(F.lit("f"), F.col("measu").cast("string")).alias("roi"), "x", "y", F.col("trace")[0].alias("f")
+        F.concat(F.lit("f"), F.col("measu").cast("string")).alias("roi"), "x", "y", A.mean(F.col("trace")).alias("f")
     )
 
 
-_FOOT = """, f AS (SELECT 'f' || CAST(measu AS VARCHAR) AS roi, x, y, v AS f FROM pixels WHERE t = 0),
+_MEANS = ", g AS (SELECT measu, x, y, avg(v) AS v FROM pixels GROUP BY ALL)"
+_FOOT = _MEANS + """, f AS (SELECT 'f' || CAST(measu AS VARCHAR) AS roi, x, y, v AS f FROM g),
 w AS (SELECT roi, x, y, f / sum(f) OVER (PARTITION BY roi) AS w, f >= quantile_cont(f, 0.75) OVER (PARTITION BY roi) AS member FROM f)
 """
 
@@ -100,9 +104,9 @@ def _(spark, sf):
     return out.select("roi", "x", "y", F.round("w", 9).alias("w"), "member")
 
 
-@query("i5_label_image", sql_over("pixels", body="SELECT measu AS roi, x, y FROM pixels WHERE t = 0 AND v - 1000 > 0"))
+@query("i5_label_image", sql_over("pixels", body=_MEANS + " SELECT measu AS roi, x, y FROM g WHERE v - 1000 > 0"))
 def _(spark, sf):
-    return I.labelled_pixels(M.traces(spark, sf).select(F.col("measu").alias("roi"), "x", "y", (F.col("trace")[0] - 1000).alias("v")))
+    return I.labelled_pixels(M.traces(spark, sf).select(F.col("measu").alias("roi"), "x", "y", (A.mean(F.col("trace")) - 1000).alias("v")))
 
 
 @query("i6_whole_frame", sql_over("pixels", body="SELECT DISTINCT measu, 'uniform' AS roi, x, y FROM pixels"))
@@ -237,15 +241,54 @@ def _(spark, sf):
     return I.duplicate_ids(M.table(spark, sf, "part"), "p_name")
 
 
-@query("i20_roi_source_squares", """WITH s AS (SELECT s_name AS roi, s_suppkey % 172 AS cx, (s_suppkey * 7) % 130 AS cy FROM supplier),
+def _source(spark, sf, number, shapes):
+    out = I.roi_pixels(Params(roi_source=number), shapes, NX, NY)
+    return out.withColumn("w", F.round("w", 9))
+
+
+def in_two_files(shapes):
+    """The same labels in two files: two regions each."""
+    return shapes.withColumn("file", F.explode(F.array(F.lit("a.roi"), F.lit("b.roi"))))
+
+
+@query("i20_source_0_coor", """WITH s AS (SELECT s_name AS roi, s_suppkey % 172 AS cx, (s_suppkey * 7) % 130 AS cy FROM supplier),
 sq AS (SELECT roi, CAST(x AS INTEGER) AS x, CAST(129 - y AS INTEGER) AS y FROM s CROSS JOIN range(0, 172) a(x) CROSS JOIN range(0, 130) b(y)
   WHERE abs(x - cx) <= 5 AND abs(y - cy) <= 5)
-SELECT roi, x, y, round(CAST(1.0 / count(*) OVER (PARTITION BY roi) AS DOUBLE), 9) AS w FROM sq""")
+SELECT f AS file, roi, x, y, round(CAST(1.0 / count(*) OVER (PARTITION BY f, roi) AS DOUBLE), 9) AS w FROM sq, (VALUES ('a.roi'), ('b.roi')) v(f)""")
+def _(spark, sf):
+    return _source(spark, sf, 0, in_two_files(squares(spark, sf)))
+
+
+@query("i20_source_2_area_labels", sql_over("pixels", body=_MEANS + """, l AS (SELECT measu, 'm' || CAST(measu % 3 AS VARCHAR) AS roi, x, y FROM g WHERE v - 1000 > 0)
+SELECT measu, roi, x, y, round(CAST(1.0 / count(*) OVER (PARTITION BY measu, roi) AS DOUBLE), 9) AS w FROM l"""))
+def _(spark, sf):
+    label = F.concat(F.lit("m"), (F.col("measu") % 3).cast("string"))
+    image = M.traces(spark, sf).select("measu", label.alias("roi"), "x", "y", (A.mean(F.col("trace")) - 1000).alias("v"))
+    return _source(spark, sf, 2, image)
+
+
+@query("i20_source_3_text", _POLY.replace("SELECT roi, CAST(x", "SELECT roi, round(CAST(1.0 / count(*) OVER (PARTITION BY roi) AS DOUBLE), 9) AS w, CAST(x"))
 def _(spark, sf):
-    from lumentrace.model import Params
+    shapes = polygons(spark, sf).selectExpr("roi", "'polygon' AS kind", "CAST(NULL AS DOUBLE) AS cx", "CAST(NULL AS DOUBLE) AS cy", "CAST(NULL AS DOUBLE) AS d", "vertices")
+    return _source(spark, sf, 3, shapes)
+
+
+@query("i20_source_4_footprints", sql_over("pixels", body=_FOOT + "SELECT roi, x, y, round(w, 9) AS w FROM w"))
+def _(spark, sf):
+    return _source(spark, sf, 4, footprints(spark, sf))
+
 
-    out = I.roi_pixels(Params(roi_source=5), squares(spark, sf), NX, NY)
-    return out.select("roi", "x", "y", F.round("w", 9).alias("w"))
+@query("i20_source_5_area_footprints", sql_over("pixels", body=_MEANS + """, f AS (SELECT measu, 'area' AS roi, x, y, v AS f FROM g)
+SELECT measu, roi, x, y, round(f / sum(f) OVER (PARTITION BY measu), 9) AS w FROM f"""))
+def _(spark, sf):
+    image = M.traces(spark, sf).select("measu", F.lit("area").alias("roi"), "x", "y", A.mean(F.col("trace")).alias("f"))
+    return _source(spark, sf, 5, image)
+
+
+@query("i20_source_6_whole_frame", sql_over("pixels", body=""", g AS (SELECT DISTINCT measu, x, y FROM pixels)
+SELECT measu, 'uniform' AS roi, x, y, round(CAST(1.0 / count(*) OVER (PARTITION BY measu) AS DOUBLE), 9) AS w FROM g"""))
+def _(spark, sf):
+    return _source(spark, sf, 6, M.traces(spark, sf))
 
 
 @query("i21_area_of_rois", sql_over("roi_px", body="SELECT DISTINCT measu, x, y FROM roi_px WHERE roi IN ('r1', 'r4', 'r7')"))

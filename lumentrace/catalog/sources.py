@@ -134,11 +134,12 @@ def _(spark, sf):
     "s23_protocols",
     """WITH p AS (SELECT p_partkey, p_size, unnest([p_type, p_brand, p_name]) AS stimulus, unnest([0, 1, 2]) AS measu FROM part)
 SELECT 'p' || CAST(p_partkey AS VARCHAR) AS file, CAST(measu AS INTEGER) AS measu, stimulus, 1000.0 / p_size AS cycle,
-'A' || CAST(p_partkey AS VARCHAR) || '_T1' AS label, p_size * 3 AS n_frames, -1 AS "analyze", '0' AS lambda_nm FROM p""",
+'A' || CAST(p_partkey AS VARCHAR) || '_12:30: T' || CAST(p_size AS VARCHAR) AS label, p_size * 3 AS n_frames, -1 AS "analyze", '0' AS lambda_nm FROM p""",
 )
 def _(spark, sf):
     text = F.concat(
-        F.lit("Animal : A"), F.col("p_partkey").cast("string"), F.lit("\nTrial: T1\r\nFPS : "), F.col("p_size").cast("string"),
+        F.lit("Animal : A"), F.col("p_partkey").cast("string"), F.lit("\nTrial: 12:30: T"), F.col("p_size").cast("string"),
+        F.lit("\r\nFPS : "), F.col("p_size").cast("string"),
         F.lit("\nDuration: "), (F.col("p_size") * 3).cast("string"), F.lit("\n\nStimuli : "), F.concat_ws(", ", "p_type", "p_brand", "p_name"),
     )
     texts = M.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file"), text.alias("value"))

@@ -339,6 +339,8 @@ def global_peak_overview(traces: DataFrame, onsets: DataFrame, rate_hz: float) -
     """C_frame 35: the frame-mean curve picks one peak frame per recording.
 
     ``onsets(measu, onset_frame)``. The curve is averaged map-side per (recording, frame).
+    The three frames around the peak weigh 1/3, then the three before the onset -1/3, which
+    holds where both meet; frames that do not exist weigh nothing.
     """
     from lumentrace.plans.skew import join_per_key
 
@@ -351,8 +353,13 @@ def global_peak_overview(traces: DataFrame, onsets: DataFrame, rate_hz: float) -
         .agg(F.avg("v").alias("v"))
     )
     peaks = curve.groupBy("measu").agg((-F.max(F.struct("v", (-F.col("t")).alias("k")))["k"]).alias("peak"))
-    trace, on = F.col("trace"), F.col("onset_frame")
-    value = A.around(trace, F.col("peak")) - A.around(trace, on - 2)
+    trace, on, peak = F.col("trace"), F.col("onset_frame"), F.col("peak")
+
+    def weight(i: Column) -> Column:
+        return F.when(F.abs(i - (on - 2)) <= 1, F.lit(-1.0)).when(F.abs(i - peak) <= 1, F.lit(1.0)).otherwise(0.0)
+
+    near = F.array_distinct(F.concat(*[F.array(on - 3 + k, peak - 1 + k) for k in range(3)]))
+    value = A.total(F.transform(near, lambda i: F.coalesce(A.at(trace, i) * weight(i), F.lit(0.0)))) / 3
     return join_per_key(marked, peaks, ["measu"], spread=["x", "y"]).select("measu", "x", "y", value.alias("value"))
 
 

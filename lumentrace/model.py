@@ -56,7 +56,7 @@ SampFreq|recording|Hz|SampFreq|frequency||5
 MTime|||mtime|m_time||-00:00:00
 Control|||control|kontrollmessung||0
 Pharma|treatment||pharma|treatment||not set yet
-PhTime|treatment||pharma_time|||0
+PhTime|treatment||pharma_time|pharma_time||0
 PhConc|treatment||pharma_conc|treat_conc||0
 Comment|||comment|remark||not set yet
 ShiftX|||shiftx|shiftX||0

@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from lumentrace.functions import arrays as A
 from lumentrace.functions import features as C
 from lumentrace.model import Params
-from lumentrace.operators.stimuli import onsets
+from lumentrace.operators.stimuli import background_ranges, onsets
 from lumentrace.plans.ranking import indexed
 from lumentrace.plans.skew import join_per_key
 
 
-def first_value(values: list[Column]) -> Column:
-    """C_safe value of the first feature number."""
-    return C.safe(values)[0]
+#: Features that read the background frames of the recording.
+BACKGROUND_FEATURES = ("0", "303", "333")
+
+
+def feature_values(params: Params, trace: Column, ctx: C.FeatureContext) -> dict[str, Column]:
+    """``ctvs``, all C_safe values of the chosen feature, and ``ctv``, the first of them."""
+    values = C.safe(C.feature(params.feature)(trace, ctx))
+    return {"ctvs": F.array(*values), "ctv": values[0]}
 
 
 def full_traces(
@@ -30,23 +35,25 @@ def full_traces(
     """H1: a row per region with metadata, trace, feature value and region text.
 
     ``metadata`` has one row per recording and may carry ``on_ms``, ``bg_start`` and
-    ``bg_end`` for features that need them; ``descriptions(measu, roi, glo_info)``.
+    ``bg_end`` for features that need them, and ``period_ms``, the sampling period of the
+    recording (else the given one); ``descriptions(measu, roi, glo_info)``.
     """
     described = roi_traces.join(descriptions.select("measu", "roi", "glo_info"), ["measu", "roi"], "left")
     joined = join_per_key(described, metadata, ["measu"], spread=["roi"])
-    ctx = _context(joined, params, period_ms)
+    if "period_ms" not in joined.columns:
+        joined = joined.withColumn("period_ms", F.lit(float(period_ms)))
+    ctx = _context(joined, params)
     return joined.withColumns(
         {
             "t_start_s": F.lit(0.0),
-            "period_ms": F.lit(float(period_ms)),
             "n_frames": F.size("trace"),
-            "ctv": first_value(C.feature(params.feature)(F.col("trace"), ctx)),
+            **feature_values(params, F.col("trace"), ctx),
         }
     )
 
 
-def _context(df: DataFrame, params: Params, period_ms: float) -> C.FeatureContext:
-    columns = {"period_ms": F.lit(float(period_ms))}
+def _context(df: DataFrame, params: Params) -> C.FeatureContext:
+    columns = {"period_ms": F.col("period_ms")}
     if "on_ms" in df.columns:
         columns["on_ms"] = F.col("on_ms")
     if "bg_start" in df.columns:
@@ -54,9 +61,12 @@ def _context(df: DataFrame, params: Params, period_ms: float) -> C.FeatureContex
     return C.FeatureContext.from_params(params, **columns)
 
 
-def chunks(roi_traces: DataFrame, stimuli: DataFrame, params: Params) -> DataFrame:
+def chunks(roi_traces: DataFrame, stimuli: DataFrame, params: Params, backgrounds: DataFrame | None = None) -> DataFrame:
     """H2: per region and stimulus the trace from before the pulse to after it.
 
+    Features that read background frames take the range of the recording from
+    ``backgrounds(measu, bg_start, bg_end)``, or else the T10 range of its pulses.
+
     Bounds are rounded half-even to frames; the end frame is included; the on-time is
     given relative to the rounded chunk start. Arrays are cut in place, so no frame rows
     are made.
@@ -73,12 +83,20 @@ def chunks(roi_traces: DataFrame, stimuli: DataFrame, params: Params) -> DataFra
     )
     chunk = A.span(F.col("trace"), F.col("start_idx"), F.col("end_idx"))
     cut = cut.withColumn("chunk", chunk)
-    ctx = C.FeatureContext.from_params(params, period_ms=period)
+    facts = {"period_ms": period}
     if str(params.feature) in ("35", "22and35"):
         # These read the on-time of the chosen stimulus of the recording.
         chosen = onsets(stimuli, params.stimulus_number).withColumnRenamed("on_ms", "chosen_on_ms")
         cut = join_per_key(cut, chosen, ["measu"], "left", spread=["roi", "stim_idx"])
-        ctx = C.FeatureContext.from_params(params, period_ms=period, on_ms=F.col("chosen_on_ms"))
+        facts["on_ms"] = F.col("chosen_on_ms")
+    if str(params.feature) in BACKGROUND_FEATURES:
+        if backgrounds is None:
+            backgrounds = background_ranges(stimuli.select("measu").distinct(), stimuli, params)
+        ranges = backgrounds.select("measu", "bg_start", "bg_end")
+        cut = join_per_key(cut, ranges, ["measu"], "left", spread=["roi", "stim_idx"])
+        facts["background"] = (F.col("bg_start"), F.col("bg_end"))
+    ctx = C.FeatureContext.from_params(params, **facts)
+    values = feature_values(params, F.col("chunk"), ctx)
     return cut.select(
         "measu", "roi", "stim_idx", F.col("odor").alias("odour"), F.col("conc").alias("oconc"),
         (F.col("off_ms") - F.col("on_ms")).alias("stim_len_ms"),
@@ -87,7 +105,7 @@ def chunks(roi_traces: DataFrame, stimuli: DataFrame, params: Params) -> DataFra
         "period_ms",
         F.size("chunk").alias("n_frames"),
         F.col("chunk").alias("trace"),
-        first_value(C.feature(params.feature)(F.col("chunk"), ctx)).alias("ctv"),
+        *[v.alias(name) for name, v in values.items()],
     )
 
 
@@ -153,7 +171,11 @@ def with_time_axis(table: DataFrame, *keep: str) -> DataFrame:
 
 
 def wide_to_long(wide: DataFrame, value: str = "value") -> DataFrame:
-    """FrameN columns to rows; the number comes from the column name."""
+    """Frames to rows, without empty ones: the array ``frames`` of a wide table, or the
+    columns FrameN of one that has them; the number is the position or in the name."""
+    if "frames" in wide.columns:
+        ids = [c for c in wide.columns if c != "frames"]
+        return A.unrolled(wide, *ids, trace="frames", names=("frame", value)).filter(F.col(value).isNotNull())
     frames = [c for c in wide.columns if c.lower().startswith("frame") and c[5:].isdigit()]
     ids = [c for c in wide.columns if c not in frames]
     long = wide.unpivot(ids, frames, "__name", value)
@@ -174,9 +196,20 @@ def export_by_animal(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").partitionBy("animal").parquet(path)
 
 
-def legacy_table(table: DataFrame, frames: int) -> DataFrame:
-    """The fixed numeric, text and frame columns of the older export."""
-    columns = [
+def padded(table: DataFrame, trace: str = "trace") -> Column:
+    """A trace with nulls up to the length of the longest one in the table."""
+    longest = table.agg(F.coalesce(F.max(F.size(trace)), F.lit(0))).scalar()
+    rest = F.greatest(longest - F.size(trace), F.lit(0))
+    return F.concat(F.col(trace), F.array_repeat(F.lit(None).cast("double"), rest))
+
+
+def legacy_table(table: DataFrame) -> DataFrame:
+    """The fixed numeric and text columns of the older export, and ``frames`` of one length.
+
+    The frames stay one array, so the plan does not grow with the movie; text output writes
+    them as one column each.
+    """
+    return table.select(
         F.col("measu").alias("NMeasu"),
         F.col("roi").alias("NGloTag"),
         F.col("period_ms").alias("NGDMfreq"),
@@ -184,5 +217,5 @@ def legacy_table(table: DataFrame, frames: int) -> DataFrame:
         F.col("ctv").alias("NCTV"),
         F.col("animal").alias("TAnimal"),
         F.col("label").alias("TLabel"),
-    ]
-    return table.select(*columns, *[A.at(F.col("trace"), i).alias(f"Frame{i}") for i in range(frames)])
+        padded(table).alias("frames"),
+    )

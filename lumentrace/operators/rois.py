@@ -11,6 +11,14 @@ from lumentrace.plans.ranking import indexed
 from lumentrace.plans.skew import SALTS, join_per_key
 
 
+#: Columns that say whose a region is; equal labels of different files or animals are different regions.
+IDENTITY = ("animal", "file", "measu", "roi")
+
+
+def _identity(df: DataFrame) -> list[str]:
+    return [c for c in IDENTITY if c in df.columns]
+
+
 def _truncated(c: str) -> Column:
     return F.col(c).cast("int")
 
@@ -22,12 +30,15 @@ def _clipped(pixels: DataFrame, nx: int, ny: int) -> DataFrame:
 def circle_pixels(shapes: DataFrame, nx: int, ny: int, filled: bool = False) -> DataFrame:
     """Pixels of circles ``shapes(roi, cx, cy, d)``: the outline by the midpoint rule.
 
+    Like all shape operators it keeps the identity columns that the shapes have.
+
     For offset b in one octant the other offset is the largest a with
     2 b^2 + a^2 + (a - 1)^2 < 2 R^2. ``filled=True`` gives the disc inside the outline.
     """
     r = (F.col("d") / 2).cast("int")
+    ids = _identity(shapes)
     octant = shapes.select(
-        "roi", _truncated("cx").alias("cx"), _truncated("cy").alias("cy"), r.alias("r"),
+        *ids, _truncated("cx").alias("cx"), _truncated("cy").alias("cy"), r.alias("r"),
         F.explode(F.sequence(F.lit(0), r)).alias("b"),
     )
     inner = F.col("r") * F.col("r") - F.col("b") * F.col("b") - 0.25
@@ -52,8 +63,8 @@ def circle_pixels(shapes: DataFrame, nx: int, ny: int, filled: bool = False) ->
                 for sy in (1, -1)
             ]
         )
-    spread = octant.select("roi", "cx", "cy", F.explode(points).alias("p"))
-    pixels = spread.select("roi", (F.col("cx") + F.col("p.dx")).alias("x"), (F.col("cy") + F.col("p.dy")).alias("y"))
+    spread = octant.select(*ids, "cx", "cy", F.explode(points).alias("p"))
+    pixels = spread.select(*ids, (F.col("cx") + F.col("p.dx")).alias("x"), (F.col("cy") + F.col("p.dy")).alias("y"))
     return _clipped(pixels, nx, ny).distinct()
 
 
@@ -66,7 +77,8 @@ def polygon_pixels(shapes: DataFrame, nx: int, ny: int) -> DataFrame:
     whole = F.transform(
         "vertices", lambda p: F.struct(F.bround(p["x"]).cast("int").alias("x"), F.bround(p["y"]).cast("int").alias("y"))
     )
-    rows = shapes.select("roi", whole.alias("v"))
+    ids = _identity(shapes)
+    rows = shapes.select(*ids, whole.alias("v"))
     after = F.concat(F.slice("v", 2, F.size("v")), F.slice("v", 1, 1))
     edges = F.zip_with("v", after, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
@@ -76,8 +88,8 @@ def polygon_pixels(shapes: DataFrame, nx: int, ny: int) -> DataFrame:
         high = F.least(F.array_max(values), F.lit(size - 1))
         return F.when(low <= high, F.sequence(low, high))
 
-    box = rows.select("roi", edges.alias("edges"), F.explode(span("x", nx)).alias("x"), span("y", ny).alias("ys"))
-    box = box.select("roi", "edges", "x", F.explode("ys").alias("y"))
+    box = rows.select(*ids, edges.alias("edges"), F.explode(span("x", nx)).alias("x"), span("y", ny).alias("ys"))
+    box = box.select(*ids, "edges", "x", F.explode("ys").alias("y"))
     x, y = F.col("x"), F.col("y")
 
     def crosses(e: Column) -> Column:
@@ -91,7 +103,7 @@ def polygon_pixels(shapes: DataFrame, nx: int, ny: int) -> DataFrame:
         return straight & x.between(F.least(px, qx), F.greatest(px, qx)) & y.between(F.least(py, qy), F.greatest(py, qy))
 
     odd = F.size(F.filter("edges", lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return box.filter(odd | F.exists("edges", on_edge)).select("roi", "x", "y")
+    return box.filter(odd | F.exists("edges", on_edge)).select(*ids, "x", "y")
 
 
 def square_pixels(shapes: DataFrame, nx: int, ny: int) -> DataFrame:
@@ -102,26 +114,28 @@ def square_pixels(shapes: DataFrame, nx: int, ny: int) -> DataFrame:
         high = F.least(F.col(c) + F.col("half"), F.lit(size - 1))
         return F.when(low <= high, F.sequence(low, high))
 
-    box = shapes.select("roi", F.explode(span("cx", nx)).alias("x"), span("cy", ny).alias("ys"))
-    return box.select("roi", "x", F.explode("ys").alias("y")).withColumn("y", ny - 1 - F.col("y"))
+    ids = _identity(shapes)
+    box = shapes.select(*ids, F.explode(span("cx", nx)).alias("x"), span("cy", ny).alias("ys"))
+    return box.select(*ids, "x", F.explode("ys").alias("y")).withColumn("y", ny - 1 - F.col("y"))
 
 
 def footprint_weights(footprints: DataFrame, threshold: float = 75.0) -> DataFrame:
     """I4: ``footprints(roi, x, y, f)``: w = f / sum(f), member when w reaches the
     percentile (linear interpolation). A group holds one frame of one region."""
     f = F.nanvl("f", F.lit(None).cast("double"))
-    totals = footprints.groupBy("roi").agg(
+    ids = _identity(footprints)
+    totals = footprints.groupBy(*ids).agg(
         F.sum(f).alias("__sum"), F.percentile(f, F.lit(threshold / 100)).alias("__p")
     )
-    joined = join_per_key(footprints, totals, ["roi"], spread=["x", "y"])
+    joined = join_per_key(footprints, totals, ids, spread=["x", "y"])
     return joined.select(
-        "roi", "x", "y", (f / F.col("__sum")).alias("w"), (f >= F.col("__p")).alias("member")
+        *ids, "x", "y", (f / F.col("__sum")).alias("w"), (f >= F.col("__p")).alias("member")
     )
 
 
 def labelled_pixels(image: DataFrame) -> DataFrame:
     """Members of a label image are its positive pixels."""
-    return image.filter(F.col("v") > 0).select("roi", "x", "y")
+    return image.filter(F.col("v") > 0).select(*_identity(image), "x", "y")
 
 
 def whole_frame_roi(pixels: DataFrame, label: str = "uniform") -> DataFrame:
@@ -130,7 +144,7 @@ def whole_frame_roi(pixels: DataFrame, label: str = "uniform") -> DataFrame:
 
 
 def _roi_keys(members: DataFrame) -> list[str]:
-    return [c for c in ("measu", "roi") if c in members.columns]
+    return _identity(members)
 
 
 def weighted(members: DataFrame) -> DataFrame:
@@ -179,7 +193,8 @@ def without_perimeter(members: DataFrame) -> DataFrame:
 
 def footprint_perimeter(footprints: DataFrame, threshold: float = 75.0) -> DataFrame:
     """Boundary pixels of the thresholded footprint."""
-    return perimeter(footprint_weights(footprints, threshold).filter("member").select("roi", "x", "y"))
+    members = footprint_weights(footprints, threshold).filter("member")
+    return perimeter(members.select(*_identity(members), "x", "y"))
 
 
 def weighted_points(frames: DataFrame, *more: Column) -> DataFrame:
@@ -227,12 +242,13 @@ def descriptions(members: DataFrame, file: str = "", text: str = "") -> DataFram
 
 
 def last_definitions(shapes: DataFrame, label: str = "roi", line: str = "line_no") -> DataFrame:
-    """Of equal labels the last definition counts, at the place of the first."""
-    others = [c for c in shapes.columns if c not in (label, line)]
-    kept = shapes.groupBy(label).agg(
+    """Of equal labels of a file the last definition counts, at the place of the first."""
+    keys = [label, *[c for c in _identity(shapes) if c != label]]
+    others = [c for c in shapes.columns if c not in (*keys, line)]
+    kept = shapes.groupBy(*keys).agg(
         F.min(line).alias(line), F.max_by(F.struct(*others), line).alias("__d")
     )
-    return kept.select(label, line, *[F.col(f"__d.{c}").alias(c) for c in others])
+    return kept.select(*keys, line, *[F.col(f"__d.{c}").alias(c) for c in others])
 
 
 def relabelled(rois: DataFrame, labels: DataFrame, order: str = "roi_idx") -> DataFrame:
@@ -270,8 +286,8 @@ def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
-#: Kind of region source by number.
-ROI_SOURCES = {0: "coor", 2: "uniform", 3: "text", 4: "footprint", 5: "squares", 6: "label_image"}
+# Kind of region source by number (I20). An area image of kind 5 is read as footprints.
+ROI_SOURCES = {0: "squares", 2: "label_image", 3: "text", 4: "footprint", 5: "footprint", 6: "uniform"}
 
 
 def roi_pixels(params: Params, shapes: DataFrame, nx: int, ny: int) -> DataFrame:
@@ -281,10 +297,11 @@ def roi_pixels(params: Params, shapes: DataFrame, nx: int, ny: int) -> DataFrame
         circles = circle_pixels(shapes.filter(F.col("kind") == "circle"), nx, ny)
         polygons = polygon_pixels(shapes.filter(F.col("kind") == "polygon"), nx, ny)
         return weighted(circles.unionByName(polygons))
-    if kind in ("coor", "squares"):
+    if kind == "squares":
         return weighted(square_pixels(shapes.withColumn("half", F.lit(params.roi_radius)), nx, ny))
     if kind == "footprint":
-        return footprint_weights(shapes, params.roi_threshold).select("roi", "x", "y", "w")
+        weights = footprint_weights(shapes, params.roi_threshold)
+        return weights.select(*_identity(weights), "x", "y", "w")
     if kind == "label_image":
         return weighted(labelled_pixels(shapes))
     if kind == "uniform":

@@ -134,12 +134,13 @@ def without_list(files: DataFrame, sampling_rate: Column | float) -> DataFrame:
 def parse_protocols(texts: DataFrame) -> DataFrame:
     """``key : value`` protocols, one row per entry of ``Stimuli``.
 
-    ``texts(file, value)`` holds whole files. Cycle = 1000 / FPS, label = Animal_Trial.
+    ``texts(file, value)`` holds whole files. Cycle = 1000 / FPS, label = Animal_Trial. A
+    value is all that follows the first colon of its line.
     """
     # Text pairs are read by hand: keys and values may carry blanks around the colon.
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: s.contains(":"))
     pairs = F.transform(
-        lines, lambda s: F.struct(F.trim(F.get(F.split(s, ":"), F.lit(0))).alias("k"), F.trim(F.get(F.split(s, ":"), F.lit(1))).alias("v"))
+        lines, lambda s: F.struct(F.trim(F.regexp_extract(s, r"^([^:]*):", 1)).alias("k"), F.trim(F.regexp_extract(s, r"^[^:]*:(.*)$", 1)).alias("v"))
     )
     facts = texts.select("file", F.map_from_entries(pairs).alias("m"))
     stimuli = F.transform(F.split(F.col("m")["Stimuli"], ","), lambda s: F.trim(s))

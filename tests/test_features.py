@@ -120,3 +120,14 @@ def test_signal_runs_on_a_stream(spark, traces, tmp_path):
     query.awaitTermination(60)
     assert spark.table("dff_stream").exceptAll(dff_stream(traces, Params())).count() == 0
     assert spark.table("dff_stream").count() == 60
+
+
+def test_global_peak_at_the_onset(spark):
+    """Frame on-1 is next to the peak and before the onset: the later rule, -1/3, holds."""
+    from lumentrace.functions import features as C
+
+    trace = [1.0, 2.0, 4.0, 8.0, 100.0, 16.0, 3.0, 2.0, 1.0, 0.0]
+    traces = spark.createDataFrame([(1, 0, 0, trace), (2, 0, 0, trace[:5])], "measu BIGINT, x INT, y INT, trace ARRAY<DOUBLE>")
+    onsets = spark.createDataFrame([(1, 4), (2, 4)], "measu BIGINT, onset_frame INT")
+    got = {r.measu: r.value for r in C.global_peak_overview(traces, onsets, 5.0).collect()}
+    assert abs(got[1] - (100 + 16 - 2 - 4 - 8) / 3) < 1e-9 and abs(got[2] - (100 - 2 - 4 - 8) / 3) < 1e-9

@@ -298,3 +298,11 @@ def test_whole_frame_correction(bleached, facts):
     fit = fit_decay(np.median(stack, axis=0)[None], w)[0][0]
     got = np.sort(np.array([r.trace for r in out]), axis=0)
     np.testing.assert_allclose(got, np.sort(stack - fit, axis=0), atol=1e-9)
+
+
+def test_decay_rate_is_free():
+    t = np.arange(64.0)
+    for a, k, c in ((2, -5, 3), (2, -3, 3), (3, -12, 1), (5, -0.05, 1), (100, -0.5, 7)):
+        y = (a * np.exp(k * t) + c)[None]
+        fitted, abc = fit_decay(y, np.ones(64))
+        assert np.abs(fitted - y).max() < 1e-8 and np.allclose(abc[0], [a, k, c], rtol=1e-5)

@@ -125,3 +125,17 @@ def test_binning_must_divide(spark):
     df = spark.createDataFrame([(0, "l", 10, 9, 1.0, 1.0)], "row_idx INT, label STRING, frame_x INT, frame_y INT, pxszx DOUBLE, pxszy DOUBLE")
     with pytest.raises(Exception):
         L.binned_metadata(df, 2).collect()
+
+
+def test_every_name_in_every_vocabulary(spark):
+    from lumentrace.model import meta_rows
+
+    rows = [r for r in meta_rows()]
+    assert dict((r[0], r[4]) for r in rows)["PhTime"] == "pharma_time"
+    places = {"list": 0, "settings": 3, "p1": 4}
+    kinds = [k for k in places if k in ("list", "settings")]
+    for source in kinds:
+        for target in kinds:
+            names = [(r[places[source]], r[places[target]]) for r in rows if r[places[source]] and r[places[target]]]
+            df = spark.createDataFrame([tuple(range(len(names)))], [a for a, _ in names])
+            assert L.renamed(df, source, target).columns == [b for _, b in names]

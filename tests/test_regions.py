@@ -193,3 +193,31 @@ def test_wide_text_round_trip(spark, tables, tmp_path):
     assert "PlaceHolder" not in CSV.read_gdm_metadata(spark, str(tmp_path / "gdm")).columns
     H.export_by_animal(roi.withColumn("animal", F.lit("a1")), str(tmp_path / "by"))
     assert spark.read.parquet(str(tmp_path / "by")).filter("animal = 'a1'").count() == 3
+
+
+def test_equal_labels_of_two_files_stay_apart(spark):
+    shapes = spark.createDataFrame([("1", "a.roi", 10.0, 10.0, 4.0), ("1", "b.roi", 30.0, 30.0, 4.0)], "roi STRING, file STRING, cx DOUBLE, cy DOUBLE, d DOUBLE")
+    weights = I.weighted(I.circle_pixels(shapes, 172, 130))
+    sums = {(r.file, r.roi): (round(r.s, 9), r.n) for r in weights.groupBy("file", "roi").agg(F.sum("w").alias("s"), F.count("w").alias("n")).collect()}
+    assert set(sums) == {("a.roi", "1"), ("b.roi", "1")} and all(s == 1.0 for s, _ in sums.values())
+    lines = spark.createDataFrame([("1", "a", 1, 5), ("1", "a", 2, 6), ("1", "b", 1, 7)], "roi STRING, file STRING, line_no INT, cx INT")
+    assert sorted((r.file, r.cx) for r in I.last_definitions(lines).collect()) == [("a", 6), ("b", 7)]
+
+
+def test_chunk_background_is_that_of_the_recording(spark):
+    """A ramp with the onset at frame 20: frames 4 to 19 of the chunk, whose mean is 11.5."""
+    roi = spark.createDataFrame([(1, "r", [float(i) for i in range(64)])], "measu BIGINT, roi STRING, trace ARRAY<DOUBLE>")
+    stim = spark.createDataFrame([(1, 0, "o", 1.0, 4000.0, 5000.0, 200.0)], "measu BIGINT, stim_idx INT, odor STRING, conc DOUBLE, on_ms DOUBLE, off_ms DOUBLE, period_ms DOUBLE")
+    rows = H.chunks(roi, stim, Params(chunk_pre_s=100.0, chunk_post_s=100.0, feature=303)).collect()
+    assert [r.ctv for r in rows] == [11.5] and rows[0].ctvs == [11.5]
+
+
+def test_ragged_traces_keep_all_frames(spark, tmp_path):
+    rows = [(1, "a", [1.0, 2.0, 3.0, 4.0, 5.0], 5), (2, "b", [6.0], 1), (3, "c", [], 0)]
+    table = spark.createDataFrame(rows, "Measu BIGINT, GloTag STRING, trace ARRAY<DOUBLE>, NumFrames INT")
+    CSV.write_gdm(table, str(tmp_path / "ragged"))
+    back = {r.Measu: r.trace for r in CSV.read_gdm(spark, str(tmp_path / "ragged")).collect()}
+    assert back == {str(m): t for m, _, t, _ in rows}
+    wide = CSV.to_wide(table).select("Measu", "frames")
+    assert {len(r.frames) for r in wide.collect()} == {5}
+    assert H.wide_to_long(wide).count() == 6
