@@ -199,6 +199,22 @@ def _(spark, sf):
     return scaled.select("measu", "x", "y", O.colour(F.col("v"), "heat").alias("c")).select("measu", "x", "y", "c.r", "c.g", "c.b")
 
 
+@query(
+    "o11_standard_colours",
+    """WITH n AS (SELECT vec_id, CAST(greatest(least(floor(abs(CAST(embedding[1] AS DOUBLE)) * 255), 255), 0) AS INTEGER) AS i FROM embeddings),
+h AS (SELECT vec_id, 255 / 360.0::DOUBLE * (1 - i / 255.0::DOUBLE) * 6.0::DOUBLE AS h FROM n),
+f AS (SELECT vec_id, CAST(trunc(h) AS INTEGER) AS k, h - trunc(h) AS f FROM h),
+c AS (SELECT vec_id, k, 1 - f AS q, 1 - (1 - f) AS t FROM f)
+SELECT vec_id, CAST(floor(255 * (CASE WHEN k IN (0, 5) THEN 1 WHEN k = 1 THEN q WHEN k = 4 THEN t ELSE 0 END) + 0.5) AS INTEGER) AS r,
+CAST(floor(255 * (CASE WHEN k = 0 THEN t WHEN k IN (1, 2) THEN 1 WHEN k = 3 THEN q ELSE 0 END) + 0.5) AS INTEGER) AS g,
+CAST(floor(255 * (CASE WHEN k = 2 THEN t WHEN k IN (3, 4) THEN 1 WHEN k = 5 THEN q ELSE 0 END) + 0.5) AS INTEGER) AS b FROM c""",
+)
+def _(spark, sf):
+    rows = M.table(spark, sf, "embeddings").select("vec_id", F.abs(F.col("embedding")[0].cast("double")).alias("v"))
+    return rows.select("vec_id", O.colour(F.col("v"), "standard").alias("c")).select("vec_id", "c.r", "c.g", "c.b")
+
+
+
 @query("o12_stack_frame", sql_over("dff", body=_OV + "SELECT measu, x, y, round(v, 6) AS v, CAST(t AS INTEGER) AS t FROM ov CROSS JOIN range(0, 12) r(t)"))
 def _(spark, sf):
     return rnd(O.stacked(overview(spark, sf), 12), "v")

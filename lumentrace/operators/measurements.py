@@ -118,14 +118,25 @@ def analyze_state(passed: Column, current: Column) -> Column:
     return F.when(~passed, 0).when(current.isNull() | (current < 0), 1).otherwise(current)
 
 
+#: List names of the file columns in recording vocabulary, for their defaults.
+DEFAULT_OF = {"dbb1": "DBB1"}
+
+
 def checked_files(df: DataFrame, listing: DataFrame, columns: Sequence[str], absolute: bool = False) -> DataFrame:
-    """All data files of a recording must be listed. ``listing(stem, path)``."""
+    """All data files of a recording must be listed. ``listing(stem, path)``.
+
+    A null or default cell names no file. Such cells get join keys of their own, so that the
+    default, which most rows of one wavelength hold, does not meet in one task.
+    """
     found = F.lit(True)
+    base = defaults()
     files = listing.groupBy("stem").agg(F.min("path").alias("path"))
     joined = df
     for c in columns:
-        side = files.select(F.col("stem").alias(c), F.col("path").alias(f"__path_{c}"))
-        joined = joined.join(side, c, "left")
+        side = files.select(F.col("stem").alias(f"__key_{c}"), F.col("path").alias(f"__path_{c}"))
+        unset = F.col(c).isNull() | F.col(c).eqNullSafe(F.lit(base.get(DEFAULT_OF.get(c, c))))
+        own = F.concat(F.lit("\u0000"), F.xxhash64(*[k for k in df.columns if not dict(df.dtypes)[k].startswith("map")]).cast("string"))
+        joined = joined.withColumn(f"__key_{c}", F.when(unset, own).otherwise(F.col(c))).join(side, f"__key_{c}", "left")
         found = found & F.col(f"__path_{c}").isNotNull()
     joined = joined.withColumn("analyze", analyze_state(found, F.col("analyze")))
     if absolute:
@@ -157,13 +168,12 @@ def merged_old_values(new: DataFrame, old: DataFrame, columns: Sequence[str], ke
     chosen = [c for c in dict.fromkeys(columns) if c in old.columns and c != key]
     side = old.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__old_{c}") for c in chosen])
     joined = new.join(side, key, "left")
-    merged = {}
-    for c in chosen:
-        value = F.col(f"__old_{c}")
-        if c in new.columns:
-            known = joined.agg(F.count(f"__old_{c}")).scalar() > 0
-            value = F.when(known, value).otherwise(F.col(c))
-        merged[c] = value
+    merged = {c: F.col(f"__old_{c}") for c in chosen}
+    shared = [c for c in chosen if c in new.columns]
+    if shared:  # one aggregate tells for all columns
+        known = joined.agg(F.struct(*[(F.count(f"__old_{c}") > 0).alias(c) for c in shared])).scalar()
+        for c in shared:
+            merged[c] = F.when(known[c], merged[c]).otherwise(F.col(c))
     return joined.withColumns(merged).select(*new.columns, *[c for c in chosen if c not in new.columns])
 
 

@@ -25,12 +25,41 @@ def _frames(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("measu", "t").agg(ordered["v"].alias("frame"))
 
 
+def _window_sums(values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Sums of all windows of a shape, from running sums."""
+    total = np.zeros((values.shape[0] + 1, values.shape[1] + 1))
+    np.cumsum(np.cumsum(values, axis=0), axis=1, out=total[1:, 1:])
+    a, b = shape
+    return total[a:, b:] - total[:-a, b:] - total[a:, :-b] + total[:-a, :-b]
+
+
+def _likely_shifts(image: np.ndarray, target: np.ndarray, r: int) -> list[tuple[int, int]]:
+    """Shifts, in (dx, dy) order, whose correlation is the largest within rounding.
+
+    The window of the image at (r - dx, r - dy) is what a shift puts under the inner region.
+    ``target`` has mean 0, so the windows' means do not matter above the fraction line.
+    """
+    size, shape = target.size, target.shape
+    centred = image - image.mean()
+    spectrum = np.fft.rfft2(centred) * np.conj(np.fft.rfft2(target, image.shape))
+    products = np.fft.irfft2(spectrum, image.shape)[: 2 * r + 1, : 2 * r + 1]
+    sums, squares = _window_sums(centred, shape), _window_sums(centred**2, shape)
+    variance = np.maximum(squares - sums**2 / size, 0)
+    scale = np.sqrt(variance * (target**2).sum())
+    floor = 1e-9 * max(float(scale.max()), 1e-300)
+    scores = np.where(scale > floor, products / np.maximum(scale, floor), np.inf)  # flat windows: look again
+    best = scores[np.isfinite(scores)].max(initial=-np.inf)
+    rows, columns = np.nonzero((scores >= best - 1e-6) | np.isinf(scores))
+    return sorted((r - int(i), r - int(j)) for i, j in zip(rows, columns))
+
+
 def estimated_shifts(pixels: DataFrame, nx: int, ny: int, radius: int | None = None) -> DataFrame:
     """Best (dx, dy) of every frame against frame 5 by correlation of the inner
     region; it must exceed 0, and the first best in (dx, dy) order wins.
 
-    The (2r+1)^2 candidates are evaluated inside the task that holds the frame, so the
-    data is never multiplied by the number of candidates.
+    All (2r+1)^2 candidates of a frame come from one pair of Fourier transforms and running
+    sums, inside the task that holds the frame; those within rounding of the best are
+    correlated again one by one, so that ties are decided exactly.
     """
     r = search_radius(nx, ny) if radius is None else radius
     frames = _frames(pixels)
@@ -45,17 +74,16 @@ def estimated_shifts(pixels: DataFrame, nx: int, ny: int, radius: int | None = N
                 best, where = 0.0, (0, 0)
                 if t != REFERENCE_FRAME:
                     image = np.asarray(frame).reshape(nx, ny)
-                    target = np.asarray(ref).reshape(nx, ny)[inner, inner].ravel()
+                    target = np.asarray(ref).reshape(nx, ny)[inner, inner]
                     target = target - target.mean()
                     norm = np.sqrt((target**2).sum())
-                    for dx in range(-r, r + 1):
-                        for dy in range(-r, r + 1):
-                            moved = np.roll(image, (dx, dy), axis=(0, 1))[inner, inner].ravel()
-                            moved = moved - moved.mean()
-                            scale = norm * np.sqrt((moved**2).sum())
-                            score = (moved * target).sum() / scale if scale > 0 else np.nan
-                            if score > best:
-                                best, where = score, (dx, dy)
+                    for dx, dy in _likely_shifts(image, target, r):
+                        moved = np.roll(image, (dx, dy), axis=(0, 1))[inner, inner]
+                        moved = moved - moved.mean()
+                        scale = norm * np.sqrt((moved**2).sum())
+                        score = (moved * target).sum() / scale if scale > 0 else np.nan
+                        if score > best:
+                            best, where = score, (dx, dy)
                 found.append((measu, t, *where, int(best * 10)))
             yield pd.DataFrame(found, columns=["measu", "t", "dx", "dy", "quality"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import colorsys
 import re
 from collections.abc import Callable, Sequence
 
@@ -223,8 +224,16 @@ COLOUR_ANCHORS = {
 }
 
 
-def colour(v: Column, table: str = "gray") -> Column:
-    """Colour of a 0..1 value from a 256-step table between anchor colours."""
+def spectrum() -> list[tuple[int, int, int]]:
+    """The standard table: hue from 255/360 to 0 in 256 steps, full saturation and value."""
+    return [tuple(int(255 * c + 0.5) for c in colorsys.hsv_to_rgb(255 / 360 * (1 - i / 255), 1.0, 1.0)) for i in range(256)]
+
+
+def colour(v: Column, table: str = "standard") -> Column:
+    """Colour of a 0..1 value from a 256-step table: the standard one, or between anchor colours."""
+    if table == "standard":
+        levels = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("rgb", c)]) for c in spectrum()])
+        return F.get(levels, F.least(F.greatest(F.floor(v * 255), F.lit(0)), F.lit(255)).cast("int"))
     anchors = COLOUR_ANCHORS[table]
     step = F.least(F.greatest(F.floor(v * 255), F.lit(0)), F.lit(255)) / 255.0 * (len(anchors) - 1)
     left = F.least(F.floor(step), F.lit(len(anchors) - 2)).cast("int")

@@ -134,16 +134,19 @@ def counted(stimuli: DataFrame) -> DataFrame:
     )
 
 
-def active_pairs(stimuli: DataFrame, times: DataFrame, bucket_ms: float = 1000.0) -> DataFrame:
+def active_pairs(stimuli: DataFrame, times: DataFrame, bucket_ms: float | None = None) -> DataFrame:
     """Interval join behind T6, T13 and T14: times inside pulses, both ends included.
 
-    Pulses are laid on a grid of ``bucket_ms`` and matched to times by (recording,
-    bucket) equality, so a recording with very many rows is cut along its time axis.
+    Pulses are laid on a grid and matched to times by (recording, bucket) equality, so a
+    recording with very many rows is cut along its time axis. The grid is as wide as the
+    mean pulse (a second at least) unless ``bucket_ms`` is given, so pulses do not multiply.
     ``times(measu, t_ms, ...)``.
     """
+    mean = stimuli.agg(F.avg(F.greatest(F.col("off_ms") - F.col("on_ms"), F.lit(0.0)))).scalar()
+    width = F.lit(bucket_ms) if bucket_ms else F.greatest(F.coalesce(mean, F.lit(0.0)), F.lit(1000.0))
 
     def bucket(ms: Column) -> Column:
-        return F.floor(ms / bucket_ms)
+        return F.floor(ms / width)
 
     laid = stimuli.withColumn(
         "__b", F.explode(F.sequence(bucket(F.col("on_ms")), F.greatest(bucket(F.col("on_ms")), bucket(F.col("off_ms")))))
@@ -152,7 +155,7 @@ def active_pairs(stimuli: DataFrame, times: DataFrame, bucket_ms: float = 1000.0
     return pairs.filter((F.col("on_ms") <= F.col("t_ms")) & (F.col("off_ms") >= F.col("t_ms"))).drop("__b")
 
 
-def active_stimuli(stimuli: DataFrame, times: DataFrame, key: str, bucket_ms: float = 1000.0) -> DataFrame:
+def active_stimuli(stimuli: DataFrame, times: DataFrame, key: str, bucket_ms: float | None = None) -> DataFrame:
     """For every time, the odours and concentrations active then, in pulse order.
 
     ``key`` identifies a time row; a time without stimulus keeps empty lists.
@@ -167,7 +170,7 @@ def active_stimuli(stimuli: DataFrame, times: DataFrame, key: str, bucket_ms: fl
 
 
 def frame_labels(
-    stimuli: DataFrame, times: DataFrame, key: str, with_conc: bool = True, bucket_ms: float = 1000.0
+    stimuli: DataFrame, times: DataFrame, key: str, with_conc: bool = True, bucket_ms: float | None = None
 ) -> DataFrame:
     """Text of the first active stimulus per time, null when none is active."""
     pairs = active_pairs(stimuli, times.select(key, "measu", "t_ms"), bucket_ms)

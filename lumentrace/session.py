@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job in this package relies on; a cluster may override any of them.
@@ -29,17 +27,12 @@ def build_session(master: str | None = None, app: str = "lumentrace", **conf: st
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session without that setting (local tests) gets a folder of its own.
-    """
+    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``; without one it is an error."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="lumentrace-checkpoint-")
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -306,3 +306,23 @@ def test_decay_rate_is_free():
         y = (a * np.exp(k * t) + c)[None]
         fitted, abc = fit_decay(y, np.ones(64))
         assert np.abs(fitted - y).max() < 1e-8 and np.allclose(abc[0], [a, k, c], rtol=1e-5)
+
+
+def test_likely_shifts_hold_the_first_best(spark):
+    """Transforms and running sums against every candidate, with ties from a periodic image."""
+    rng = np.random.default_rng(3)
+    noise, wave = rng.normal(size=(240, 200)), np.add.outer(np.arange(60) % 4, np.arange(48) % 4).astype(float)
+    for ref, image, r in ((noise, np.roll(noise, (3, -5), (0, 1)) + 0.1 * rng.normal(size=noise.shape), 9), (wave, np.roll(wave, (1, 0), (0, 1)), 5)):
+        inner = slice(r, -r)
+        target = ref[inner, inner] - ref[inner, inner].mean()
+        best, where = 0.0, None
+        for dx in range(-r, r + 1):
+            for dy in range(-r, r + 1):
+                moved = np.roll(image, (dx, dy), (0, 1))[inner, inner]
+                moved = moved - moved.mean()
+                score = (moved * target).sum() / np.sqrt((target**2).sum() * (moved**2).sum())
+                if score > best:
+                    best, where = score, (dx, dy)
+        likely = MO._likely_shifts(image, target, r)
+        assert where in likely and likely == sorted(likely) and len(likely) < 40
+    assert MO._likely_shifts(np.ones((20, 20)), np.zeros((16, 16)), 2)

@@ -19,7 +19,7 @@ def test_query(spark, con, sf, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert node not in plan
-    ok, text = compare(con, df, ORACLES.get(name))
+    ok, text = compare(con, df, ORACLES.get(name), name)
     assert ok, text
 
 

@@ -16,6 +16,13 @@ TABLES = (
 ).split()
 
 
+#: Queries with a fit inside, which SQL does not repeat; unit tests compare them with brute force.
+NO_SQL = {
+    "g6_composite_signal", "o16_movie_filtered", "r11_fit_parameters", "r12_bleach_pixelwise", "r13_bleach_uniform",
+    "r14_bleach_whole_frame", "r27_correction_pipeline",
+}
+
+
 def connect(sf: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -44,13 +51,13 @@ def rows_of(columns, rows):
     return names, sorted(data, key=repr)
 
 
-def compare(con, df, sql):
+def compare(con, df, sql, name=""):
     """Whether a query's rows equal those of its SQL twin, and a line about it."""
     start = time.time()
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     took = f"spark {time.time() - start:.2f}s"
     if sql is None:
-        return True, f"{len(got[1])} rows, no SQL, {took}"
+        return name in NO_SQL, f"{len(got[1])} rows, no SQL, {took}"
     con.execute(sql)
     want = rows_of([d[0] for d in con.description], con.fetchall())
     if got[0] != want[0]:
@@ -80,7 +87,7 @@ def main() -> int:
             continue
         start = time.time()
         try:
-            ok, text = compare(con, fn(spark, sf), oracles.get(name))
+            ok, text = compare(con, fn(spark, sf), oracles.get(name), name)
         except Exception as error:  # noqa: BLE001 - report and go on
             ok, text = False, f"{type(error).__name__}: {str(error)[:700]}"
         failed += not ok
