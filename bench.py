@@ -19,6 +19,7 @@ from lumentrace.session import build_session  # noqa: E402
 HEADLINE = [
     "g3_dff",
     "g4_ratio",
+    "g6_composite_signal",
     "i12_roi_traces",
     "i12_roi_traces_lineitem",
     "c22_rise",
@@ -35,6 +36,7 @@ HEADLINE = [
     "r13_bleach_uniform",
     "r17_motion_estimate",
     "r20_binning",
+    "r27_correction_pipeline",
     "t3_resolve_times",
     "t6_active_stimuli",
     "m15_append_list",
@@ -42,9 +44,12 @@ HEADLINE = [
     "m31_unique_labels",
     "h1_full_trace_table",
     "h2_chunk_table",
+    "o2_feature_by_stimulus",
     "o5_limits_percentile_movie",
+    "o16_movie_filtered",
     "o16_movie_table",
     "o19_tapestry_plan",
+    "o24_scale_codes",
 ]
 
 

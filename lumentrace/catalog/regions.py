@@ -139,15 +139,19 @@ def _(spark, sf):
 
 @query(
     "h3_output_switch",
-    sql_over("roi_tr", "stimuli", body=""", f AS (SELECT DISTINCT measu, roi FROM roi_tr)
-SELECT 'full_traces' AS output, count(*) AS n FROM f JOIN orders ON o_orderkey = measu UNION ALL SELECT 'chunks_only', count(*) FROM f JOIN stimuli USING (measu)"""),
+    sql_over("roi_tr", "stimuli", "meas", body=_H2 + """, f AS (SELECT measu, roi, count(*) AS n, sum(v) AS total FROM roi_tr JOIN meas USING (measu) GROUP BY ALL)
+SELECT 'full_traces' AS output, measu, roi, CAST(NULL AS INTEGER) AS stim_idx, CAST(n AS INTEGER) AS n_frames, round(total, 6) AS total FROM f
+UNION ALL SELECT 'chunks_only', measu, roi, stim_idx, CAST(n_frames AS INTEGER), round(total, 6) FROM c"""),
 )
 def _(spark, sf):
+    """Both tables: full traces, and chunks by stimulus."""
     text = I.descriptions(M.roi_membership(spark, sf))
-    parts = []
+    params, parts = CHUNK.with_(first_frame=25, last_frame=45), []
     for kind in ("full_traces", "chunks_only"):
-        out = H.region_table(P.with_(output_type=kind), roi_traces(spark, sf), metadata(spark, sf), text, M.stimuli(spark, sf))
-        parts.append(out.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("output"), "n"))
+        out = H.region_table(params.with_(output_type=kind), roi_traces(spark, sf), metadata(spark, sf), text, M.stimuli(spark, sf))
+        pulse = F.col("stim_idx") if kind == "chunks_only" else F.lit(None).cast("int").alias("stim_idx")
+        total = F.round(F.when(F.col("n_frames") > 0, A.total(F.col("trace"))), 6).alias("total")
+        parts.append(out.select(F.lit(kind).alias("output"), "measu", "roi", pulse, "n_frames", total))
     return parts[0].unionByName(parts[1])
 
 

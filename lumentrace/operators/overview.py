@@ -32,12 +32,23 @@ def overview_frames(
 
 
 def overview_grid(traces: DataFrame, stimuli: DataFrame, feature: int | str, params: Params) -> DataFrame:
-    """O2: the feature of every pixel for every stimulus of its recording."""
-    pulses = stimuli.select("measu", "stim_idx", "on_ms", "period_ms")
+    """O2: the feature of every pixel for every stimulus of its recording.
+
+    A trace meets the pulses of its recording as one array and is read once per pulse where
+    it lies; only feature values are multiplied by pulses.
+    """
+    pulse = F.struct("stim_idx", "on_ms", "period_ms")
+    pulses = stimuli.groupBy("measu").agg(F.collect_list(pulse).alias("__pulses"))
     joined = join_per_key(traces, pulses, ["measu"], spread=["x", "y"])
-    ctx = C.FeatureContext.from_params(params, on_ms=F.col("on_ms"), period_ms=F.col("period_ms"))
-    values = F.array(*[v.cast("double") for v in C.feature(feature)(F.col("trace"), ctx)])
-    return A.unrolled(joined, *PIXEL, "stim_idx", trace=values, names=("feature", "value"))
+
+    def at(p: Column) -> Column:
+        ctx = C.FeatureContext.from_params(params, on_ms=p["on_ms"], period_ms=p["period_ms"])
+        values = [v.cast("double") for v in C.feature(feature)(F.col("trace"), ctx)]
+        return F.struct(p["stim_idx"].alias("stim_idx"), F.array(*values).alias("values"))
+
+    found = joined.select(*PIXEL, F.explode(F.transform("__pulses", at)).alias("__f"))
+    rows = found.select(*PIXEL, "__f.stim_idx", "__f.values")
+    return A.unrolled(rows, *PIXEL, "stim_idx", trace="values", names=("feature", "value"))
 
 
 def check_border(cut: int, nx: int, ny: int) -> None:

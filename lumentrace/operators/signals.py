@@ -34,25 +34,25 @@ def dff(traces: DataFrame, backgrounds: DataFrame) -> DataFrame:
     return joined.withColumn("trace", value).select(*traces.columns)
 
 
-def _masked_background_mean(traces: DataFrame, area: DataFrame, backgrounds: DataFrame, name: str) -> DataFrame:
-    inside = traces.join(area.select("measu", "x", "y").distinct(), ["measu", "x", "y"], "left_semi")
-    window = join_per_key(inside, backgrounds, ["measu"], spread=["x", "y"]).select(
-        "measu", A.span(F.col("trace"), F.col("bg_start"), F.col("bg_end")).alias("w")
-    )
-    parts = window.select("measu", A.total(F.col("w")).alias("s"), F.size("w").alias("n"))
-    return parts.groupBy("measu").agg(F.try_divide(F.sum("s"), F.sum("n").cast("double")).alias(name))
-
-
 def ratio_change(traces1: DataFrame, traces2: DataFrame, area: DataFrame, backgrounds: DataFrame) -> DataFrame:
     """Ratio of the normalised wavelengths minus each pixel's background ratio.
 
-    A zero denominator gives null where an array library would give inf or NaN.
+    The wavelengths meet once, with a flag for the area; both masked means come from one
+    aggregate and only they are joined back. A zero denominator gives null where an array
+    library would give inf or NaN.
     """
-    m1 = _masked_background_mean(traces1, area, backgrounds, "m1")
-    m2 = _masked_background_mean(traces2, area, backgrounds, "m2")
-    facts = backgrounds.join(m1, "measu").join(m2, "measu")
-    both = traces1.join(traces2.withColumnRenamed("trace", "trace2"), ["measu", "x", "y"])
-    joined = join_per_key(both, facts, ["measu"], spread=["x", "y"])
+    pixel = ["measu", "x", "y"]
+    members = area.select(*pixel).distinct().withColumn("__in", F.lit(True))
+    both = traces1.join(traces2.withColumnRenamed("trace", "trace2"), pixel).join(members, pixel, "left")
+    joined = join_per_key(both, backgrounds, ["measu"], spread=["x", "y"])
+    inside = joined.filter("__in")
+    sums = {}
+    for name, trace in (("1", "trace"), ("2", "trace2")):
+        window = A.span(F.col(trace), F.col("bg_start"), F.col("bg_end"))
+        sums[f"s{name}"], sums[f"n{name}"] = A.total(window), F.size(window).cast("double")
+    parts = inside.select("measu", *[c.alias(n) for n, c in sums.items()])
+    means = parts.groupBy("measu").agg(*[F.try_divide(F.sum(f"s{i}"), F.sum(f"n{i}")).alias(f"m{i}") for i in "12"])
+    joined = join_per_key(joined, means, ["measu"], spread=["x", "y"])
     m1c, m2c = F.col("m1"), F.col("m2")
     ratio = F.zip_with(
         "trace", "trace2", lambda a, b: F.try_divide(F.try_divide(a, m1c), F.try_divide(b, m2c))
