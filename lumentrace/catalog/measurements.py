@@ -289,6 +289,34 @@ def _(spark, sf):
     return L.from_vendor(rows, "lsm").withColumns({c: F.round(c, 6) for c in ("PxSzX", "PxSzY")})
 
 
+@query(
+    "m24_vendor_lif",
+    """SELECT p_partkey AS "Measu", p_name AS "Label", p_size * 0.5 AS "Cycle", 1000.0 / (p_size * 0.5) AS "SampFreq", p_retailprice AS "PxSzX",
+p_retailprice AS "PxSzY", p_partkey * 86400.5 AS "UTC", p_brand AS "DBB1" FROM part""",
+)
+def _(spark, sf):
+    ticks = F.lit(116444736000000000) + (F.col("p_partkey") * 86400.5 * 10000000).cast("long")
+    rows = M.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("measu"), F.col("p_name").alias("Label"), (F.col("p_size") * 0.5).alias("Cycle"),
+        F.col("p_retailprice").alias("PxSzX"), F.hex(ticks).alias("TimeStamp"), F.col("p_brand").alias("file"),
+    )
+    return L.from_vendor(rows, "lif")
+
+
+@query(
+    "m24_vendor_ome",
+    """SELECT o_orderkey AS "Measu", o_orderpriority AS "Label", o_totalprice AS "Cycle", 488 AS "Lambda", epoch_us(o_orderdate) / 1000000.0 + 0.25 AS "UTC",
+1.0 AS "PxSzX", 2.0 AS "PxSzY", o_clerk AS "DBB1", o_orderstatus AS "dbb2" FROM (SELECT *, 'c' || CAST(o_custkey AS VARCHAR) AS o_clerk FROM orders)""",
+)
+def _(spark, sf):
+    rows = M.table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS measu", "o_orderpriority AS Label", "o_totalprice AS GDMfreq", "488 AS Lambda",
+        "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\") AS AcquisitionDate", "0.25D AS first_frame_s", "1.0D AS PsSzX", "2.0D AS PsSzY",
+        "concat('c', o_custkey) AS dbb1", "o_orderstatus AS dbb2",
+    )
+    return L.from_vendor(rows, "ome")
+
+
 @query(
     "m25_usable_recordings",
     "SELECT p_partkey AS measu FROM part WHERE p_size % 4 <> 0 AND p_partkey % 3 = 0",

@@ -9,11 +9,51 @@ from lumentrace.catalog.features import long
 from lumentrace.catalog.registry import query, sql_over
 from lumentrace.functions import arrays as A
 from lumentrace.operators import filters as R
+from lumentrace.operators import measurements as L
 from lumentrace.sources import lists as LS
 from lumentrace.sources import movements as MV
 from lumentrace.sources import stacks as ST
 
 
+HEADER = "Label  \tMeasu \t Cycle\tOdour   "
+
+
+def list_text(spark, sf):
+    """Orders as tab text with blanks after the separators."""
+    cells = [F.col("o_orderpriority"), F.col("o_orderkey"), F.col("o_totalprice"), F.lit("not set yet")]
+    return M.table(spark, sf, "orders").select(F.array_join(F.array(*[c.cast("string") for c in cells]), "\t  ").alias("value"))
+
+
+@query("s1_read_list", """SELECT o_orderpriority AS "Label", o_orderkey AS "Measu", o_totalprice AS "Cycle", 'not set yet' AS "Odour" FROM orders""")
+def _(spark, sf):
+    return LS.parse_list(list_text(spark, sf), HEADER).withColumns({"Measu": F.col("Measu").cast("long"), "Cycle": F.col("Cycle").cast("double")})
+
+
+@query("s3_convert_list", """SELECT o_orderpriority || chr(9) || CAST(o_orderkey AS VARCHAR) || chr(9) || 'not set yet' AS line FROM orders""")
+def _(spark, sf):
+    """The list under the names of the settings, written again as lines."""
+    renamed = L.renamed(LS.parse_list(list_text(spark, sf), HEADER), "list", "settings").select("label", "measu", "odorants")
+    return renamed.select(LS.list_lines(renamed).alias("line"))
+
+
+@query(
+    "s11_decode_stacks",
+    """WITH v AS (SELECT vec_id, unnest(range(0, 64)) AS i, embedding FROM embeddings)
+SELECT vec_id AS measu, CAST(i % 8 AS INTEGER) AS x, CAST(1 - (i // 8) % 2 AS INTEGER) AS y, CAST(i // 16 AS INTEGER) AS t,
+floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 10000) % 65536 AS v FROM v""",
+)
+def _(spark, sf):
+    """Vectors as stacks of 8 x 2 pixels and 4 frames, packed to little-endian bytes and decoded."""
+    counts = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 10000) % 65536).cast("int"))
+    two = lambda n: F.lpad(F.hex(n), 2, "0")
+    packed = F.transform(counts, lambda n: F.concat(two(n % 256), two(F.floor(n / 256))))
+    jobs = M.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("measu"), F.lit(8).alias("width"), F.lit(2).alias("height"), F.lit(4).alias("frames"),
+        F.unhex(F.array_join(packed, "")).alias("content"),
+    )
+    return A.unrolled(ST.decode_stacks(jobs), "measu", "x", "y")
+
+
 @query("s2_column_order", 'SELECT o_orderpriority AS "Label", o_orderkey AS "Measu", o_custkey FROM orders')
 def _(spark, sf):
     rows = M.table(spark, sf, "orders").selectExpr("o_custkey", "o_orderkey AS Measu", "o_orderpriority AS Label")

@@ -20,6 +20,19 @@ def read_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return df.toDF(*[c.rstrip() for c in df.columns])
 
 
+def parse_list(lines: DataFrame, header: str, text: str = "value") -> DataFrame:
+    """S1 for lines of text: cells by the names of a header line, blanks after a separator skipped."""
+    names = [c.strip() for c in header.split("\t")]
+    schema = ", ".join(f"`{n}` STRING" for n in names)
+    options = {"sep": "\t", "ignoreLeadingWhiteSpace": "true"}
+    return lines.select(F.from_csv(F.col(text), F.lit(schema), options).alias("__r")).select("__r.*")
+
+
+def list_lines(df: DataFrame) -> Column:
+    """A list's rows as tab text."""
+    return F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), "\t")
+
+
 def ordered_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Chosen columns first and in order, all others behind them."""
     return df.select(*[c for c in columns if c in df.columns], *[c for c in df.columns if c not in columns])

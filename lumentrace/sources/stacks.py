@@ -12,16 +12,12 @@ from pyspark.sql import functions as F
 from lumentrace.plans.skew import join_per_key
 
 
-def read_stacks(spark: SparkSession, path: str, geometry: DataFrame, rows_per_batch: int = 4096) -> DataFrame:
-    """Flat 16-bit stacks to traces, all files of a folder in one job.
+def decode_stacks(jobs: DataFrame, rows_per_batch: int = 4096) -> DataFrame:
+    """Rows ``(measu, width, height, frames, content)`` of flat 16-bit stacks to traces.
 
-    ``geometry(stem, measu, width, height, frames)`` comes from `read_geometry`. Values
-    are little-endian, x fastest, then y, then frame; y is turned upside down. A file is
-    the unit of work, as a stack can only be cut by its sidecar's geometry.
+    Values are little-endian, x fastest, then y, then frame; y is turned upside down. Pixels
+    are turned into traces ``rows_per_batch`` at a time.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ps*").load(path)
-    stem = F.regexp_extract("path", r"([^/]+?)\.pst?$", 1)
-    jobs = files.select(stem.alias("stem"), "content").join(geometry, "stem").select("measu", "width", "height", "frames", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -29,15 +25,26 @@ def read_stacks(spark: SparkSession, path: str, geometry: DataFrame, rows_per_ba
                 if len(content) < 2 * nx * ny * nt:
                     raise ValueError(f"recording {measu}: {2 * nx * ny * nt} bytes expected, {len(content)} found")
                 values = np.frombuffer(content, dtype="<u2", count=nx * ny * nt).reshape(nt, ny, nx)[:, ::-1, :]
-                per_pixel = values.reshape(nt, ny * nx).T.astype(float)
+                per_pixel = values.reshape(nt, ny * nx).T
                 y, x = np.divmod(np.arange(ny * nx), nx)
                 for i in range(0, ny * nx, rows_per_batch):
                     cut = slice(i, i + rows_per_batch)
                     yield pd.DataFrame(
-                        {"measu": measu, "x": x[cut], "y": y[cut], "trace": list(per_pixel[cut])}
+                        {"measu": measu, "x": x[cut], "y": y[cut], "trace": list(per_pixel[cut].astype(float))}
                     )
 
-    return jobs.mapInPandas(decode, "measu BIGINT, x INT, y INT, trace ARRAY<DOUBLE>")
+    return jobs.select("measu", "width", "height", "frames", "content").mapInPandas(decode, "measu BIGINT, x INT, y INT, trace ARRAY<DOUBLE>")
+
+
+def read_stacks(spark: SparkSession, path: str, geometry: DataFrame, rows_per_batch: int = 4096) -> DataFrame:
+    """Flat 16-bit stacks to traces, all files of a folder in one job.
+
+    ``geometry(stem, measu, width, height, frames)`` comes from `read_geometry`. A file is
+    the unit of work, as a stack can only be cut by its sidecar's geometry.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ps*").load(path)
+    stem = F.regexp_extract("path", r"([^/]+?)\.pst?$", 1)
+    return decode_stacks(files.select(stem.alias("stem"), "content").join(geometry, "stem"), rows_per_batch)
 
 
 def read_geometry(spark: SparkSession, path: str, recordings: DataFrame) -> DataFrame:
