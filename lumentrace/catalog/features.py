@@ -357,12 +357,18 @@ def _(spark, sf):
 
 @query(
     "c_safe_out_of_range",
-    sql_over("dff", body="SELECT DISTINCT measu, x, y, TRUE AS undefined FROM dff"),
+    sql_over(
+        "dff",
+        body="""SELECT measu, x, y, measu % 2 <> 0 AS undefined, CASE WHEN measu % 2 = 0 THEN
+round(avg(v) FILTER (t BETWEEN 44 AND 46) - avg(v) FILTER (t BETWEEN 24 AND 26), 6) END AS value FROM dff GROUP BY ALL""",
+    ),
 )
 def _(spark, sf):
-    late = context(P.with_(last_frame=63))
-    [value] = C.safe(C.rise_three(F.col("trace"), late))
-    return signal(spark, sf).select("measu", "x", "y", F.isnan(value).alias("undefined"))
+    """Traces that end before or at the last frame of the feature."""
+    trace = F.slice("trace", F.lit(1), F.when(F.col("measu") % 2 == 0, 47).otherwise(46))
+    rows = signal(spark, sf).withColumn("trace", trace)
+    [value] = C.safe(C.rise_three(F.col("trace"), context()))
+    return rows.select("measu", "x", "y", F.isnan(value).alias("undefined"), F.round(F.nanvl(value, F.lit(None).cast("double")), 6).alias("value"))
 
 
 def last_minus_first(time_trace, sampling_period, first_frame, last_frame, stimulus_number,
@@ -371,6 +377,36 @@ def last_minus_first(time_trace, sampling_period, first_frame, last_frame, stimu
     return [time_trace[last_frame] - time_trace[first_frame], (last_frame - first_frame) * sampling_period]
 
 
+def first_pulse_contrast(
+    time_trace, sampling_period, first_frame, last_frame, stimulus_number, stim_on_times, stim_off_times, flags, p1
+):
+    """Value at the first pulse, number of pulses, and the recording it came from."""
+    frame = int(stim_on_times[0] / sampling_period)
+    return [time_trace[frame], len(stim_off_times), p1["measu"]]
+
+
+@query(
+    "u1_user_feature_context",
+    sql_over(
+        "dff",
+        body=""", n AS (SELECT measu, count(*) AS pulses FROM stimuli GROUP BY 1)
+SELECT measu, x, y, round(max(v) FILTER (t = CAST(trunc(on_ms / (100 + 50 * (measu % 5))) AS INTEGER)), 6) AS at_pulse,
+any_value(CAST(pulses AS DOUBLE)) AS pulses, CAST(measu AS DOUBLE) AS recording FROM dff JOIN onset USING (measu) JOIN n USING (measu)
+WHERE trunc(on_ms / (100 + 50 * (measu % 5))) < 64 GROUP BY ALL""",
+    ),
+)
+def _(spark, sf):
+    """The pulses, period and facts of each recording reach the user's function."""
+    pulse = F.array_sort(F.collect_list(F.struct("stim_idx", "on_ms", "off_ms")))
+    facts = M.stimuli(spark, sf).groupBy("measu").agg(pulse.alias("p")).select(
+        "measu", F.col("p.on_ms").alias("on"), F.col("p.off_ms").alias("off"), (100.0 + 50 * (F.col("measu") % 5)).alias("period")
+    )
+    rows = join_per_key(signal(spark, sf), facts, ["measu"], spread=["x", "y"]).filter(F.floor(F.col("on")[0] / F.col("period")) < 64)
+    value = C.user_feature(first_pulse_contrast, P)(F.col("trace"), F.col("period"), F.col("on"), F.col("off"), F.struct("measu"))
+    out = rows.select("measu", "x", "y", value.alias("f"))
+    return out.select("measu", "x", "y", F.round(F.col("f")[0], 6).alias("at_pulse"), F.col("f")[1].alias("pulses"), F.col("f")[2].alias("recording"))
+
+
 @query(
     "u1_user_feature",
     sql_over(

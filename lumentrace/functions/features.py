@@ -272,10 +272,13 @@ USER_FEATURE_ARGUMENTS = (
 )
 
 
-def user_feature(fn: Callable, params: Params | None = None, period_ms: float = 200.0) -> Callable[[Column], Column]:
+def user_feature(fn: Callable, params: Params | None = None, period_ms: float = 200.0) -> Callable[..., Column]:
     """A user's Python feature as an Arrow-batched column function.
 
-    ``fn`` gets the trace as an array, the parameters in ``flags`` and returns a list.
+    The result takes the trace and, as columns of the same row, the period, the on- and
+    off-times of the recording's pulses (arrays, in ms) and its facts (a struct, which the
+    function gets as a dict in ``p1``). ``fn`` gets the trace as an array, the parameters in
+    ``flags`` and returns a list.
     """
     given = tuple(inspect.signature(fn).parameters)
     if given != USER_FEATURE_ARGUMENTS:
@@ -283,25 +286,37 @@ def user_feature(fn: Callable, params: Params | None = None, period_ms: float =
     p = params or Params()
 
     @F.pandas_udf("array<double>")
-    def run(traces: pd.Series) -> pd.Series:
-        return traces.map(
-            lambda trace: [
+    def run(traces: pd.Series, periods: pd.Series, on: pd.Series, off: pd.Series, facts: pd.DataFrame) -> pd.Series:
+        rows = facts.to_dict("records")
+        values = [
+            [
                 float(v)
                 for v in fn(
                     time_trace=trace,
-                    sampling_period=period_ms,
+                    sampling_period=period,
                     first_frame=p.first_frame,
                     last_frame=p.last_frame,
                     stimulus_number=p.stimulus_number,
-                    stim_on_times=None,
-                    stim_off_times=None,
+                    stim_on_times=None if start is None else list(start),
+                    stim_off_times=None if end is None else list(end),
                     flags=p,
-                    p1=None,
+                    p1=row,
                 )
             ]
+            for trace, period, start, end, row in zip(traces, periods, on, off, rows)
+        ]
+        return pd.Series(values, index=traces.index, dtype=object)
+
+    def column(
+        trace: Column, period: Column | None = None, on: Column | None = None, off: Column | None = None, facts: Column | None = None
+    ) -> Column:
+        times = F.lit(None).cast("array<double>")
+        return run(
+            trace, F.lit(float(period_ms)) if period is None else period, times if on is None else on,
+            times if off is None else off, F.struct(F.lit(None).cast("string").alias("measu")) if facts is None else facts,
         )
 
-    return run
+    return column
 
 
 # --- frame-mask features: a linear combination of frames -----------------------------
