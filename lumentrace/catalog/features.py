@@ -359,8 +359,8 @@ def _(spark, sf):
     "c_safe_out_of_range",
     sql_over(
         "dff",
-        body="""SELECT measu, x, y, measu % 2 <> 0 AS undefined, CASE WHEN measu % 2 = 0 THEN
-round(avg(v) FILTER (t BETWEEN 44 AND 46) - avg(v) FILTER (t BETWEEN 24 AND 26), 6) END AS value FROM dff GROUP BY ALL""",
+        body="""SELECT measu, x, y, measu % 2 <> 0 AS undefined, round(CASE WHEN measu % 2 = 0 THEN late - early END, 6) AS value FROM (
+  SELECT measu, x, y, avg(v) FILTER (t BETWEEN 44 AND 46) AS late, avg(v) FILTER (t BETWEEN 24 AND 26) AS early FROM dff GROUP BY measu, x, y)""",
     ),
 )
 def _(spark, sf):
