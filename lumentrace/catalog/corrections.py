@@ -14,6 +14,7 @@ from lumentrace.operators import filters as R
 from lumentrace.operators import motion as MO
 from lumentrace.operators import rois as I
 from lumentrace.operators import stimuli as T
+from lumentrace.plans.skew import with_facts
 
 P = Params()
 
@@ -225,6 +226,33 @@ def _(spark, sf):
     return B.bleach_area(M.traces(spark, sf), M.area(spark, sf), 10, 10, P.with_(bleach_exclude_area=False))
 
 
+def two_sizes(spark, sf):
+    """Movies of two cameras: odd recordings are 10 x 8 pixels; with the size on every row."""
+    traces = M.traces(spark, sf)
+    facts = traces.select("measu").distinct().selectExpr("measu", "10 AS nx", "CASE WHEN measu % 2 = 0 THEN 10 ELSE 8 END AS ny")
+    return with_facts(traces, facts).filter("y < ny")
+
+
+@query(
+    "r15_bleach_rectangle_two_sizes",
+    sql_over("pixels", body="SELECT DISTINCT measu, x, y FROM pixels WHERE x BETWEEN 2 AND 7 AND y BETWEEN 2 AND CASE WHEN measu % 2 = 0 THEN 7 ELSE 5 END"),
+)
+def _(spark, sf):
+    return B.bleach_area(two_sizes(spark, sf), M.area(spark, sf), F.col("nx"), F.col("ny"), P.with_(bleach_exclude_area=False))
+
+
+@query(
+    "r18_apply_shift_two_sizes",
+    sql_over("pixels", body=""", s AS (SELECT *, CASE WHEN measu % 2 = 0 THEN 10 ELSE 8 END AS ny FROM pixels)
+SELECT measu, CAST((x + t % 4 - 1 + 10) % 10 AS INTEGER) AS x, CAST((y + t % 3 - 1 + ny) % ny AS INTEGER) AS y, t, round(v, 6) AS v FROM s WHERE y < ny"""),
+)
+def _(spark, sf):
+    movie = two_sizes(spark, sf)
+    pixels = A.unrolled(movie, "measu", "x", "y", "nx", "ny")
+    shifts = pixels.select("measu", "t").distinct().selectExpr("measu", "t", "t % 4 - 1 AS dx", "t % 3 - 1 AS dy")
+    return rounded(MO.rolled(pixels, shifts, F.col("nx"), F.col("ny")).drop("nx", "ny"))
+
+
 @query("r15_bleach_area", sql_over("area", body="SELECT measu, x, y FROM area"))
 def _(spark, sf):
     return B.bleach_area(M.traces(spark, sf), M.area(spark, sf), 10, 10, P)

@@ -15,6 +15,7 @@ from lumentrace.operators import rois as I
 from lumentrace.operators import stimuli as T
 from lumentrace.plans import recipes
 from lumentrace.sources import export as EX
+from lumentrace.plans.skew import with_facts
 
 P = Params()
 
@@ -67,6 +68,31 @@ def _(spark, sf):
     return rnd(O.cropped(overview(spark, sf), 2, 10, 10), "v")
 
 
+def two_sizes(spark, sf):
+    """Overviews of two cameras: odd recordings are 10 x 8 pixels; with the size on every row."""
+    pixels = overview(spark, sf)
+    facts = M.traces(spark, sf).select("measu").distinct().selectExpr("measu", "10 AS nx", "CASE WHEN measu % 2 = 0 THEN 10 ELSE 8 END AS ny")
+    return with_facts(pixels, facts).filter("y < ny")
+
+
+_INNER = "x BETWEEN 2 AND 7 AND y BETWEEN 2 AND CASE WHEN measu % 2 = 0 THEN 7 ELSE 5 END"
+
+
+@query("o3_border_crop_two_sizes", sql_over("dff", body=_OV + f"SELECT measu, x - 2 AS x, y - 2 AS y, round(v, 6) AS v FROM ov WHERE {_INNER}"))
+def _(spark, sf):
+    return rnd(O.cropped(two_sizes(spark, sf), 2, F.col("nx"), F.col("ny")).drop("nx", "ny"), "v")
+
+
+@query(
+    "o5_limits_centre_two_sizes",
+    sql_over("dff", body=_OV + """SELECT measu, round(min(v), 6) AS vmin, round(max(v), 6) AS vmax FROM ov
+WHERE x BETWEEN 2 AND 7 AND y BETWEEN CASE WHEN measu % 2 = 0 THEN 2 ELSE 1 END AND CASE WHEN measu % 2 = 0 THEN 7 ELSE 6 END GROUP BY 1"""),
+)
+def _(spark, sf):
+    out = O.data_limits(two_sizes(spark, sf), P.with_(individual_scale=3), F.col("nx"), F.col("ny"))
+    return out.withColumns({c: F.round(c, 6) for c in ("vmin", "vmax")})
+
+
 @query("o3_exclusion_mask", sql_over("pixels", body="SELECT DISTINCT measu, x, y, NOT (x BETWEEN 2 AND 7 AND y BETWEEN 2 AND 7) AS excluded FROM pixels"))
 def _(spark, sf):
     return O.exclusion_mask(M.traces(spark, sf), 2, 10, 10)

@@ -176,12 +176,12 @@ def whole_frame(
     )
 
 
-def bleach_area(pixels: DataFrame, area: DataFrame, nx: int, ny: int, params: Params) -> DataFrame:
-    """The area mask, or the centre rectangle after cutting a percentage per side."""
+def bleach_area(pixels: DataFrame, area: DataFrame, nx: int | Column, ny: int | Column, params: Params) -> DataFrame:
+    """The area mask, or the centre rectangle after cutting a percentage per side. Sizes may be columns."""
     if params.bleach_exclude_area:
         return area.select("measu", "x", "y").distinct()
-    cut_x, cut_y = round(nx * params.bleach_cut_border / 100), round(ny * params.bleach_cut_border / 100)
-    inside = F.col("x").between(cut_x, nx - cut_x - 1) & F.col("y").between(cut_y, ny - cut_y - 1)
+    cut_x, cut_y = (F.bround(A.lit(n) * params.bleach_cut_border / 100).cast("int") for n in (nx, ny))
+    inside = F.col("x").between(cut_x, A.lit(nx) - cut_x - 1) & F.col("y").between(cut_y, A.lit(ny) - cut_y - 1)
     return pixels.select("measu", "x", "y").filter(inside).distinct()
 
 

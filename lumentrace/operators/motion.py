@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentrace.functions import arrays as A
 from lumentrace.plans.skew import join_per_key
 
 REFERENCE_FRAME = 5
@@ -18,11 +19,13 @@ def search_radius(nx: int, ny: int, fraction: float = 0.10) -> int:
     return min(int(nx * fraction), int(ny * fraction))
 
 
-def _frames(pixels: DataFrame) -> DataFrame:
-    """One row per frame: values in x-major order. A row holds one frame, whose size the
-    camera fixes; a long recording is spread over its frames."""
+def _frames(pixels: DataFrame, nx: int | Column, ny: int | Column) -> DataFrame:
+    """One row per frame: its size and values in x-major order. A row holds one frame, whose
+    size the camera fixes; a long recording is spread over its frames."""
     ordered = F.array_sort(F.collect_list(F.struct("x", "y", "v")))
-    return pixels.groupBy("measu", "t").agg(ordered["v"].alias("frame"))
+    sized = pixels.withColumns({"__nx": A.lit(nx), "__ny": A.lit(ny)})
+    size = F.max(F.struct(F.col("__nx").alias("nx"), F.col("__ny").alias("ny")))
+    return sized.groupBy("measu", "t").agg(ordered["v"].alias("frame"), size.alias("size"))
 
 
 def _window_sums(values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -53,7 +56,7 @@ def _likely_shifts(image: np.ndarray, target: np.ndarray, r: int) -> list[tuple[
     return sorted((r - int(i), r - int(j)) for i, j in zip(rows, columns))
 
 
-def estimated_shifts(pixels: DataFrame, nx: int, ny: int, radius: int | None = None) -> DataFrame:
+def estimated_shifts(pixels: DataFrame, nx: int | Column, ny: int | Column, radius: int | None = None) -> DataFrame:
     """Best (dx, dy) of every frame against frame 5 by correlation of the inner
     region; it must exceed 0, and the first best in (dx, dy) order wins.
 
@@ -61,20 +64,20 @@ def estimated_shifts(pixels: DataFrame, nx: int, ny: int, radius: int | None = N
     sums, inside the task that holds the frame; those within rounding of the best are
     correlated again one by one, so that ties are decided exactly.
     """
-    r = search_radius(nx, ny) if radius is None else radius
-    frames = _frames(pixels)
+    frames = _frames(pixels, nx, ny)
     reference = frames.filter(F.col("t") == REFERENCE_FRAME).select("measu", F.col("frame").alias("ref"))
     pairs = join_per_key(frames, reference, ["measu"], spread=["t"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        inner = slice(r, -r) if r else slice(None)
         for batch in batches:
             found = []
-            for measu, t, frame, ref in zip(batch["measu"], batch["t"], batch["frame"], batch["ref"]):
+            for measu, t, frame, ref, *shape in zip(*[batch[c] for c in ("measu", "t", "frame", "ref", "nx", "ny")]):
                 best, where = 0.0, (0, 0)
                 if t != REFERENCE_FRAME:
-                    image = np.asarray(frame).reshape(nx, ny)
-                    target = np.asarray(ref).reshape(nx, ny)[inner, inner]
+                    r = search_radius(*shape) if radius is None else radius
+                    inner = slice(r, -r) if r else slice(None)
+                    image = np.asarray(frame).reshape(shape)
+                    target = np.asarray(ref).reshape(shape)[inner, inner]
                     target = target - target.mean()
                     norm = np.sqrt((target**2).sum())
                     for dx, dy in _likely_shifts(image, target, r):
@@ -87,21 +90,21 @@ def estimated_shifts(pixels: DataFrame, nx: int, ny: int, radius: int | None = N
                 found.append((measu, t, *where, int(best * 10)))
             yield pd.DataFrame(found, columns=["measu", "t", "dx", "dy", "quality"])
 
-    return pairs.select("measu", "t", "frame", "ref").mapInPandas(
+    return pairs.select("measu", "t", "frame", "ref", "size.nx", "size.ny").mapInPandas(
         search, "measu BIGINT, t INT, dx INT, dy INT, quality INT"
     )
 
 
-def rolled(pixels: DataFrame, shifts: DataFrame, nx: int, ny: int, shrink: int = 1) -> DataFrame:
-    """Circular shift of every frame; shifts measured on a shrunken movie are scaled."""
+def rolled(pixels: DataFrame, shifts: DataFrame, nx: int | Column, ny: int | Column, shrink: int = 1) -> DataFrame:
+    """Circular shift of every frame; shifts measured on a shrunken movie are scaled. Sizes may be columns."""
     moves = shifts.select(
         "measu", "t", (F.col("dx") / shrink).cast("int").alias("dx"), (F.col("dy") / shrink).cast("int").alias("dy")
     )
     joined = pixels.join(moves, ["measu", "t"])
     return joined.withColumns(
         {
-            "x": F.pmod(F.col("x") + F.col("dx"), F.lit(nx)),
-            "y": F.pmod(F.col("y") + F.col("dy"), F.lit(ny)),
+            "x": F.pmod(F.col("x") + F.col("dx"), A.lit(nx)),
+            "y": F.pmod(F.col("y") + F.col("dy"), A.lit(ny)),
         }
     ).drop("dx", "dy")
 
@@ -109,8 +112,8 @@ def rolled(pixels: DataFrame, shifts: DataFrame, nx: int, ny: int, shrink: int =
 def motion_corrected(
     pixels: DataFrame,
     mode: str,
-    nx: int,
-    ny: int,
+    nx: int | Column,
+    ny: int | Column,
     movement_file: str | None = None,
     shrink: int = 1,
 ) -> DataFrame:

@@ -51,23 +51,27 @@ def overview_grid(traces: DataFrame, stimuli: DataFrame, feature: int | str, par
     return A.unrolled(rows, *PIXEL, "stim_idx", trace="values", names=("feature", "value"))
 
 
-def check_border(cut: int, nx: int, ny: int) -> None:
+def check_border(cut: int, nx: int | Column, ny: int | Column) -> None:
+    if isinstance(nx, Column) or isinstance(ny, Column):
+        return  # checked row by row
     if cut >= 0.5 * nx or cut >= 0.5 * ny:
         raise ValueError(f"border {cut} is too large for a frame of {nx} x {ny}")
 
 
-def inside_border(cut: int, nx: int, ny: int) -> Column:
-    return F.col("x").between(cut, nx - cut - 1) & F.col("y").between(cut, ny - cut - 1)
+def inside_border(cut: int, nx: int | Column, ny: int | Column) -> Column:
+    inside = F.col("x").between(F.lit(cut), A.lit(nx) - cut - 1) & F.col("y").between(F.lit(cut), A.lit(ny) - cut - 1)
+    too_large = (2 * cut >= A.lit(nx)) | (2 * cut >= A.lit(ny))
+    return F.when(too_large, F.raise_error(F.lit("the border is too large for a frame")).cast("boolean")).otherwise(inside)
 
 
-def cropped(pixels: DataFrame, cut: int, nx: int, ny: int) -> DataFrame:
-    """O3: cut a border on every side; positions count from the new corner."""
+def cropped(pixels: DataFrame, cut: int, nx: int | Column, ny: int | Column) -> DataFrame:
+    """O3: cut a border on every side; positions count from the new corner. Sizes may be columns."""
     check_border(cut, nx, ny)
     kept = pixels.filter(inside_border(cut, nx, ny))
     return kept.withColumns({"x": F.col("x") - cut, "y": F.col("y") - cut})
 
 
-def exclusion_mask(pixels: DataFrame, cut: int, nx: int, ny: int) -> DataFrame:
+def exclusion_mask(pixels: DataFrame, cut: int, nx: int | Column, ny: int | Column) -> DataFrame:
     """O3: true for pixels that the crop removes."""
     check_border(cut, nx, ny)
     return pixels.select(*PIXEL, (~inside_border(cut, nx, ny)).alias("excluded"))
@@ -97,7 +101,7 @@ def cropped_size(params: Params, nx: int, ny: int, n: int) -> tuple[int, int, in
 
 
 def data_limits(
-    pixels: DataFrame, params: Params, nx: int, ny: int, area: DataFrame | None = None, value: str = "v"
+    pixels: DataFrame, params: Params, nx: int | Column, ny: int | Column, area: DataFrame | None = None, value: str = "v"
 ) -> DataFrame:
     """Lower and upper limit per recording, of frames or movies alike.
 
@@ -114,8 +118,8 @@ def data_limits(
         raise NotImplementedError(f"no scale mode {mode}")
     chosen = pixels
     if mode == 3:
-        bx, by = int(nx * params.scale_margin), int(ny * params.scale_margin)
-        chosen = pixels.filter(F.col("x").between(bx, nx - bx - 1) & F.col("y").between(by, ny - by - 1))
+        bx, by = ((A.lit(n) * params.scale_margin).cast("int") for n in (nx, ny))
+        chosen = pixels.filter(F.col("x").between(bx, A.lit(nx) - bx - 1) & F.col("y").between(by, A.lit(ny) - by - 1))
     if mode in (5, 6):
         chosen = pixels.join(area.select(*PIXEL).distinct(), PIXEL, "left_semi")
     if params.percentile_scale:
@@ -275,7 +279,7 @@ ROTATIONS = {
 }
 
 
-def rotated(pixels: DataFrame, code: int, nx: int, ny: int, reverse: bool = False) -> DataFrame:
+def rotated(pixels: DataFrame, code: int, nx: int | Column, ny: int | Column, reverse: bool = False) -> DataFrame:
     """Rotate or mirror by a code 0..7; ``reverse`` toggles the first-axis mirror."""
     swap, second, first = ROTATIONS[code]
     first = first != reverse
@@ -284,7 +288,7 @@ def rotated(pixels: DataFrame, code: int, nx: int, ny: int, reverse: bool = Fals
     return pixels.withColumns({"x": wide - 1 - x if first else x, "y": high - 1 - y if second else y})
 
 
-def output_pixels(pixels: DataFrame, ny: int, value: str = "v") -> DataFrame:
+def output_pixels(pixels: DataFrame, ny: int | Column, value: str = "v") -> DataFrame:
     """Image rows and columns with 8-bit values, first row on top."""
     return pixels.withColumns(
         {"row": ny - 1 - F.col("y"), "column": F.col("x"), value: (F.col(value) * 255).cast("int")}

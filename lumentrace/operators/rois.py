@@ -277,7 +277,7 @@ def shifted_rois(members: DataFrame, measurements: DataFrame, nx: int, ny: int,
     )
     joined = join_per_key(members, moves, ["measu"], spread=["roi", "x", "y"])
     return joined.withColumns(
-        {"x": F.pmod(F.col("x") + F.col("__dx"), F.lit(nx)), "y": F.pmod(F.col("y") + F.col("__dy"), F.lit(ny))}
+        {"x": F.pmod(F.col("x") + F.col("__dx"), A.lit(nx)), "y": F.pmod(F.col("y") + F.col("__dy"), A.lit(ny))}
     ).drop("__dx", "__dy")
 
 

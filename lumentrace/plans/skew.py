@@ -39,6 +39,15 @@ def join_per_key(
     return salted.join(replicas, [*keys, _SALT], how).drop(_SALT)
 
 
+def with_facts(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """Attach facts of each recording ``(measu, nx, ny, n_frames, period_ms, ...)`` to its rows.
+
+    Where an operator takes a size it also takes a column, so that recordings of different
+    cameras go through one job: ``cropped(with_facts(pixels, facts), 2, F.col("nx"), F.col("ny"))``.
+    """
+    return join_per_key(df, facts, ["measu"], spread=[c for c in ("roi", "x", "y", "t") if c in df.columns])
+
+
 def with_key_stats(
     df: DataFrame,
     keys: Sequence[str],
