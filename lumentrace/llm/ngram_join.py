@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import SPACES, released, written
+from lumentrace.llm.common import SPACES, text_or_empty, written
 from lumentrace.llm.graph import components
 
 #: Children of a tree node, and node pairs handled at once.
@@ -224,45 +224,51 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return found
 
 
-def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, __th (hash of the text), n_shingles, node (hash of the set, null if empty), keys, spare."""
+def signed_sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, __th (hash of the text), n_shingles, and node (hash of the set, null if empty)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, keys, spares = [], [], [], []
-            for text in batch.column(2).cast(pa.binary()):
-                found = shingles(text.as_py(), n)
-                key, spare = set_keys(found, percent) if len(found) else (None, None)
-                sizes.append(len(found))
-                nodes.append(set_hash(found) if len(found) else None)
-                keys.append(key)
-                spares.append(spare)
+            found = [shingles(text.as_py(), n) for text in batch.column(2).cast(pa.binary())]
+            nodes = [set_hash(f) if len(f) else None for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(spares, pa.list_(pa.int32()))],
-                names=["doc_id", "__th", "n_shingles", "node", "keys", "spare"],
+                [batch.column(0), batch.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array(nodes, pa.int64())],
+                names=["doc_id", "__th", "n_shingles", "node"],
             )
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("__th"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, __th long, n_shingles long, node long, keys array<long>, spare array<int>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("__th"), text_or_empty().alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, __th long, n_shingles long, node long")
+
+
+def keyed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, keys and spare (as in :func:`set_keys`) of every text with shingles."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [f for text in batch.column(0).cast(pa.binary()) if len(f := shingles(text.as_py(), n))]
+            keys = [set_keys(f, percent) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_hash(f) for f in found], pa.int64()), pa.array([k for k, _ in keys], pa.list_(pa.int64())),
+                 pa.array([s for _, s in keys], pa.list_(pa.int32()))],
+                names=["node", "keys", "spare"],
+            )
+
+    return docs.select(text_or_empty().alias("text")).mapInArrow(sign, "node long, keys array<long>, spare array<int>")
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
     """Edges (u, v) from each set to the smallest set that shares a key with it.
 
-    Keys are placed by key once and read twice: for the number of sets with the key, and to find them. Each
-    set then leaves out its most shared keys, as many as it may.
+    Keys are placed once, by key, to count the sets of each. A set then leaves out its most shared keys, as many
+    as it may.
     """
     rows = sets.select("node", F.explode(F.arrays_zip("keys", "spare")).alias("k")).select(
         "node", F.col("k.keys").alias("key"), F.col("k.spare").alias("spare")
-    ).repartition("key")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    hot_first = Window.partitionBy("node", "spare").orderBy(F.desc("c"), "key")
-    left = (
-        rows.join(shared, "key").withColumn("r", F.row_number().over(hot_first))
-        .filter(F.col("r") > F.shiftright("spare", 1)).select("node", "key")
     )
-    left = written(left, "keys")
+    shared = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1")
+    hot_first = Window.partitionBy("node", "spare").orderBy(F.desc("c"), "key")
+    left = shared.withColumn("r", F.row_number().over(hot_first)).filter(F.col("r") > F.shiftright("spare", 1))
+    left = written(left.select("node", "key"), "keys")
     hubs = left.groupBy("key").agg(F.min("node").alias("v"))
     return left.join(hubs, "key").select(F.col("node").alias("u"), "v").filter("u <> v").distinct()
 
@@ -335,22 +341,30 @@ def found_links(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return placed.mapInArrow(search, "u long, v long")
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers, marked for broadcast if there are at most BROADCAST_CANDIDATES of them."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_CANDIDATES else rows
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose (__id, __th) is not among ``gone``."""
+    return docs.join(bounded(gone), ["__id", "__th"], "left_anti")
+
+
 def rows_with_roots(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, __th, n_shingles, node, root and component_id of every row; node and root are null without shingles."""
-    sets = written(signed_sets(docs, n, percent), "sets")
-    nodes = (
-        sets.filter("node IS NOT NULL").groupBy("node")
-        .agg(F.min("doc_id").alias("first"), F.min_by("__th", F.coalesce("doc_id", F.lit(NO_ID))).alias("__th"),
-             F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("spare").alias("spare"))
-    )
-    nodes = written(nodes, "nodes")
-    around = components(candidate_edges(nodes))
-    picks = written(around.join(nodes.select("node", "n_shingles", "first", "__th"), "node"), "candidates")
+    sets = written(signed_sets(docs, n), "sets")
+    with_id = sets.filter("node IS NOT NULL").withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID)))
+    nodes = with_id.groupBy("node").agg(F.min(F.struct("__id", "__th", "doc_id")).alias("k"), F.first("n_shingles").alias("n_shingles"))
+    nodes = written(nodes.select("node", "n_shingles", "k.__id", "k.__th", F.col("k.doc_id").alias("first")), "nodes")
+    # keys are made from one text of each set: all but the copies
+    first = nodes.select("node", F.col("__id").alias("__i"), F.col("__th").alias("__t"))
+    others = with_id.join(first, "node").filter("__id <> __i OR __th <> __t").select("__id", "__th").distinct()
+    single = without(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.xxhash64("text").alias("__th"), "text"), written(others, "copies"))
+    around = components(candidate_edges(keyed_sets(single, n, percent)))
+    picks = written(around.join(nodes.drop("first"), "node"), "candidates")
     tasks = tasks_of(picks.select("node", "root", "n_shingles"), percent)
-    wanted = picks.select("node", "__th", F.coalesce("first", F.lit(NO_ID)).alias("__id"))
-    texts = docs.select(F.xxhash64("text").alias("__th"), F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), "text")
-    small = wanted.count() <= BROADCAST_CANDIDATES
-    with_text = texts.join(F.broadcast(wanted) if small else wanted, ["__th", "__id"])
+    with_text = single.join(bounded(picks.select("node", "__id", "__th")), ["__id", "__th"])
     joined = with_text.select("node", "text").join(tasks, "node")
     roots = components(found_links(joined, n, percent))
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -387,14 +401,8 @@ def first_of_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     marked = found.join(best, "root").withColumn("best", is_best).select("__id", "__th", "best")
     gone = written(marked.filter("NOT best").select("__id", "__th").distinct(), "gone")
     again = written(marked.filter("best").groupBy("__id", "__th").count().filter("count > 1").select("__id", "__th"), "again")
-    kept = docs.withColumns(keys)
-
-    def bounded(rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if rows.count() <= BROADCAST_CANDIDATES else rows
-
-    kept = kept.join(bounded(gone), ["__id", "__th"], "left_anti")
+    kept = without(docs.withColumns(keys), gone)
     if not again.isEmpty():
-        twice = bounded(again)
-        once = kept.join(twice, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"])
-        kept = kept.join(twice, ["__id", "__th"], "left_anti").unionByName(once)
+        once = kept.join(bounded(again), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"])
+        kept = without(kept, again).unionByName(once)
     return kept.select(*docs.columns)
