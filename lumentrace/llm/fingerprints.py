@@ -11,17 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentrace.functions.arrays import let
-from lumentrace.llm.common import lower_ascii, text_or_empty, words, written
+from lumentrace.llm.common import text_or_empty, words, written
 
 SHINGLE = 5
 BITS_OF_BIN = 8
 BINS = 1 << BITS_OF_BIN
 LOW_BITS = 4
 PER_WORD = 64 // LOW_BITS
-#: Steps of a walk that are tried before all bins are looked at.
-STEPS = 24
+#: Steps of a walk that are followed before all filled bins are asked.
+STEPS = 20
 #: Documents that one task pairs with their successors, and the most such groups.
 GROUP_ROWS = 512
+SLICES = 4096
 MAX_GROUPS = 1 << 20
 
 
@@ -36,49 +37,76 @@ def shingle_hashes(text: Column) -> Column:
         short = F.transform(F.slice(zipped, F.lit(1), F.least(n, F.lit(1))), lambda s: F.xxhash64(s))
         return F.when(n >= SHINGLE, full).otherwise(short)
 
-    return let(F.transform(words(lower_ascii(text)), lambda w: F.xxhash64(w)), of)
+    return let(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)), of)
 
 
-def walk(bin_: Column, step: Column | int) -> Column:
-    """The bin at a step of a bin's walk: an odd stride, so that 256 steps visit every bin."""
-    stride = F.shiftright(bin_ * 40503 + 12345, 3).bitwiseOR(F.lit(1))
-    start = F.shiftright(bin_ * 30011 + 7919, 2)
-    return F.pmod(start + stride * step, F.lit(BINS)).cast("int")
+def walk(bin_: int, step: int) -> int:
+    """The bin at a step of a bin's walk: its stride is odd, so that 256 steps visit every bin."""
+    return (_start(bin_) + _stride(bin_) * step) % BINS
+
+
+def _start(bin_: int) -> int:
+    return (bin_ * 30011 + 7919 >> 2) % BINS
+
+
+def _stride(bin_: int) -> int:
+    return (bin_ * 40503 + 12345 >> 3 | 1) % BINS
+
+
+_STEP_BINS = [[walk(b, s) for b in range(BINS)] for s in range(STEPS)]
+_STARTS = [_start(b) for b in range(BINS)]
+#: A stride's inverse turns a bin into the step at which the walk gets there.
+_INVERSES = [pow(_stride(b), -1, BINS) for b in range(BINS)]
+_LAST = (1 << (64 - BITS_OF_BIN)) - 1
+#: The largest hash of each bin, which marks a bin as empty when nothing smaller is there.
+_SENTINELS = [((b - BINS // 2) << (64 - BITS_OF_BIN)) | _LAST for b in range(BINS)]
 
 
 def _densified(bins: Column) -> Column:
-    """Low bits of all bins, empty ones (null) filled from the first filled bin of their walk."""
+    """Low bits of all bins, empty ones (null) filled from the first filled bin of their walk.
 
-    def fill(value: Column, i: Column) -> Column:
-        near = [F.get(bins, walk(i, s)) for s in range(STEPS)]
-        rest = F.filter(F.transform(F.sequence(F.lit(STEPS), F.lit(BINS - 1)), lambda s: F.get(bins, walk(i, s))), lambda v: v.isNotNull())
-        return F.coalesce(value, *near, F.get(rest, F.lit(0)))
+    Few filled bins are asked for the step at which the walk meets them, and the first of them counts; with more,
+    the walk is followed for STEPS steps first.
+    """
+    found = F.filter(
+        F.transform(bins, lambda v, b: F.shiftleft(b, LOW_BITS).bitwiseOR(v.cast("int"))), lambda x: x.isNotNull()
+    )
+
+    def of(filled: Column) -> Column:
+        def first_met(b: Column) -> Column:
+            def let_pair(pair: Column) -> Column:
+                steps = F.transform(filled, lambda x: F.shiftleft(
+                    ((F.shiftright(x, LOW_BITS) - pair["a"]) * pair["i"]).bitwiseAND(F.lit(BINS - 1)), LOW_BITS
+                ).bitwiseOR(x.bitwiseAND(F.lit((1 << LOW_BITS) - 1))))
+                return F.array_min(steps).bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("long")
 
-    return F.transform(bins, fill)
+            return let(F.struct(F.get(F.lit(_STARTS), b).alias("a"), F.get(F.lit(_INVERSES), b).alias("i")), let_pair)
+
+        near = lambda b: [F.get(bins, F.get(F.lit(t), b)) for t in _STEP_BINS]
+        sparse = F.transform(bins, lambda v, b: F.coalesce(v, first_met(b)))
+        dense = F.transform(bins, lambda v, b: F.coalesce(v, *near(b), first_met(b)))
+        return F.when(F.size(filled) == BINS, bins).when(F.size(filled) <= STEPS, sparse).otherwise(dense)
+
+    return let(found, of)
 
 
 def packed_fingerprint(text: Column) -> Column:
     """The packed low bits (array of 16 longs), or null for a text without words."""
-    sentinel = F.transform(
-        F.sequence(F.lit(0), F.lit(BINS - 1)),
-        lambda i: F.shiftleft((i - BINS // 2).cast("long"), 64 - BITS_OF_BIN).bitwiseOR(F.lit((1 << (64 - BITS_OF_BIN)) - 1)),
-    )
     bin_of = lambda h: F.shiftright(h, 64 - BITS_OF_BIN)
-    last = (1 << (64 - BITS_OF_BIN)) - 1
 
     def least(ordered: Column) -> Column:
-        first = F.filter(ordered, lambda h, i: F.coalesce(bin_of(h) != bin_of(F.get(ordered, i - 1)), F.lit(True)))
-        return F.transform(first, lambda h: F.when(h.bitwiseAND(F.lit(last)) != last, h.bitwiseAND(F.lit((1 << LOW_BITS) - 1))))
+        first = F.filter(ordered, lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(ordered, i - 1))))
+        return F.transform(first, lambda h: F.when(h.bitwiseAND(F.lit(_LAST)) != _LAST, h.bitwiseAND(F.lit((1 << LOW_BITS) - 1))))
 
     def pack(low: Column) -> Column:
         def word(k: Column) -> Column:
             part = F.slice(low, k * PER_WORD + 1, F.lit(PER_WORD))
             return F.aggregate(part, F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, LOW_BITS).bitwiseOR(v))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(BINS // PER_WORD - 1)), word)
+        return F.transform(F.lit([*range(BINS // PER_WORD)]), word)
 
     def of(hashes: Column) -> Column:
-        ordered = F.sort_array(F.concat(hashes, sentinel))
+        ordered = F.sort_array(F.concat(hashes, F.lit(_SENTINELS)))
         return F.when(F.size(hashes) > 0, let(let(let(ordered, least), _densified), pack))
 
     return let(shingle_hashes(text), of)
@@ -111,27 +139,27 @@ def likeness(a: Column, b: Column) -> Column:
 def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with ``__g``, their group in falling order of doc_id, and the heads (__g, head id, group before).
 
-    Groups are even cuts of 4,096 even slices between the smallest and largest id, each slice cut by its own
-    count; there are at most MAX_GROUPS of them and the slices. Null ids form the last groups, by hash of the text.
+    Groups are even cuts of SLICES even slices between the smallest and largest id, each slice cut by its own
+    count; there are at most MAX_GROUPS of them and the slices. Null ids form the last groups, by hash of the
+    text. Three numbers and one count per slice reach the driver.
     """
-    slices = 4096
-    ids = rows.select("doc_id")
-    low, high = ids.agg(F.min("doc_id")).scalar(), ids.agg(F.max("doc_id")).scalar()
-    per_group = F.greatest(F.lit(GROUP_ROWS), F.ceil(ids.agg(F.count(F.lit(1))).scalar() / MAX_GROUPS))
-    width = F.greatest(F.ceil((high.cast("double") - low.cast("double") + 1) / slices), F.lit(1))
-    slice_ = F.floor((high.cast("double") - F.col("doc_id").cast("double")) / width).cast("long")
-    inside = (high.cast("double") - F.col("doc_id").cast("double")) - slice_ * width
-    counts = ids.filter("doc_id IS NOT NULL").groupBy(slice_.alias("s")).agg(F.ceil(F.count(F.lit(1)) / per_group).alias("n"))
-    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("m"))  # at most 4,096 entries
-    cuts = table.select(F.transform(F.sequence(F.lit(0), F.lit(slices)), lambda s: F.try_element_at("m", s.cast("long")))).scalar()
-    cut = F.floor(inside * F.get(cuts, slice_.cast("int")) / width)
-    nulls = 1 << 62
-    group = F.when(F.isnull("doc_id"), F.lit(nulls) + F.pmod(F.xxhash64("text"), F.lit(1024))).otherwise(slice_ * (1 << 40) + cut)
-    marked = rows.withColumn("__g", group.cast("long"))
+    ids = rows.select(F.col("doc_id").alias("id"))
+    low, high, n = ids.agg(F.coalesce(F.min("id"), F.lit(0)), F.coalesce(F.max("id"), F.lit(0)), F.count(F.lit(1))).first()
+    per_group, width = max(GROUP_ROWS, -(-n // MAX_GROUPS)), -(-(high - low + 1) // SLICES)
+    below = lambda c: F.lit(high).cast("decimal(20,0)") - F.col(c)
+    slice_ = lambda c: F.floor(below(c) / width).cast("int")
+    counts = ids.filter("id IS NOT NULL").groupBy(slice_("id").alias("s")).count().collect()
+    cuts = [0] * SLICES
+    for s, c in counts:
+        cuts[s] = -(-c // per_group)
+    inside = below("doc_id") - slice_("doc_id") * F.lit(width).cast("decimal(20,0)")
+    cut = F.floor(inside.cast("double") * F.get(F.lit(cuts), slice_("doc_id")) / width).cast("long")
+    of_nulls = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1024))
+    group = F.when(F.isnull("doc_id"), of_nulls).otherwise(slice_("doc_id").cast("long") * (1 << 40) + cut)
+    marked = rows.withColumn("__g", group)
     heads = marked.groupBy("__g").agg(F.max("doc_id").alias("__head"))
-    order = Window.orderBy("__g")
-    ends = heads.select("__g", "__head", F.coalesce(F.lag("__g").over(order), F.max("__g").over(Window.partitionBy())).alias("__before"))
-    return marked, ends
+    before = F.coalesce(F.lag("__g").over(Window.orderBy("__g")), F.max("__g").over(Window.partitionBy()))
+    return marked, heads.select("__g", "__head", before.alias("__before"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -145,7 +173,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     marked, heads = _grouped(rows)
     heads = written(heads, "heads")
     order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
-    # at most MAX_GROUPS + 4,096 + 1,024 rows of three numbers: broadcast
+    # at most MAX_GROUPS + SLICES + 1,024 rows of three numbers: broadcast
     joined = marked.join(F.broadcast(heads), "__g").withColumn("packed", packed_fingerprint(F.col("text")))
     is_head = F.col("doc_id").eqNullSafe(F.col("__head"))
     placed = joined.withColumn(
