@@ -20,7 +20,7 @@ MAX_EPOCHS = 3
 SHARD_SLOTS = 4096
 MAX_SHARDS = 65_536
 #: Documents laid out by one task.
-DOCS_PER_BUCKET = 20_000
+DOCS_PER_BUCKET = 1_000
 _BLANK = SPACES.encode()
 _BLANKS = np.frombuffer(_BLANK, np.uint8)
 
