@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import text_or_empty
+from lumentrace.llm.common import sliced, text_or_empty
 
 #: Characters given to the tokenizer at once.
 SLICE_CHARS = 1 << 20
 #: Distinct chunks a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _UNUSUAL = re.compile(r"^ |\s | \s| $")
 
 
@@ -171,7 +171,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", offset
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = encoder(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in _slices(texts):
                 if offsets:
@@ -201,7 +201,7 @@ def decoded(tokens: DataFrame, path: str, ids: str = "__ids") -> DataFrame:
         empty = [table.get(i, b"") for i in range(max(table) + 1)]
         lengths = np.array([len(x) for x in empty], np.int64)
         flat, starts = np.frombuffer(b"".join(empty), np.uint8), np.cumsum(lengths) - lengths
-        for batch in batches:
+        for batch in sliced(batches):
             lists = batch.column(at)
             out = []
             for i in range(len(lists)):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from lumentrace.plans.skew import join_per_key
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows up to which a per-key table is broadcast; a row is one short key and a few numbers.
 BROADCAST_ROWS = 10_000
+#: Texts that a Python task handles at once.
+SLICE_ROWS = 500
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -31,6 +34,13 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what a task makes of a batch stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate data; an own one only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

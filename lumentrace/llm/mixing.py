@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import SPACES, join_facts, text_or_empty, words, written
+from lumentrace.llm.common import SPACES, join_facts, sliced, text_or_empty, words, written
 
 #: Words in a block.
 BLOCK = 64
@@ -237,7 +237,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     placed = laid_out(rows, recipe_table(spark, entries), len(entries)).select("sid", "start", "__rest", "__t")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("__t").cast(pa.binary())
             found = [cut(t.as_py(), s, block) for t, s in zip(texts, batch.column("start").to_pylist(), strict=True)]
             of = np.repeat(np.arange(len(found)), [len(f) for f in found])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import SPACES, text_or_empty, written
+from lumentrace.llm.common import SPACES, sliced, text_or_empty, written
 from lumentrace.llm.graph import components
 
 #: Children of a tree node, and node pairs handled at once.
@@ -228,7 +228,7 @@ def signed_sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, __th (hash of the text), n_shingles, and node (hash of the set, null if empty)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingles(text.as_py(), n) for text in batch.column(2).cast(pa.binary())]
             nodes = [set_hash(f) if len(f) else None for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -244,7 +244,7 @@ def keyed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """node, keys and spare (as in :func:`set_keys`) of every text with shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [f for text in batch.column(0).cast(pa.binary()) if len(f := shingles(text.as_py(), n))]
             keys = [set_keys(f, percent) for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -323,7 +323,7 @@ def found_links(rows: DataFrame, n: int, percent: int) -> DataFrame:
             found = np.array(pairs, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]])], names=["u", "v"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             columns = [batch.column(i).to_pylist() for i in range(3)]
             for t, side, node, text in zip(*columns, batch.column(3).cast(pa.binary()), strict=True):
                 if t != task:

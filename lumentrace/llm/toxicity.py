@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import text_or_empty
+from lumentrace.llm.common import sliced
 
 #: Labelled documents of each label that the model is fitted on, chosen by a hash of their ids.
 FIT_ROWS = 2_000
@@ -154,7 +154,7 @@ def scored(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFram
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = [own.severity(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(found, pa.float64())], names=[*batch.schema.names[:-1], "__severity"]
