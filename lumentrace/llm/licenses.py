@@ -44,17 +44,30 @@ def template_counts() -> list[tuple[str, Counter]]:
     return [(name, Counter(re.findall(TERM, text.lower()))) for name, text in TEMPLATES]
 
 
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n): the rows that have each term, over all terms; the empty term counts all rows."""
+    found = F.concat(F.array(F.lit("")), F.array_distinct(terms(text_or_empty(text))))
+    return docs.select(F.explode(found).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def inverse(rows: int, n: int) -> float:
+    return math.log((rows + 1) / (n + 1)) + 1
+
+
 def weights_of(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """Inverse document frequency of every template term, counted over all rows.
+    """Inverse document frequency of every template term, counted over all rows."""
+    return weights_in(frequencies(docs, text))[0]
+
+
+def weights_in(counted: DataFrame) -> tuple[dict[str, float], int]:
+    """Weights of the templates' terms from :func:`frequencies`, and the rows.
 
     Only counts of the templates' terms (a fixed list) reach the driver.
     """
     vocabulary = sorted({t for _, c in template_counts() for t in c})
-    known = F.array_intersect(terms(text_or_empty(text)), F.lit(vocabulary))
-    found = docs.select(F.explode(F.concat(F.array(F.lit("")), known)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["term"]: r["n"] for r in found.collect()}
+    counts = {r["term"]: r["n"] for r in counted.filter(F.col("term").isin(["", *vocabulary])).collect()}
     rows = counts.get("", 0)
-    return {t: math.log((rows + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary}
+    return {t: inverse(rows, counts.get(t, 0)) for t in vocabulary}, rows
 
 
 def anchors(weights: dict[str, float], least: float = LEAST_COSINE) -> list[str]:
@@ -73,41 +86,74 @@ def anchors(weights: dict[str, float], least: float = LEAST_COSINE) -> list[str]
     return sorted(out)
 
 
-def best_match(line: Column, weights: dict[str, float]) -> Column:
-    """(cosine, license) of the template nearest to a line, by the templates' terms; the last name among equals."""
+def nearest(line: Column, weights: dict[str, float]) -> Column:
+    """The highest cosine that a line can have with a template: a term outside the templates weighs 1 there, its least."""
     vocabulary = sorted(weights)
     place = {t: i for i, t in enumerate(vocabulary)}
     vectors = []
-    for name, counts in template_counts():
+    for _, counts in template_counts():
         norm = math.sqrt(sum((c * weights[t]) ** 2 for t, c in counts.items()))
-        parts = [F.struct(F.lit(place[t]).alias("i"), F.lit(c * weights[t] / norm).alias("w")) for t, c in sorted(counts.items())]
-        vectors.append(F.struct(F.lit(name).alias("name"), F.array(*parts).alias("parts")))
+        vectors.append(F.array(*[F.struct(F.lit(place[t]).alias("i"), F.lit(c * weights[t] / norm).alias("w")) for t, c in sorted(counts.items())]))
     idf = F.lit([weights[t] for t in vocabulary])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
     def of(found: Column) -> Column:
         counts = F.transform(F.lit(vocabulary), lambda t, i: F.size(F.filter(found, lambda x: x == t)) * F.get(idf, i))
+        others = F.size(F.filter(found, lambda x: ~F.array_contains(F.lit(vocabulary), x)))
 
         def against(vector: Column) -> Column:
-            norm = F.sqrt(total(F.transform(vector, lambda v: v * v)))
-            scores = F.transform(F.array(*vectors), lambda m: F.struct(
-                F.round(F.coalesce(F.try_divide(total(F.transform(m["parts"], lambda p: p["w"] * F.get(vector, p["i"]))), norm), F.lit(0.0)), 6).alias("cosine"),
-                m["name"].alias("license"),
-            ))
-            return F.array_max(scores)
+            norm = F.sqrt(total(F.transform(vector, lambda v: v * v)) + others)
+            return F.array_max(F.transform(F.array(*vectors), lambda m: F.coalesce(
+                F.try_divide(total(F.transform(m, lambda p: p["w"] * F.get(vector, p["i"]))), norm), F.lit(0.0)
+            )))
 
         return let(counts, against)
 
     return let(terms(line), of)
 
 
+def scored(units: DataFrame, counted: DataFrame, rows: int, weights: dict[str, float], least: float) -> DataFrame:
+    """(unit, cosine, license) of the template nearest to each distinct unit, the last name among equals; none below ``least``.
+
+    All terms of a unit are in its norm, by their frequency over all documents. Sums are decimals, so they do not
+    depend on their order.
+    """
+    spark = units.sparkSession
+    each = written(units.select("unit").distinct().withColumn("uid", F.monotonically_increasing_id()), "units")
+    found = each.select("uid", F.explode(terms(F.col("unit"))).alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("c"))
+    found = written(found, "unitterms")
+    needed = written(counted.join(found.select("term").distinct(), "term", "left_semi"), "frequencies")
+    idf = F.log((F.lit(rows) + 1) / (F.coalesce("n", F.lit(0)) + 1)) + 1
+    weighed = join_facts(found, needed, needed.count(), ["term"]).select("uid", "term", (F.col("c") * idf).alias("w"))
+    exact = lambda x: F.sum(x.cast("decimal(28,12)")).cast("double")
+    norms = weighed.groupBy("uid").agg(exact(F.col("w") * F.col("w")).alias("square"))
+    lines = []
+    for k, (name, counts) in enumerate(template_counts()):
+        norm = math.sqrt(sum((c * weights[t]) ** 2 for t, c in counts.items()))
+        lines += [(t, k, name, c * weights[t] / norm) for t, c in counts.items()]
+    table = spark.createDataFrame(lines, "term string, k int, license string, tw double")
+    dots = weighed.join(F.broadcast(table), "term").groupBy("uid", "k", "license").agg(exact(F.col("w") * F.col("tw")).alias("dot"))
+    cosine = F.round(F.col("dot") / F.sqrt("square"), 6)
+    best = dots.join(norms, "uid").groupBy("uid").agg(F.max(F.struct(cosine.alias("cosine"), "license")).alias("own")).filter(F.col("own.cosine") >= least)
+    return each.join(best, "uid").select("unit", "own")
+
+
 def own_licenses(files: DataFrame, text: str = "text", least: float = LEAST_COSINE) -> DataFrame:
-    """All columns of ``files`` and ``__own`` (cosine, license) of its best line over the whole text, null below ``least``."""
-    weights = weights_of(files, text)
+    """All columns of ``files`` but the text, and ``__own`` (cosine, license) of its best line over the whole text, null below ``least``.
+
+    Lines that an upper bound keeps below ``least`` go no further; each other line is weighed once, however many rows have it.
+    """
+    counted = written(frequencies(files, text), "terms")
+    weights, rows = weights_in(counted)
     wanted = r"\b(?:" + "|".join(re.escape(a) for a in anchors(weights, least)) + r")\b"
     lines = F.filter(F.split(text_or_empty(text), "\n"), lambda x: F.lower(x).rlike(wanted))
-    best = F.array_max(F.transform(lines, lambda x: best_match(x, weights)))
-    return files.withColumn("__own", F.explode_outer(F.array(best))).withColumn("__own", F.when(F.col("__own.cosine") >= least, F.col("__own")))
+    near = F.filter(lines, lambda x: nearest(x, weights) >= least - 1e-6)
+    units = F.array_distinct(F.transform(near, lambda x: F.array_join(terms(x), " ")))
+    kept = written(files.withColumn("__units", units).drop(text).withColumn("__rid", F.monotonically_increasing_id()), "near")
+    of = kept.select("__rid", F.explode("__units").alias("unit"))
+    best = written(scored(of, counted, rows, weights, least), "scored")
+    own = join_facts(of, best, best.count(), ["unit"], "inner").groupBy("__rid").agg(F.max("own").alias("__own"))
+    return kept.drop("__units").join(own, "__rid", "left").drop("__rid")
 
 
 def directory_of(path: Column) -> Column:
@@ -143,7 +189,7 @@ def licenses(files: DataFrame) -> DataFrame:
     Null or empty text has no licence of its own and may inherit one. Rows are scanned one by one, repeated
     rows alike; an empty table gives an empty result; other columns are not read.
     """
-    own = written(own_licenses(files.select("doc_id", "path", "text")).drop("text"), "own")
+    own = written(own_licenses(files.select("doc_id", "path", "text")), "own")
     found = inherited(own)
     mine = F.col("__own.license")
     return found.select(

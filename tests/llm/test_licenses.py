@@ -83,3 +83,36 @@ def test_odd_rows(odd, nothing):
     assert L.licenses(L.as_files(nothing)).count() == 0
     plan = L.licenses(L.as_files(odd))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def full_best(units, texts, templates=None):
+    """Cosine with all terms of a unit in its norm, idf over all texts."""
+    sets = [set(re.findall(L.TERM, (t or "").lower())) for t in texts]
+    idf = lambda t: math.log((len(sets) + 1) / (sum(t in s for s in sets) + 1)) + 1
+    best = (0.0, "")
+    for unit in units:
+        x = {t: c * idf(t) for t, c in Counter(re.findall(L.TERM, unit.lower())).items()}
+        for name, counts in templates or L.template_counts():
+            y = {t: c * idf(t) for t, c in counts.items()}
+            norms = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            best = max(best, (round(sum(v * y.get(t, 0) for t, v in x.items()) / (norms or 1), 6), name))
+    return best if best[0] >= L.LEAST_COSINE else None
+
+
+CLEAN = [
+    "A colleague at MIT released her driving license photos yesterday, while nobody under contract complained about anything",
+    "The Apache helicopter flew under the clouds, a licensed pilot said; manual version 2.0 lay beside a license plate",
+    "SPDX-License-Identifier: LGPL-2.1-only",
+]
+
+
+def test_all_terms_are_in_the_norm(spark):
+    texts = [*CLEAN, "Released under the MIT License and a text", "x\nSPDX-License-Identifier: MIT\ny", *[f"word{i} and the other words of a text" for i in range(300)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "concat('/f/', doc_id) AS path", "text")
+    got = {r["doc_id"]: r for r in L.licenses(df).collect()}
+    for d, text in enumerate(texts):
+        want = full_best(text.split("\n"), texts)
+        assert (got[d]["own_license"], got[d]["cosine"]) == ((want[1], want[0]) if want else (None, None)), text
+    weights = brute_weights(texts)
+    assert all(brute_best(t, weights) for t in CLEAN[:2]) and not any(got[d]["own_license"] for d in range(len(CLEAN)))
+    assert got[3]["own_license"] == got[4]["own_license"] == "MIT" and got[3]["cosine"] < 1
