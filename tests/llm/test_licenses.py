@@ -107,12 +107,39 @@ CLEAN = [
 
 
 def test_all_terms_are_in_the_norm(spark):
-    texts = [*CLEAN, "Released under the MIT License and a text", "x\nSPDX-License-Identifier: MIT\ny", *[f"word{i} and the other words of a text" for i in range(300)]]
+    texts = [*CLEAN, "SPDX-License-Identifier: MIT and a text", "x\nSPDX-License-Identifier: MIT\ny", *[f"word{i} and the other words of a text" for i in range(300)]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "concat('/f/', doc_id) AS path", "text")
     got = {r["doc_id"]: r for r in L.licenses(df).collect()}
     for d, text in enumerate(texts):
         want = full_best(text.split("\n"), texts)
         assert (got[d]["own_license"], got[d]["cosine"]) == ((want[1], want[0]) if want else (None, None)), text
     weights = brute_weights(texts)
-    assert all(brute_best(t, weights) for t in CLEAN[:2]) and not any(got[d]["own_license"] for d in range(len(CLEAN)))
+    assert all(brute_best(t, weights) for t in CLEAN[:2]) and not any(got[d]["own_license"] for d in (0, 1)) and got[2]["own_license"] in (None, "LGPL-2.1")
     assert got[3]["own_license"] == got[4]["own_license"] == "MIT" and got[3]["cosine"] < 1
+
+
+GPL = "This program is free software: you can redistribute it and/or modify\n{0}it under the terms of the GNU General Public License as published by\n{0}the Free Software Foundation, either version 3 of the License, or\n{0}(at your option) any later version."
+BSD = "Redistribution and use in source and binary forms, with or without\n{0}modification, are permitted provided that the following conditions are met:"
+PROSE = "the cat and the dog of the house are in the garden of an old man, and this is all that they have to say to it. "
+
+
+def test_wrapped_notices_and_licence_files(spark):
+    bodies = {name: text for name, text in L.BODIES}
+    held = {
+        "/a/gpl.py": ("# " + GPL.format("# ") + "\nimport os", "GPL-3.0"), "/a/gpl.c": ("/* " + GPL.format(" * ") + " */\nint x;", "GPL-3.0"),
+        "/a/gpl.m4": ("dnl " + GPL.format("dnl "), "GPL-3.0"), "/a/gpl2.c": ("// " + GPL.format("// ").replace("version 3", "version 2"), "GPL-2.0"),
+        "/a/lgpl.c": ("// " + GPL.format("// ").replace("GNU General", "GNU Lesser General").replace("program", "library"), "LGPL-3.0"),
+        "/a/bsd.c": ("// " + BSD.format("// "), "BSD-3-Clause"), "/a/long.txt": (PROSE * 40 + GPL.format("").replace("\n", " ") + " " + PROSE * 40, "GPL-3.0"),
+        "/a/short.txt": (PROSE * 3 + "Licensed under the Apache License, Version 2.0. " + PROSE * 3, "Apache-2.0"),
+        "/mit/LICENSE": ("MIT License\n\nCopyright (c) 2020 A. Person\n\n" + bodies["MIT"].replace(", ", ",\n"), "MIT"),
+        "/bsd2/LICENSE.txt": ("Copyright (c) 2020, A. Person\n" + bodies["BSD-2-Clause"].replace(", ", ",\n"), "BSD-2-Clause"),
+        "/bsd3/COPYING": ("Copyright (c) 2020, A. Person\n" + bodies["BSD-3-Clause"].replace(", ", ",\n"), "BSD-3-Clause"),
+        "/gnu/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n" + PROSE * 20, "GPL-3.0"),
+        "/title/LICENSE": ("MIT License\n\n" + PROSE, "MIT"), "/c/README": (PROSE + "the MIT license is popular", None), "/b/clean": (PROSE, None),
+        "/mit/src/x.c": ("int main", "MIT"), "/b/x": ("// SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"), "/b/other": ("SPDX-License-Identifier: EUPL-1.2", None),
+    }
+    rows = [(i, p, t) for i, (p, (t, _)) in enumerate(held.items())] + [(1000 + i, f"/p/{i}", PROSE + f"nr {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(3)
+    got = {r["path"]: r for r in L.licenses(df).collect()}
+    assert {p: got[p]["license"] for p in held} == {p: want for p, (_, want) in held.items()}
+    assert got["/a/long.txt"]["cosine"] == 1.0 and got["/mit/src/x.c"]["inherited_from"] == "/mit" and not any(got[f"/p/{i}"]["license"] for i in range(200))
