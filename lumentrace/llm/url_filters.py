@@ -23,6 +23,8 @@ DAMPING_PERCENT = 85
 #: All seeds together, and the parts a host's links are counted in.
 UNIT = 10**12
 SHARES = 10**6
+#: Links of a host up to which they are counted in SHARES, where that loses less than a thousandth of a share; beyond it they are divided exactly.
+COUNTED = 1000
 #: A host is blocked when 100 * distrust > THRESHOLD_PERCENT * trust.
 THRESHOLD_PERCENT = 100
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
@@ -78,14 +80,17 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, w) and seeds (host, allowed, blocked counts).
 
+    No link of a host is rounded away, however many it has; only what is below one of UNIT parts is.
     Without seeds of a kind its scores are 0. A host without links keeps only its seed share.
     """
     out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("w").alias("total"))
     into = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("w").alias("total"))
-    share = F.floor(F.col("w") * SHARES / F.col("total")).cast("long")
-    along = edges.join(out, edges.src == out.host).select("src", "dst", F.lit(0).alias("kind"), share.alias("share"))
+    counted = F.col("total") <= COUNTED
+    part = F.when(counted, F.floor(F.col("w") * SHARES / F.col("total")).cast("long")).otherwise(F.col("w")).alias("part")
+    whole = F.when(counted, F.lit(SHARES).cast("long")).otherwise(F.col("total")).alias("whole")
+    along = edges.join(out, edges.src == out.host).select("src", "dst", F.lit(0).alias("kind"), part, whole)
     against = edges.join(into, edges.dst == into.host).select(
-        F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("kind"), share.alias("share")
+        F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("kind"), part, whole
     )
     flow = written(along.unionByName(against), "flow")
     allowed, blocked = (seeds.agg(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in ("allowed", "blocked"))
@@ -98,7 +103,7 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
     now = base
     for i in range(rounds):
         moved = now.withColumnRenamed("host", "src").join(flow, ["src", "kind"]).select(
-            F.col("dst").alias("host"), "kind", F.expr(f"score * share div {SHARES} * {DAMPING_PERCENT} div 100").alias("score")
+            F.col("dst").alias("host"), "kind", F.expr(f"CAST(score AS decimal(19, 0)) * CAST(part AS decimal(18, 0)) div whole * {DAMPING_PERCENT} div 100").alias("score")
         )
         now = kept.unionByName(moved).groupBy("host", "kind").agg(F.sum("score").alias("score"))
         if i % 5 == 4:

@@ -95,3 +95,13 @@ def test_empty(spark, nothing):
     no_rules = spark.createDataFrame([(1, "http://plain.site/x", None)], "page_id long, url string, html string")
     (row,) = U.judged(no_rules).collect()
     assert (row["verdict"], row["trust"], row["distrust"]) == ("allow", 0, 0)
+
+
+def test_hub_with_more_links_than_shares(spark):
+    edges = [("hub", "a.x", 1), ("hub", "b.x", 2_999_999), ("farm", "bad", 1), ("others", "bad", 2_999_999)]
+    seeds = spark.createDataFrame([("hub", 1, 0), ("bad", 0, 1)], "host string, allowed long, blocked long")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in U.spread(spark.createDataFrame(edges, "src string, dst string, w long"), seeds).collect()}
+    kept = U.UNIT * (100 - U.DAMPING_PERCENT) // 100
+    part = lambda w: kept * w // 3_000_000 * U.DAMPING_PERCENT // 100
+    assert got["a.x"] == (part(1), 0) and got["b.x"] == (part(2_999_999), 0) and part(1) > 0
+    assert got["farm"] == (0, part(1)) and got["others"] == (0, part(2_999_999))
