@@ -104,4 +104,67 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(comp.c, s.doc_
 FROM s LEFT JOIN reps ON reps.g = list_sort(s.g) LEFT JOIN comp ON comp.rep = reps.rep
 """
 
-ORACLES = {"op3_url_filters": _op3(), "op8_chat": _OP8, "op9_ngram_join": _OP9, "op10_quality": _OP10}
+_OP11 = r"""
+WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM documents, t),
+g AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a,
+    CASE WHEN len(w) > 0 THEN 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) END AS p FROM d),
+e AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM g),
+x AS (SELECT rid, n, unnest(range(n)) AS i, unnest(w) AS word FROM e),
+k AS (SELECT rid, n, unnest(range(n - 15)) AS i, w FROM e WHERE n >= 24),
+k16 AS (SELECT rid, n, i, hash(w[i + 1:i + 16]) AS k FROM k),
+lag AS (SELECT DISTINCT u.rid, v.i - u.i AS q FROM k16 u JOIN k16 v ON u.rid = v.rid AND u.k = v.k AND v.i > u.i AND 3 * (v.i - u.i) <= u.n),
+eq AS (SELECT lag.rid, q, u.i FROM lag JOIN x u ON u.rid = lag.rid JOIN x v ON v.rid = u.rid AND v.i = u.i + q AND v.word = u.word),
+isle AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS g FROM eq),
+long AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM isle GROUP BY rid, q, g),
+run AS (SELECT rid, s, len, min(q) AS q FROM long WHERE len >= 24 AND len >= 3 * q GROUP BY rid, s, len),
+facts AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    arg_min({'s': s, 'len': len, 'q': q}, {'e': -CAST(len AS DOUBLE) / q, 's': s, 'q': q}) AS b FROM run GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM run),
+short AS (SELECT x.rid, string_agg(word, ' ' ORDER BY x.i) AS c FROM x ANTI JOIN gone ON x.rid = gone.rid AND x.i = gone.i GROUP BY x.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.len AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period,
+  CAST(1000 * b.len // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM e LEFT JOIN facts USING (rid) LEFT JOIN short USING (rid)
+"""
+
+_OP12 = r"""
+WITH p AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+x AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k))),
+f AS (SELECT lang, CAST(k AS INT) AS k, phrase, string_split(phrase, ' ') AS w, CAST(count(*) AS HUGEINT) AS a FROM x GROUP BY lang, k, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+cut AS (SELECT lang, phrase, k, w, a, unnest(range(1, k)) AS c FROM f WHERE k > 1),
+s AS (SELECT cut.lang, cut.phrase, cut.a, h.a AS l, t.a AS r, n, c, 1000 * cut.a * n // (h.a * t.a) AS score FROM cut
+  JOIN f h ON h.lang = cut.lang AND h.phrase = array_to_string(cut.w[1:c], ' ') JOIN f t ON t.lang = cut.lang AND t.phrase = array_to_string(cut.w[c + 1:], ' ')
+  JOIN n ON n.lang = cut.lang),
+best AS (SELECT lang, phrase, a, n, arg_min({'l': l, 'r': r, 'score': score}, {'score': score, 'c': c}) AS b FROM s GROUP BY lang, phrase, a, n),
+inside AS (SELECT lang, array_to_string(w[o:o + m - 1], ' ') AS phrase, a FROM (SELECT lang, w, a, k, m, unnest(range(1, k - m + 2)) AS o FROM f, range(2, 5) t(m) WHERE m < k)),
+alone AS (SELECT lang, phrase, a, n, b FROM best ANTI JOIN (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY lang, phrase) i
+  ON i.lang = best.lang AND i.phrase = best.phrase AND 100 * most >= 100 * best.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) AS rank FROM alone)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(b.l AS BIGINT) AS l, CAST(b.r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(b.score AS BIGINT) AS score
+FROM r WHERE rank <= 2000
+"""
+
+_OP13 = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT rid, vec_id, label, e, sqrt(list_dot_product(e, e)) AS m FROM v WHERE label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.m * b.m) >= 0.93),
+reach(a, b) AS (SELECT rid, rid FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT reach.a AS rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.b GROUP BY reach.a),
+n AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+ORACLES = {
+    "op3_url_filters": _op3(), "op8_chat": _OP8, "op9_ngram_join": _OP9, "op10_quality": _OP10, "op11_periodic_runs": _OP11, "op12_phrases": _OP12,
+    "op13_vector_dedup": _OP13,
+}

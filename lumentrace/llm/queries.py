@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumentrace.llm import bpe, chat, fingerprints, licenses, mixing, ngram_join, quality, sharding, toxicity, url_filters
+from lumentrace.llm import (bpe, chat, fingerprints, licenses, mixing, ngram_join, periodic, phrases, quality, sharding, toxicity, url_filters,
+                            vectors)
 from lumentrace.llm.oracles import ORACLES
 
 #: The rank file and the pattern of the byte-level vocabulary, found where the vocabulary files are installed.
@@ -66,10 +67,22 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.verdicts(table(spark, sf, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op13_vector_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.vector_components(table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_fingerprints, op2_byte_bpe, op3_url_filters, op4_mixing, op5_sharding, op6_licenses, op7_toxicity, op8_chat,
-              op9_ngram_join, op10_quality)
+              op9_ngram_join, op10_quality, op11_periodic_runs, op12_phrases, op13_vector_dedup)
 }
 
 
