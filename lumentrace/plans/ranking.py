@@ -1,23 +1,27 @@
 """Exact ranking, carry-forward and rank picks that never sort a whole group in one task.
 
-Every function here splits a group into order-preserving buckets first, ranks inside
-each bucket, and adds the number of rows of the buckets before it. Only the per-bucket
-counts (at most ``buckets ** LEVELS`` rows per group) are ever put in sequence. Buckets
+Ranking and carry-forward split the rows into order-preserving buckets first, rank inside
+each bucket, and add the number of rows of the buckets before it. Only the per-bucket
+counts (at most ``buckets ** 2`` rows per group) are ever put in sequence. Buckets
 are cut between exact bounds, twice, so that a few far outliers cannot push all other
 rows into one bucket, and so that a recomputed task finds the same buckets again.
+Rank picks count between quantiles of a sketch instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrace.plans.skew import SALTS, join_per_key
+from lumentrace.plans.skew import join_per_key, known
 
 BUCKETS = 64
-LEVELS = 2
+#: Cells a quantile sketch cuts a group into, and its accuracy: ranks are off by at most 1 / ACCURACY of the rows.
+CELLS, ACCURACY = 2000, 50_000
 
 
 def order_bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
@@ -36,22 +40,6 @@ def _numeric(column: Column, dtype: str) -> Column:
     return column
 
 
-def _bucketed(df: DataFrame, groups: Sequence[str], order: str, buckets: int) -> DataFrame:
-    value = _numeric(F.col(order), dict(df.dtypes)[order])
-    marked = df.withColumn("__bucket", F.lit(0))
-    for level in range(LEVELS):
-        keys = [*groups, "__bucket"]
-        bounds = marked.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-        finer = F.col("__bucket") * buckets + order_bucket(value, F.col("__lo"), F.col("__hi"), buckets)
-        marked = (
-            # Only the first level can meet a hot key; later keys are buckets of it.
-            join_per_key(marked, bounds, keys, spread=[order], salts=SALTS if level == 0 else 1)
-            .withColumn("__bucket", finer)
-            .drop("__lo", "__hi")
-        )
-    return marked
-
-
 def _bucketed_by_order(df: DataFrame, order: str, buckets: int) -> DataFrame:
     """Buckets of an order column, cut between bounds of the whole table.
 
@@ -130,40 +118,57 @@ def rank_picks(
     value: str,
     groups: Sequence[str],
     ranks: dict[str, Column],
-    buckets: int = BUCKETS,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Exact order statistics: one row per group with the value at each 0-based rank.
 
-    ``ranks`` are expressions over the group's row count ``n``. Equal values are counted
-    once per (group, value) before anything is sorted.
+    ``ranks`` are expressions over the group's row count ``n``. A mergeable quantile sketch, combined map-side, cuts
+    every group into ``cells``. One more pass counts what lies below the cell a rank falls into (one number for each task)
+    and the values of that cell and its neighbours: only these rows, about 3 / ``cells`` of all, are shuffled, as
+    counts of equal values. The sketch is computed when the plan is built. NaN counts as the largest value,
+    nulls do not count (nor do null groups), and a rank that a group does not have is null; a group without any of the
+    ranks has no row.
     """
     groups = list(groups)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__c"))
-    marked = _bucketed(counted, groups, value, buckets)
-    per_bucket = marked.groupBy(*groups, "__bucket").agg(F.sum("__c").alias("__n"))
-    order = Window.partitionBy(*groups).orderBy("__bucket")
-    totals = per_bucket.select(
-        *groups,
-        "__bucket",
-        F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__n").over(Window.partitionBy(*groups)).alias("n"),
-        "__n",
+    rows = df.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*groups, value)])).select(*groups, value, _numeric(F.col(value), dict(df.dtypes)[value]).cast("double").alias("__v"))
+    proper = F.when(~F.isnan("__v"), F.col("__v"))
+    sketch = rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.count(proper).alias("__m"),
+        F.percentile_approx(proper, [i / cells for i in range(cells + 1)], ACCURACY).alias("__cuts"),
     )
-    wanted = totals
-    for name, rank in ranks.items():
-        wanted = wanted.withColumn(f"__r_{name}", rank.cast("long"))
-    hit = F.lit(False)
+    facts = known(sketch.select(*groups, *[_bracket(rank.cast("long"), cells).alias(name) for name, rank in ranks.items()]))
+    asked = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(name).alias("b")) for k, name in enumerate(ranks)]), lambda e: e["b"]["r"].isNotNull())
+    brackets = replace(facts, df=facts.df.select(*groups, asked.alias("__asked")))
+    marked = brackets.joined_to(rows.filter(~F.isnan("__v")), groups)
+    each = marked.select(*groups, value, "__v", F.explode("__asked").alias("e")).filter(F.col("__v") <= F.col("e.b.hi"))
+    inside = F.col("__v") >= F.col("e.b.lo")
+    counted = each.groupBy(
+        *groups, F.col("e.k").alias("__k"), F.col("e.b.r").alias("__r"), inside.alias("__in"), F.when(inside, F.col(value)).alias("__value")
+    ).agg(F.count(F.lit(1)).alias("__c"))
+    ordered = Window.partitionBy(*groups, "__k").orderBy("__in", "__value").rowsBetween(Window.unboundedPreceding, 0)
+    ends = counted.withColumn("__end", F.sum("__c").over(ordered))
+    hit = F.col("__in") & (F.col("__r") < F.col("__end")) & (F.col("__r") >= F.col("__end") - F.col("__c"))
+    found = [F.max(F.when(hit & (F.col("__k") == k), F.col("__value"))).alias(f"__p_{name}") for k, name in enumerate(ranks)]
+    picks = facts.df.join(ends.groupBy(*groups).agg(*found), groups, "left")
+    kind = dict(df.dtypes)[value]
+    out = []
     for name in ranks:
-        r = F.col(f"__r_{name}")
-        hit = hit | ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))
-    wanted = wanted.filter(hit)
-    inside = Window.partitionBy(*groups, "__bucket").orderBy(value)
-    positioned = join_per_key(marked, wanted, [*groups, "__bucket"], salts=1).withColumn(
-        "__end", F.col("__before") + F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    picks = []
-    for name in ranks:
-        r = F.col(f"__r_{name}")
-        inside_pick = (r < F.col("__end")) & (r >= F.col("__end") - F.col("__c"))
-        picks.append(F.max(F.when(inside_pick, F.col(value))).alias(name))
-    return positioned.groupBy(*groups).agg(*picks)
+        nan = F.lit(float("nan")).cast(kind) if kind in ("double", "float") else F.lit(None).cast(kind)
+        lost = F.raise_error(F.lit("a rank is outside the cells around it")).cast(kind)
+        pick = F.when(F.isnull(f"{name}.r"), F.lit(None).cast(kind)).when(F.col(f"{name}.nan"), nan)
+        out.append(pick.when(F.isnull(f"__p_{name}"), lost).otherwise(F.col(f"__p_{name}")).alias(name))
+    any_rank = F.coalesce(*[F.col(f"{name}.r") for name in ranks]).isNotNull()
+    return picks.filter(any_rank).select(*groups, *out)
+
+
+def _bracket(rank: Column, cells: int) -> Column:
+    """The rank (null if the group has no such row), whether it is a NaN, and values it lies between for certain.
+
+    A sketch's error is at most 1 / ACCURACY of the rows, far less than the cell that is added on each side.
+    """
+    cell = lambda r, by: F.least(F.floor(r.cast("double") / F.greatest("__m", F.lit(1)) * cells), F.lit(cells)).cast("int") + by
+    first, last = cell(rank - 1, -1), cell(rank + 2, 2)
+    low = F.when(first <= 0, F.lit(float("-inf"))).otherwise(F.get("__cuts", first))
+    high = F.when(last >= cells, F.lit(float("inf"))).otherwise(F.get("__cuts", last))
+    valid = (rank >= 0) & (rank < F.col("n"))
+    return F.struct(F.when(valid, rank).alias("r"), (rank >= F.col("__m")).alias("nan"), low.alias("lo"), high.alias("hi"))

@@ -1,18 +1,22 @@
 """Joins and statistics that stay balanced when one key holds a large share of all rows.
 
-No broadcast hint is used: Catalyst broadcasts the small side only when its estimated
-size is under ``spark.sql.autoBroadcastJoinThreshold``. Beyond that size the salted
+A table is marked for broadcast only after its rows were counted (:class:`Known`); otherwise
+Catalyst broadcasts the small side when its estimated size is under
+``spark.sql.autoBroadcastJoinThreshold``. Beyond that the salted
 equi-join below is what runs, and a hot key is spread over ``salts`` tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+#: Facts that are broadcast at most; a row is a key and a few numbers.
+FACT_ROWS = 10_000
 _SALT = "__salt"
 
 
@@ -39,6 +43,26 @@ def join_per_key(
     return salted.join(replicas, [*keys, _SALT], how).drop(_SALT)
 
 
+@dataclass(frozen=True)
+class Known:
+    """One-row-per-key facts, and whether they are few enough to be broadcast."""
+
+    df: DataFrame
+    small: bool
+
+    def joined_to(self, big: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+        """Join the facts onto a large table: a counted small table is broadcast, any other goes by salted keys."""
+        return big.join(F.broadcast(self.df), list(keys), how) if self.small else join_per_key(big, self.df, keys, how)
+
+
+def known(facts: DataFrame, rows: int = FACT_ROWS) -> Known:
+    """The facts, computed now if there are at most ``rows`` of them; no more than ``rows`` + 1 reach the driver."""
+    held = facts.limit(rows + 1).collect()
+    if len(held) > rows:
+        return Known(facts, False)
+    return Known(facts.sparkSession.createDataFrame(held, facts.schema), True)
+
+
 def with_facts(df: DataFrame, facts: DataFrame) -> DataFrame:
     """Attach facts of each recording ``(measu, nx, ny, n_frames, period_ms, ...)`` to its rows.
 

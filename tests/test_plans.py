@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumentrace.plans.ranking import carried_forward, indexed, rank_picks
-from lumentrace.plans.skew import join_per_key, with_key_stats
+from lumentrace.plans.skew import join_per_key, known, with_key_stats
 from lumentrace.session import cut_lineage
 
 
@@ -55,6 +55,54 @@ def test_rank_picks_equal_sorted_arrays(spark, skewed):
         assert r["low"] == values[int(np.round((n - 1) * 0.2))] and r["high"] == values[int(np.round((n - 1) * 0.8))]
 
 
+def _picked(spark, rows, ranks, schema="key int, value double", **more):
+    df = spark.createDataFrame(rows, schema).repartition(6)
+    return {r.key: tuple(r[name] for name in ranks) for r in rank_picks(df, "value", ["key"], {n: F.lit(r).cast("long") for n, r in ranks.items()}, **more).collect()}
+
+
+@pytest.mark.parametrize("cells", [3, 50, 2000])
+def test_rank_picks_with_outliers_ties_and_nan(spark, cells):
+    rng = np.random.default_rng(3)
+    nan, inf = float("nan"), float("inf")
+    groups = {
+        0: np.concatenate([rng.normal(1e6, 1e-3, 3000), [1e300, -1e300, inf, -inf]]),
+        1: np.full(500, 7.0), 2: np.array([nan, nan, 1.0]), 3: np.array([nan]), 4: np.repeat([1.0, 2.0, 3.0], [1, 900, 2]), 5: np.exp(rng.normal(0, 50, 2000)),
+    }
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [(None, 1.0), (0, None), (6, None)]
+    ranks = {"first": 0, "second": 1, "some": 450, "late": 1500, "none": 10**6, "before": -1}
+    got = _picked(spark, rows, ranks, cells=cells)
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        ordered = np.sort(values)  # NaN last
+        want = [float(ordered[r]) if 0 <= r < len(ordered) else None for r in ranks.values()]
+        assert [repr(v) for v in got[k]] == [repr(v) for v in want]
+
+
+def test_rank_picks_of_large_whole_numbers_and_times(spark):
+    big = [2**62 + i for i in range(200)]
+    got = _picked(spark, [(1, v) for v in big], {"a": 3, "b": 199}, "key int, value long")
+    assert got[1] == (big[3], big[199])
+    times = [datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=i) for i in range(50)]
+    assert _picked(spark, [(1, t) for t in times], {"a": 49}, "key int, value timestamp")[1] == (times[49],)
+
+
+def test_rank_picks_shuffle_one_cell_only(spark):
+    df = spark.range(400_000).selectExpr("id % 2 AS key", "rand(5) AS value").repartition(4).persist()
+    out = rank_picks(df, "value", ["key"], {"p": F.floor(F.col("n") / 5)})
+    out.collect()
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") <= 2 * 4  # initial and final plan of three aggregates and a join
+    df.unpersist()
+
+
+def test_facts_beyond_the_bound_stay_a_table(spark):
+    facts = spark.range(30).selectExpr("id AS key", "id * 2 AS two")
+    few, many = known(facts, 30), known(facts, 29)
+    assert few.small and not many.small
+    big = spark.range(300).selectExpr("id % 40 AS key")
+    assert few.joined_to(big, ["key"]).count() == many.joined_to(big, ["key"]).count() == 230
+
+
 def test_per_key_joins_keep_every_row(spark, skewed):
     df = spark.createDataFrame(skewed)
     small = df.groupBy("key").agg(F.max("value").alias("top")).filter("key <> 3")
