@@ -191,14 +191,15 @@ def pruned(near: np.ndarray, degree: int = DEGREE, pool: int = POOL) -> np.ndarr
 def reached(near: np.ndarray, lists: np.ndarray, least: float = RANGE, steps: int = STEPS) -> np.ndarray:
     """For every node, which nodes a search for it meets: best first from the medoid, then through all within range.
 
-    ``lists`` holds neighbours (positions, -1 for none). A query within range of what it met goes on from there
+    As a query is a node of the graph, its own list is open from the start. A node that pruning dropped from it is behind
+    one that is nearer, hence also within range. ``lists`` holds neighbours (positions, -1 for none). A query within range of what it met goes on from there
     until no node within range is left to go on from.
     """
     n = len(near)
     rows = np.arange(n)
     medoid = int(np.argmax(near.sum(0)))
     met, spent = np.zeros((n, n), bool), np.zeros((n, n), bool)
-    met[:, medoid] = True
+    met[:, medoid] = met[rows, rows] = True
     some = lists >= 0
     for _ in range(steps):
         open_ = np.where(met & ~spent, near, -np.inf)
