@@ -1,11 +1,11 @@
 """Near duplicates among embeddings, through a robust-pruned flat graph.
 
 Equal vectors of a label are one node with a weight. The nodes of a label are spread over overlapping cluster shards:
-each goes to its nearest centres. In every shard, nodes are tied to near ones by robust pruning, which keeps a
+each goes to its nearest centres and to those nearly as near. In every shard, nodes are tied to near ones by robust pruning, which keeps a
 neighbour only if none kept before is much closer to it; the lists of a node from all its shards are united. Every
 node is then searched for in each of its shards: best first from the medoid, then on through all nodes within
 range. What is within range is verified in double precision. An audit compares a bounded sample of nodes with all
-nodes; while it misses links, shards overlap more and the graph is built again.
+nodes; while it misses links, the margin grows and the graph is built again.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ RANGE = 0.93
 SHARD, PART = 700, 1024
 #: Centres of all labels together at most (they are broadcast), and nodes of a label that they are chosen from.
 CENTRES, CENTRE_SAMPLE = 2048, 8
-#: Shards a node goes to at first.
-OVERLAP = 2
+#: A node goes to its nearest centres, this many, and to all whose cosine is less than a margin below the nearest one's (at first this one).
+OVERLAP, MARGIN = 2, 0.12
 #: Neighbours of a node in a shard, candidates they are chosen from, and how much closer (in angle) one must be to prune.
 DEGREE, POOL, SLACK = 16, 48, 1.2
 #: Steps of the best-first search before it only goes on within range.
@@ -65,7 +65,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     )
 
 
-def centres_of(nodes: DataFrame, overlap: int) -> dict[str, np.ndarray]:
+def centres_of(nodes: DataFrame) -> dict[str, np.ndarray]:
     """Centres of every label with more nodes than a shard holds, as unit vectors.
 
     A label gets about as many as it takes for shards of SHARD nodes; all labels share CENTRES. They are the nodes with the
@@ -73,7 +73,7 @@ def centres_of(nodes: DataFrame, overlap: int) -> dict[str, np.ndarray]:
     """
     sizes = nodes.groupBy("label").count().filter(F.col("count") > SHARD).orderBy(F.desc("count"), "label").limit(CENTRES // 2)
     held = {r.label: r["count"] for r in sizes.collect()}
-    wanted = {label: -(-overlap * n // SHARD) for label, n in held.items()}
+    wanted = {label: -(-OVERLAP * n // SHARD) for label, n in held.items()}
     fit = min(1.0, CENTRES / max(1, sum(wanted.values())))
     wanted = {label: max(2, int(n * fit)) for label, n in wanted.items()}
     if not wanted:
@@ -98,20 +98,21 @@ def centres_of(nodes: DataFrame, overlap: int) -> dict[str, np.ndarray]:
     return out
 
 
-def memberships(nodes: DataFrame, centres: dict[str, np.ndarray], overlap: int) -> DataFrame:
-    """Rows of ``nodes`` with ``shards``: the ``overlap`` nearest centres of their label (one shard where it has none)."""
+def memberships(nodes: DataFrame, centres: dict[str, np.ndarray], margin: float) -> DataFrame:
+    """Rows of ``nodes`` with ``shards``: the centres of their label that are nearest, or within ``margin`` (one shard where it has none)."""
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = np.array(batch.column(1).to_pylist(), object)
-            shards = np.full((len(labels), overlap), -1, np.int64)
+            lists = [[0]] * len(labels)
             for label in set(labels.tolist()) & shared.value.keys():
                 of = np.flatnonzero(labels == label)
                 near = _matrix(batch.column(2).take(pa.array(of))) @ shared.value[label].T
-                many = min(overlap, near.shape[1])
-                shards[of, :many] = np.argsort(-near, 1, kind="stable")[:, :many]
-            lists = [sorted({s for s in row if s >= 0}) or [0] for row in shards.tolist()]
+                ordered = -np.sort(-near, 1)
+                floor = np.minimum(ordered[:, :OVERLAP][:, -1], ordered[:, 0] - margin)
+                for i, row in zip(of.tolist(), near >= floor[:, None], strict=True):
+                    lists[i] = np.flatnonzero(row).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], names=[*batch.schema.names, "shards"])
 
     return nodes.select("node", "label", "vec", "weight").mapInArrow(place, "node long, label string, vec array<double>, weight long, shards array<long>")
@@ -212,6 +213,7 @@ def reached(near: np.ndarray, lists: np.ndarray, least: float = RANGE, steps: in
         met[np.broadcast_to(left[:, None], at.shape)[of], at[of]] = True
     steps_of = np.zeros((n, n), np.float32)
     steps_of[np.broadcast_to(rows[:, None], lists.shape)[some], lists[some]] = 1
+    np.maximum(steps_of, steps_of.T, out=steps_of)  # within range both directions are open: some nodes are in no other's list
     inside = near >= least
     while True:
         front = met & inside & ~spent
@@ -322,22 +324,20 @@ def audited(nodes: DataFrame, links: DataFrame, least: float = RANGE, sample: in
 def linked_nodes(nodes: DataFrame, least: float = RANGE) -> DataFrame:
     """node, n and root rows as in :func:`found_links`, of a graph whose audit passed (a written table).
 
-    The overlap grows by half, at least by one, until the audit passes or every node is in every shard of its label.
+    The margin doubles until the audit passes or every node is in every shard of its label.
     """
-    overlap = OVERLAP
+    centres, margin = centres_of(nodes), MARGIN
     while True:
-        centres = centres_of(nodes, overlap)
-        members = written(memberships(nodes, centres, overlap), "members")
+        members = written(memberships(nodes, centres, margin), "members")
         tasks = tasks_of(members)
         graph = written(graph_of(tasks), "graph")
         links = written(found_links(tasks, graph, least), "links")
         released(graph)
         released(members)
-        most = max(map(len, centres.values()), default=1)
-        if overlap >= most or audited(nodes, links, least) >= LEAST_RECALL:
+        if not centres or margin >= 2 or audited(nodes, links, least) >= LEAST_RECALL:
             return links
         released(links)
-        overlap += max(1, overlap // 2)
+        margin *= 2
 
 
 def vector_components(embeddings: DataFrame, least: float = RANGE) -> DataFrame:
