@@ -83,14 +83,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(scored: DataFrame, host: str) -> DataFrame:
-    """One row per host: documents, failures, and the failure rate shrunk to the common one.
+    """One row per host: documents, failures, and the failure rate shrunk to the common one (from a written table of counts).
 
     The beta prior comes from the mean and variance of the hosts' own rates (method of moments). Where
     hosts do not differ (variance 0, or one host) the prior outweighs every host; null is a host of its own.
     """
-    counts = scored.groupBy(F.col(host).alias("__host")).agg(
+    counts = written(scored.groupBy(F.col(host).alias("__host")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("__q.base_failed").cast("long")).alias("failed")
-    )
+    ), "counts")
     rate = F.col("failed") / F.col("n")
     mean, spread = counts.agg(F.avg(rate)).scalar(), counts.agg(F.coalesce(F.var_pop(rate), F.lit(0.0))).scalar()
     room = mean * (1 - mean)
@@ -104,9 +104,8 @@ def judged(scored: DataFrame, host: str = "source", max_rate: float = MAX_HOST_R
     A document stays when it passes the base rules and its host's shrunk failure rate is at most
     ``max_rate``. Null or empty text has no words and fails. Rows are judged one by one, so repeated rows
     and repeated ids get equal verdicts; an empty table gives an empty result; other columns pass through
-    (names starting with ``__`` are reserved). The rows are written once, so texts are measured once.
+    (names starting with ``__`` are reserved). ``scored`` is read twice, for the hosts and for the rows.
     """
-    scored = written(scored, "quality")
     bad = written(host_rates(scored, host).filter(F.col("rate") > max_rate).select("__host"), "hosts")
     rejected = bad.select(
         F.coalesce("__host", F.lit("")).alias("__h"), F.isnull("__host").alias("__none"), F.lit(True).alias("__bad")
@@ -119,10 +118,13 @@ def judged(scored: DataFrame, host: str = "source", max_rate: float = MAX_HOST_R
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the measures and ``kept``, one row per document; other columns are not read."""
-    scored = measured(docs.select("doc_id", "source", "text")).drop("text")
+    scored = written(measured(docs.select("doc_id", "source", "text")).drop("text"), "quality")
     return judged(scored).select("doc_id", *[f"__q.{m}" for m in MEASURES], F.col("__kept").alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns; nulls, ties and repeated rows as in :func:`judged`.
+
+    Texts are measured twice, for the verdicts of their hosts and for their own; they are not written in between.
+    """
     return judged(measured(docs)).filter("__kept").select(*docs.columns)
