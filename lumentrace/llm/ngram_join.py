@@ -88,17 +88,21 @@ def set_hash(sorted_hashes: np.ndarray) -> int:
 
 
 def size_edges(percent: int, largest: int) -> np.ndarray:
-    """First sizes of the size classes; sizes that may link are in one class or in neighbours."""
+    """First sizes of the size classes; sizes that may link are in one class or in neighbours.
+
+    The classes are as narrow as that allows: the fewer parts a set is cut into, the more shingles a part holds, and the
+    less often do two sets agree on one by a passage they share.
+    """
     edges = [1]
     while edges[-1] <= largest:
-        edges.append(max(edges[-1] + 1, edges[-1] * 100**3 // percent**3))
-    return np.array([*edges, max(edges[-1] + 1, edges[-1] * 100**3 // percent**3)])
+        edges.append(max(edges[-1] + 1, -(-edges[-1] * 100 // percent)))
+    return np.array([*edges, max(edges[-1] + 1, -(-edges[-1] * 100 // percent))])
 
 
 def parts_of(edges: np.ndarray, group: int, percent: int) -> tuple[int, int]:
     """(most differences of a pair whose larger set is in the class, keys each set may leave out)."""
     most = int(2 * (edges[group + 1] - 1) * (100 - percent) // (100 + percent))
-    return most, -(-(most + 1) * 15 // 100)
+    return most, -(-(most + 1) // 4)
 
 
 def set_keys(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
