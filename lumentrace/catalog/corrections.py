@@ -63,7 +63,7 @@ _MEAN_SQL = sql_over(
 @query("r2_mean_filter", _MEAN_SQL)
 def _(spark, sf):
     sizes = R.filter_sizes(3, 3, 4)
-    return rounded(R.mean_filter(M.traces(spark, sf), *sizes))
+    return rounded(R.mean_filter(M.traces(spark, sf), *sizes, frames=64))
 
 
 _BOX = """, off AS (SELECT dx, dy, dt FROM range(-1, 2) a(dx), range(-1, 2) b(dy), range({lo}, {hi}) c(dt)),
@@ -75,7 +75,7 @@ SELECT measu, x, y, t, round(v, 6) AS v FROM nb WHERE k = {k}"""
 
 @query("r3_median_filter", sql_over("pixels", body=_BOX.format(lo=-1, hi=2, k=13)))
 def _(spark, sf):
-    return rounded(R.median_filter(M.traces(spark, sf), *R.filter_sizes(3, 3, 3)))
+    return rounded(R.median_filter(M.traces(spark, sf), *R.filter_sizes(3, 3, 3), frames=64))
 
 
 @query("r4_median_frames", sql_over("pixels", body=_BOX.format(lo=0, hi=1, k=4)))
@@ -262,16 +262,18 @@ def _(spark, sf):
     "r16_area_mask",
     sql_over(
         "pixels",
-        body=""", pos AS (SELECT measu, x, y FROM pixels WHERE t < 3 AND measu % 2 = 0 GROUP BY ALL HAVING bool_or(v - 1005 > 0))
+        body=""", plane AS (SELECT measu, x, y, t * 3 // 64 AS k, avg(v) AS v FROM pixels WHERE measu % 2 = 0 GROUP BY ALL),
+pos AS (SELECT measu, x, y FROM plane GROUP BY ALL HAVING bool_or(v - 1002.5 > 0))
 SELECT p.measu, p.x, p.y, p.measu % 2 = 1 OR a.x IS NOT NULL AS in_area FROM (SELECT DISTINCT measu, x, y FROM pixels) p
 LEFT JOIN pos a USING (measu, x, y)""",
     ),
 )
 def _(spark, sf):
     pixels = M.traces(spark, sf)
-    # Every second recording has an area file: three planes of brightness above 1005.
-    planes = R.exploded(pixels.withColumn("trace", F.slice("trace", 1, 3))).filter("measu % 2 = 0")
-    area = B.area_from_planes(planes.withColumn("v", F.col("v") - 1005))
+    # Every second recording has an area file: three planes, the mean brightness above 1002.5 in each third of all frames.
+    thirds = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: A.mean(F.filter("trace", lambda v, t: F.floor(t * 3 / 64) == k)))
+    planes = R.exploded(pixels.withColumn("trace", thirds)).filter("measu % 2 = 0")
+    area = B.area_from_planes(planes.withColumn("v", F.col("v") - 1002.5))
     return B.with_area(pixels.select("measu", "x", "y"), area)
 
 

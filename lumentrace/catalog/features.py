@@ -348,11 +348,15 @@ def _(spark, sf):
     "c_apply_two_features",
     sql_over(
         "dff",
-        body=f"""SELECT measu, x, y, 0 AS feature, round({_C22}, 6) AS value FROM dff GROUP BY measu, x, y""",
+        body=_C35_CTES + f""", a AS (SELECT measu, x, y, {_C22} AS c22, avg(v) FILTER (t BETWEEN 45 AND 48) - avg(v) FILTER (t BETWEEN 25 AND 28) AS c222 FROM dff GROUP BY measu, x, y)
+SELECT measu, x, y, '222' AS feature, 0 AS part, round(c222, 6) AS value FROM a
+UNION ALL SELECT measu, x, y, '22and35', 0, round(c22, 6) FROM a
+UNION ALL SELECT measu, x, y, '22and35', 1, round(c35.value, 6) FROM a LEFT JOIN c35 USING (measu, x, y)""",
     ),
 )
 def _(spark, sf):
-    return C.apply_feature(signal(spark, sf), 22, context()).withColumn("value", F.round("value", 6))
+    """Two features, three values, in one pass over the signal."""
+    return C.apply_features(with_context(spark, sf), [222, "22and35"], context()).withColumn("value", F.round("value", 6))
 
 
 @query(

@@ -418,7 +418,7 @@ def _(spark, sf):
         replace_init_frames=2, median_filter=1, mean_filter=2, scatter_factor=0.5, scatter_radius_um=2.0, bleach_method="log_uniform",
     )
     facts = backgrounds(spark, sf).select("measu", "bg_start", "bg_end", F.lit(5.0).alias("rate_hz"))
-    out = recipes.corrected(M.traces(spark, sf), facts, M.area(spark, sf), params, 10, 10, (2.0, 2.0))
+    out = recipes.corrected(M.traces(spark, sf), facts, M.area(spark, sf), params, 10, 10, (2.0, 2.0), frames=64)
     return rnd(R.exploded(out).select("measu", "x", "y", "t", "v"), "v", digits=4)
 
 
@@ -426,7 +426,7 @@ def _(spark, sf):
 def _(spark, sf):
     facts = backgrounds(spark, sf).select("measu", "bg_start", "bg_end", F.lit(5.0).alias("rate_hz"))
     out = recipes.composite_signal(
-        M.traces(spark, sf), facts, M.area(spark, sf), P.with_(calc_method=4302, scatter_factor=-0.5), 10, 10, M.traces2(spark, sf), (2.0, 2.0)
+        M.traces(spark, sf), facts, M.area(spark, sf), P.with_(calc_method=4302, scatter_factor=-0.5), 10, 10, M.traces2(spark, sf), (2.0, 2.0), frames=64
     )
     return rnd(R.exploded(out).select("measu", "x", "y", "t", "v"), "v", digits=5)
 
@@ -445,5 +445,5 @@ SELECT measu, x, y, t, round(r - m, 6) AS v FROM r JOIN m USING (measu, x, y)"""
 )
 def _(spark, sf):
     facts = backgrounds(spark, sf).select("measu", "bg_start", "bg_end", F.lit(5.0).alias("rate_hz"))
-    out = recipes.composite_signal(M.traces(spark, sf), facts, M.area(spark, sf), P.with_(calc_method=4900), 10, 10, M.traces2(spark, sf))
+    out = recipes.composite_signal(M.traces(spark, sf), facts, M.area(spark, sf), P.with_(calc_method=4900), 10, 10, M.traces2(spark, sf), frames=64)
     return rnd(R.exploded(out).select("measu", "x", "y", "t", "v"), "v")

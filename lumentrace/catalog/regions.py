@@ -68,9 +68,13 @@ def full_trace_table(spark, sf):
     sql_over(
         "roi_tr", "meas",
         body=""", o AS (SELECT measu, CAST(trunc(on_ms / (100 + 50 * (measu % 5))) AS INTEGER) AS o FROM onset),
-r AS (SELECT roi_tr.*, o, 1000.0 / (100 + 50 * (roi_tr.measu % 5)) AS hz FROM roi_tr LEFT JOIN o USING (measu) JOIN meas USING (measu)),
-h AS (SELECT measu, roi, avg(v) FILTER (t BETWEEN 44 AND 46) - avg(v) FILTER (t BETWEEN 24 AND 26) AS c22 FROM r GROUP BY ALL)
-SELECT measu, roi, 100.0 + 50 * (measu % 5) AS period_ms, 2 AS n_values, round(c22, 6) AS first FROM h""",
+k AS (SELECT measu, o + 1 AS s, least(CAST(trunc((on_ms + 3000) / (100 + 50 * (measu % 5))) AS INTEGER) + 1, 63) AS e FROM o JOIN onset USING (measu)),
+pk AS (SELECT measu, roi, any_value(s) AS s, arg_min(t, struct_pack(a := -v, b := t)) AS m FROM roi_tr JOIN k USING (measu) WHERE t BETWEEN s AND e GROUP BY ALL),
+w AS (SELECT measu, roi, least(greatest(m, 1), 62) AS m, least(greatest(s - 1, 1), 62) AS b FROM pk),
+c35 AS (SELECT measu, roi, avg(v) FILTER (t BETWEEN m - 1 AND m + 1) - avg(v) FILTER (t BETWEEN b - 1 AND b + 1) AS c35
+  FROM roi_tr JOIN w USING (measu, roi) GROUP BY ALL),
+h AS (SELECT measu, roi, avg(v) FILTER (t BETWEEN 44 AND 46) - avg(v) FILTER (t BETWEEN 24 AND 26) AS c22 FROM roi_tr JOIN meas USING (measu) GROUP BY ALL)
+SELECT measu, roi, 100.0 + 50 * (measu % 5) AS period_ms, 2 AS n_values, round(c22, 6) AS first, round(c35, 6) AS second FROM h LEFT JOIN c35 USING (measu, roi)""",
     ),
 )
 def _(spark, sf):
@@ -79,7 +83,8 @@ def _(spark, sf):
     own = M.measurements(spark, sf).select("measu", F.col("cycle").alias("period_ms"))
     facts = metadata(spark, sf).join(own, "measu")
     out = H.full_traces(roi_traces(spark, sf), facts, text, P.with_(feature="22and35"))
-    return out.select("measu", "roi", "period_ms", F.size("ctvs").alias("n_values"), F.round(F.col("ctvs")[0], 6).alias("first"))
+    first, second = (F.round(F.col("ctvs")[i], 6).alias(name) for i, name in enumerate(("first", "second")))
+    return out.select("measu", "roi", "period_ms", F.size("ctvs").alias("n_values"), first, second)
 
 
 _H2 = """, b AS (SELECT measu, stim_idx, odor, conc, on_ms, off_ms, greatest(0, CAST(round_even((on_ms - 300) / 200, 0) AS INTEGER)) AS s,

@@ -291,6 +291,33 @@ def _(spark, sf):
     return _source(spark, sf, 6, M.traces(spark, sf))
 
 
+@query(
+    "i20_file_precedence",
+    """WITH f AS (SELECT 'own' || CAST(o_orderkey AS VARCHAR) AS file, 1 AS folder, CAST(o_orderkey AS VARCHAR) AS stem FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT 'animal' || CAST(c_custkey AS VARCHAR), 0, 'a' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT 'late' || CAST(c_custkey AS VARCHAR), 1, 'a' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 4 = 0
+  UNION ALL SELECT DISTINCT 'all' || o_orderpriority, 2, o_orderpriority FROM orders),
+m AS (SELECT o_orderkey AS measu, file, folder, CASE stem WHEN CAST(o_orderkey AS VARCHAR) THEN 0 WHEN 'a' || CAST(o_custkey AS VARCHAR) THEN 1 ELSE 2 END AS level
+  FROM orders JOIN f ON stem = CAST(o_orderkey AS VARCHAR) OR stem = 'a' || CAST(o_custkey AS VARCHAR) OR stem = o_orderpriority),
+c AS (SELECT measu, file FROM m QUALIFY row_number() OVER (PARTITION BY measu ORDER BY folder, level, file) = 1)
+SELECT measu, file, 'r' || CAST(i AS VARCHAR) AS roi, CAST(length(file) * (i + 1) AS INTEGER) AS cx, CAST(i + 3 AS INTEGER) AS cy
+FROM c CROSS JOIN range(0, 3) r(i) WHERE i <= length(file) % 3""",
+)
+def _(spark, sf):
+    """Region files for single recordings, for animals (in two folders) and for all, each with one to three regions."""
+    orders, customers = (M.table(spark, sf, t) for t in ("orders", "customer"))
+    recordings = orders.selectExpr("o_orderkey AS measu", "CAST(o_orderkey AS STRING) AS label", "concat('a', o_custkey) AS animal", "o_orderpriority AS general")
+    own = orders.filter("o_orderkey % 5 = 0").selectExpr("concat('own', o_orderkey) AS file", "1 AS folder", "CAST(o_orderkey AS STRING) AS stem")
+    animal = customers.filter("c_custkey % 3 = 0").selectExpr("concat('animal', c_custkey) AS file", "0 AS folder", "concat('a', c_custkey) AS stem")
+    late = customers.filter("c_custkey % 4 = 0").selectExpr("concat('late', c_custkey) AS file", "1 AS folder", "concat('a', c_custkey) AS stem")
+    general = orders.selectExpr("concat('all', o_orderpriority) AS file", "2 AS folder", "o_orderpriority AS stem").distinct()
+    files = own.unionByName(animal).unionByName(late).unionByName(general)
+    shapes = files.select("file", F.explode(F.sequence(F.lit(0), F.length("file") % 3)).alias("i")).selectExpr(
+        "file", "concat('r', i) AS roi", "length(file) * (i + 1) AS cx", "i + 3 AS cy"
+    )
+    return I.chosen_shapes(recordings, files, shapes, ["label", "animal", "general"]).select("measu", "file", "roi", "cx", "cy")
+
+
 @query("i21_area_of_rois", sql_over("roi_px", body="SELECT DISTINCT measu, x, y FROM roi_px WHERE roi IN ('r1', 'r4', 'r7')"))
 def _(spark, sf):
     return I.area_of_rois(M.roi_membership(spark, sf), ["r1", "r4", "r7"])

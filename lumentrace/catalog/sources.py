@@ -129,9 +129,18 @@ def _(spark, sf):
     return MV.parse_movement_rows(rows)
 
 
-@query("s19_versions", "SELECT p_partkey, p_name, '20240102' AS run_ts FROM part")
-def _(spark, sf):
-    return LS.versioned(M.table(spark, sf, "part").select("p_partkey", "p_name"), "20240102")
+@query("s19_versions", "SELECT p_partkey, p_name || ' v2' AS p_name, '20240102' AS run_ts FROM part WHERE p_partkey % 3 <> 2")
+def _(spark, sf):
+    """Four runs: the third was interrupted before its manifest entry, the fourth while its rows were written."""
+    parts = M.table(spark, sf, "part").select("p_partkey", "p_name")
+    runs, entries = None, None
+    for i, (run, kept, shown) in enumerate((("20240101", 3, 3), ("20240102", 2, 2), ("20240103", 3, None), ("20240104", 1, 3)), 1):
+        rows = LS.versioned(parts.filter(F.col("p_partkey") % 3 < kept).withColumn("p_name", F.concat("p_name", F.lit(f" v{i}"))), run)
+        runs = rows if runs is None else runs.unionByName(rows)
+        if shown:
+            entry = parts.filter(F.col("p_partkey") % 3 < shown).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(run).alias("run_ts"), "rows")
+            entries = entry if entries is None else entries.unionByName(entry)
+    return LS.newest_complete(runs, entries).select("p_partkey", "p_name", "run_ts")
 
 
 @query(

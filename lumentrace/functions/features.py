@@ -10,6 +10,7 @@ import inspect
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -258,6 +259,16 @@ def apply_feature(traces: DataFrame, name: int | str, ctx: FeatureContext, trace
     return A.unrolled(traces, *keep, trace=values, names=("feature", "value"))
 
 
+def apply_features(traces: DataFrame, names: Sequence[int | str], ctx: FeatureContext, trace: str = "trace") -> DataFrame:
+    """C_apply for several features in one pass: a row per feature and value, with the feature's name and the value's number."""
+    each = [
+        F.struct(F.lit(str(name)).alias("feature"), F.lit(i).alias("part"), v.cast("double").alias("value"))
+        for name in names for i, v in enumerate(feature(name)(F.col(trace), ctx))
+    ]
+    keep = [c for c in ("measu", "roi", "x", "y") if c in traces.columns]
+    return traces.select(*keep, F.explode(F.array(*each)).alias("e")).select(*keep, "e.*")
+
+
 # The argument names of a user feature, in order; part of the user-function contract.
 USER_FEATURE_ARGUMENTS = (
     "time_trace",
@@ -381,23 +392,64 @@ def global_peak_overview(traces: DataFrame, onsets: DataFrame, rate_hz: float) -
 # --- response delay and model choice --------------------------------------------------
 
 
+def rising_phases(rows: np.ndarray) -> np.ndarray:
+    """Traces (rows) with all values but those of the rising phase set to the median."""
+    low, high = rows.min(1, keepdims=True), rows.max(1, keepdims=True)
+    middle = np.median(rows, axis=1, keepdims=True)
+    falls = np.zeros(rows.shape, bool)
+    falls[:, :-1] = np.diff(rows, axis=1) <= 0
+    kept = np.where(falls, middle, rows)
+    return np.where(kept >= low + 0.85 * (high - low), middle, kept)
+
+
+def best_lags(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """For each pair of rows, the smallest lag at which their full cross-correlation is largest.
+
+    All lags come from one Fourier transform of the stacked rows; where several are the largest but for rounding, these
+    few are summed directly.
+    """
+    n, k = first.shape[1], second.shape[1]
+    size = 1 << (n + k - 2).bit_length()
+    spectrum = np.fft.rfft(first, size) * np.conj(np.fft.rfft(second, size))
+    around = np.fft.irfft(spectrum, size)
+    full = np.concatenate([around[:, size - k + 1 :], around[:, :n]], axis=1)
+    margin = 1e-10 * np.linalg.norm(first, axis=1) * np.linalg.norm(second, axis=1)
+    close = full >= (full.max(1) - margin)[:, None]
+    best = np.argmax(full, axis=1)
+    for i in np.flatnonzero(close.sum(1) > 1):
+        best[i] = max(np.flatnonzero(close[i]), key=lambda j: (_at_lag(first[i], second[i], j - k + 1), -j))
+    return best - k + 1
+
+
+def _at_lag(a: np.ndarray, b: np.ndarray, lag: int) -> float:
+    start, stop = max(lag, 0), min(len(a), len(b) + lag)
+    return float(np.dot(a[start:stop], b[start - lag : stop - lag]))
+
+
+#: Values whose transforms a batch holds at once.
+_TRANSFORMED = 1 << 21
+
+
 def rising_phase_delay(stimulus: Column, output: Column) -> Column:
-    """C_delay: lag of the best cross-correlation of the rising phases, per row."""
-    import numpy as np
+    """C_delay: lag of the best cross-correlation of the rising phases, per row; null without both traces.
 
-    def rising(values: "np.ndarray") -> "np.ndarray":
-        low, high, middle = values.min(), values.max(), np.median(values)
-        falls = np.append(np.diff(values) <= 0, False)
-        kept = np.where(falls, middle, values)
-        return np.where(kept >= low + 0.85 * (high - low), middle, kept)
+    Rows of a batch whose traces are equally long are transformed together. A NaN makes every lag equal, so the first counts.
+    """
 
     @F.pandas_udf("int")
     def lag(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = [
-            int(np.argmax(np.correlate(rising(np.asarray(s)), rising(np.asarray(r)), "full"))) - len(s) + 1
-            for s, r in zip(a, b)
-        ]
-        return pd.Series(out)
+        out = pd.Series([None] * len(a), index=a.index, dtype="Int32")
+        groups: dict[tuple[int, int], list[int]] = {}
+        for i, (s, r) in enumerate(zip(a, b)):
+            if s is not None and r is not None and len(s) and len(r):
+                groups.setdefault((len(s), len(r)), []).append(i)
+        for (n, k), members in groups.items():
+            step = max(1, _TRANSFORMED // (n + k))
+            for cut in range(0, len(members), step):
+                rows = members[cut : cut + step]
+                first, second = (rising_phases(np.stack([np.asarray(c.iloc[i], dtype=float) for i in rows])) for c in (a, b))
+                out.iloc[rows] = best_lags(first, second) + (k - n)
+        return out
 
     return lag(stimulus, output)
 

@@ -1,8 +1,8 @@
 """Neighbourhood filters on movies.
 
-Time stays inside the trace array. Space works on the long form: one shuffle by
-(recording, frame) serves all row and column windows of a filter, because both window
-keys contain the shuffle key. A window holds one line of one frame, never a recording.
+Time stays inside the trace array. Box filters work on tiles (:mod:`lumentrace.operators.tiles`). The other filters in
+space work on the long form: one shuffle by (recording, frame) serves all row and column windows of a filter, because both
+window keys contain the shuffle key. A window holds one line of one frame, never a recording.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentrace.functions import arrays as A
-from lumentrace.model import Params
+from lumentrace.operators import tiles as W
 from lumentrace.plans.skew import join_per_key
 
 FRAME = ["measu", "t"]
@@ -62,76 +62,37 @@ def box_bounds(size: int) -> tuple[int, int]:
     return -(size // 2), size - size // 2 - 1
 
 
-def _box_line(pixels: DataFrame, axis: str, size: int) -> DataFrame:
-    """Box mean along one axis with the edge value repeated outside."""
-    low, high = box_bounds(size)
-    line = _line(axis)
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    i = F.col(axis)
-    left = F.greatest(F.lit(0), -low - i)
-    right = F.greatest(F.lit(0), i + high - (F.max(axis).over(whole)))
-    inside = F.sum("v").over(line.rowsBetween(low, high))
-    summed = inside + F.first("v").over(whole) * left + F.last("v").over(whole) * right
-    return pixels.withColumn("v", summed / size)
+def mean_filter(traces: DataFrame, space: int, time: int, frames: int | None = None) -> DataFrame:
+    """R2: box mean of space x space x time, edges repeated. Returns the long form.
 
+    ``frames`` bounds the length of a recording (see :func:`tiles.filtered`).
+    """
+    return exploded(boxed(traces, W.Mean(space, time), frames))
 
-def mean_filter(traces: DataFrame, space: int, time: int) -> DataFrame:
-    """R2: box mean of space x space x time, edges repeated. Returns the long form."""
-    low, _high = box_bounds(time)
-    if time > 1:
-        traces = traces.withColumn("trace", A.convolved(F.col("trace"), [1.0 / time] * time, low, "nearest"))
-    pixels = exploded(traces)
-    if space > 1:
-        pixels = by_frame(pixels)
-        for axis in ("x", "y"):
-            pixels = _box_line(pixels, axis, space)
-    return pixels
-
-
-def _padded_line(values: Column, axis: str, size: int) -> Column:
-    """Neighbours along an axis as an array of exactly ``size`` entries."""
-    low, high = box_bounds(size)
-    found = F.collect_list(values).over(_line(axis).rowsBetween(low, high))
-    i = F.col(axis)
-    left = F.greatest(F.lit(0), -low - i)
-    right = F.greatest(F.lit(0), i + high - _line_length(axis) + 1)
-    first, last = F.element_at(found, 1), F.element_at(found, -1)
-    return F.concat(F.array_repeat(first, left), found, F.array_repeat(last, right))
 
+def boxed(traces: DataFrame, box: W.Mean | W.Median, frames: int | None = None) -> DataFrame:
+    """A box filter in array form; without neighbours in space nothing is shuffled."""
+    if box.space > 1:
+        return W.filtered(traces, [box], frames=frames)
+    kind = "mean" if isinstance(box, W.Mean) else "median"
+    return traces.withColumn("trace", filter_trace(F.col("trace"), kind, box.time)) if box.time > 1 else traces
 
-def median_filter(traces: DataFrame, space: int, time: int) -> DataFrame:
-    """Element at rank size // 2 of the space x space x time neighbourhood.
 
-    Neighbour values travel as arrays through two line windows, so the data is shuffled
-    once and never multiplied by the box size in rows.
+def median_filter(traces: DataFrame, space: int, time: int, frames: int | None = None) -> DataFrame:
+    """Element at rank size // 2 of the space x space x time neighbourhood. Returns the long form.
+
+    A pixel's trace travels to the tile it lies in and to those it borders on; no neighbourhood leaves a tile.
     """
-    low, _high = box_bounds(time)
-    trace = F.col("trace")
-    n = F.size(trace)
-    offsets = F.array(*[F.lit(low + k) for k in range(time)])
-    local = F.transform(
-        trace, lambda _v, i: F.transform(offsets, lambda d: F.get(trace, A.fold_index(i + d, n, "nearest")))
-    )
-    pixels = A.unrolled(traces, "measu", "x", "y", trace=local, names=("t", "near"))
-    if space > 1:
-        pixels = by_frame(pixels)
-        for axis in ("x", "y"):
-            pixels = pixels.withColumn("near", F.flatten(_padded_line(F.col("near"), axis, space)))
-    rank = (space * space * time) // 2 + 1
-    return pixels.select("measu", "x", "y", "t", F.element_at(F.array_sort("near"), rank).alias("v"))
+    return exploded(boxed(traces, W.Median(space, time), frames))
 
 
 def filter_frames(pixels: DataFrame, kind: str, space: int) -> DataFrame:
     """R4, two axes: the same filters on single frames, whatever their ``t``."""
-    framed = by_frame(pixels)
-    if kind == "mean":
-        for axis in ("x", "y"):
-            framed = _box_line(framed, axis, space)
-        return framed
-    near = framed.withColumn("near", F.array("v"))
-    for axis in ("x", "y"):
-        near = near.withColumn("near", F.flatten(_padded_line(F.col("near"), axis, space)))
-    return near.withColumn("v", F.element_at(F.array_sort("near"), (space * space) // 2 + 1)).drop("near")
+    by = [c for c in FRAME if c in pixels.columns]
+    box = W.Mean(space) if kind == "mean" else W.Median(space)
+    keep = [c for c in pixels.columns if c not in (*by, "x", "y", "v")]
+    done = W.filtered(pixels.withColumn("trace", F.array("v")), [box], keep=keep, frames=1, by=by)
+    return done.withColumn("v", F.get("trace", F.lit(0))).select(*pixels.columns)
 
 
 def filter_trace(trace: Column, kind: str, time: int) -> Column:
@@ -340,14 +301,3 @@ def checked_shapes(traces1: DataFrame, traces2: DataFrame) -> DataFrame:
     )
     both = traces1.join(traces2.withColumnRenamed("trace", "trace2"), ["measu", "x", "y"])
     return join_per_key(both, wrong.select("measu", "__ok"), ["measu"]).filter(F.col("__ok").isNull()).drop("__ok")
-
-
-def apply_filters(traces: DataFrame, params: Params) -> DataFrame:
-    """The filter steps of the correction order: median, then mean. Array form in and out."""
-    sizes = filter_sizes(params.median_filter, params.median_filter_space, params.median_filter_time)
-    if sizes:
-        traces = collected(median_filter(traces, *sizes))
-    sizes = filter_sizes(params.mean_filter, params.mean_filter_space, params.mean_filter_time)
-    if sizes:
-        traces = collected(mean_filter(traces, *sizes))
-    return traces

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions import arrays as A
 from lumentrace.functions import features as C
 from lumentrace.model import Params
-from lumentrace.plans.ranking import carried_forward, rank_picks
+from lumentrace.plans.ranking import carried_forward, numbered, rank_picks
 from lumentrace.plans.skew import join_per_key
 
 PIXEL = ["measu", "x", "y"]
@@ -296,11 +296,8 @@ def output_pixels(pixels: DataFrame, ny: int | Column, value: str = "v") -> Data
 
 
 def roi_colours(rois: DataFrame) -> DataFrame:
-    """A number per region label in sorted order; labels are few beside pixels."""
-    from pyspark.sql import Window
-
-    labels = rois.select("roi").distinct()
-    return labels.withColumn("colour", (F.dense_rank().over(Window.orderBy("roi")) - 1).cast("int"))
+    """A number per region label in sorted order, numbered range by range."""
+    return numbered(rois.select("roi").distinct(), "roi", "colour").withColumn("colour", F.col("colour").cast("int"))
 
 
 def marked_rois(pixels: DataFrame, outlines: DataFrame, value: str = "v") -> DataFrame:

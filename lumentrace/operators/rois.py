@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,6 +311,29 @@ def roi_pixels(params: Params, shapes: DataFrame, nx: int, ny: int) -> DataFrame
     raise NotImplementedError(f"no region source {params.roi_source}")
 
 
+def chosen_files(recordings: DataFrame, files: DataFrame, stems: Sequence[str], missing: str = "error") -> DataFrame:
+    """The region file of every recording: (measu, file).
+
+    ``files(file, folder, stem)``: ``folder`` is the place of the file's folder in the search order, ``stem`` its name without
+    extension. ``stems`` are columns of ``recordings`` from the most special to the most general (recording, animal, ...). An
+    earlier folder wins; in it, the most special stem. A recording without any file is an error (``missing="skip"`` leaves
+    it out). One aggregate ranks all matches; nothing is joined level by level.
+    """
+    asked = recordings.select("measu", F.posexplode(F.array(*[F.col(c).cast("string") for c in stems])).alias("__level", "stem"))
+    matches = join_per_key(asked, files.select("file", "folder", "stem"), ["stem"], "left", spread=["measu"])
+    found = matches.groupBy("measu").agg(F.min(F.when(F.col("file").isNotNull(), F.struct("folder", "__level", "file"))).alias("best"))
+    if missing == "skip":
+        return found.filter("best IS NOT NULL").select("measu", "best.file")
+    lost = F.raise_error(F.concat(F.lit("no region file for recording "), F.col("measu").cast("string"))).cast("string")
+    return found.select("measu", F.when(F.isnull("best"), lost).otherwise(F.col("best.file")).alias("file"))
+
+
+def chosen_shapes(recordings: DataFrame, files: DataFrame, shapes: DataFrame, stems: Sequence[str], missing: str = "error") -> DataFrame:
+    """Shapes with a ``file`` column, for every recording those of its own file only (:func:`chosen_files`)."""
+    chosen = chosen_files(recordings, files, stems, missing)
+    return join_per_key(chosen, shapes, ["file"], spread=["measu"])
+
+
 def area_of_rois(members: DataFrame, labels: list[str]) -> DataFrame:
     """Union of chosen regions as an area."""
     keys = [c for c in ("measu", "x", "y") if c in members.columns]

@@ -19,6 +19,9 @@ PULSE_COLUMNS = {
     "oconc": ("double", "oconc", "not set yet", "not set yet"),
 }
 
+#: Width of the narrowest cells of the interval index.
+FINEST_MS = 1.0
+
 
 def _given(name: str, default: str) -> Column:
     """The cell's text, or null when it is missing or equals its default."""
@@ -134,33 +137,46 @@ def counted(stimuli: DataFrame) -> DataFrame:
     )
 
 
-def active_pairs(stimuli: DataFrame, times: DataFrame, bucket_ms: float | None = None) -> DataFrame:
-    """Interval join behind T6, T13 and T14: times inside pulses, both ends included.
+def interval_cells(on: Column, off: Column, finest_ms: float = FINEST_MS) -> Column:
+    """The cells (level, cell) a pulse is laid on: at most two or three, on the level whose cells are as wide as the pulse.
 
-    Pulses are laid on a grid and matched to times by (recording, bucket) equality, so a
-    recording with very many rows is cut along its time axis. The grid is as wide as the
-    mean pulse (a second at least) unless ``bucket_ms`` is given, so pulses do not multiply.
-    ``times(measu, t_ms, ...)``.
+    Cells of level k are ``finest_ms`` * 2^k wide, so short pulses of a burst lie in narrow cells and a long
+    one among them does not multiply.
     """
-    mean = stimuli.agg(F.avg(F.greatest(F.col("off_ms") - F.col("on_ms"), F.lit(0.0)))).scalar()
-    width = F.lit(bucket_ms) if bucket_ms else F.greatest(F.coalesce(mean, F.lit(0.0)), F.lit(1000.0))
+    length = F.greatest(off - on, F.lit(0.0))
+    level = F.greatest(F.ceil(F.log2(length / finest_ms)), F.lit(0)).cast("int")
+    level = F.when(length <= finest_ms, F.lit(0)).otherwise(level)
+    first = _cell(on, level, finest_ms)
+    cells = F.sequence(first, F.greatest(first, _cell(off, level, finest_ms)))
+    return F.transform(cells, lambda c: F.struct(level.alias("level"), c.alias("cell")))
 
-    def bucket(ms: Column) -> Column:
-        return F.floor(ms / width)
 
-    laid = stimuli.withColumn(
-        "__b", F.explode(F.sequence(bucket(F.col("on_ms")), F.greatest(bucket(F.col("on_ms")), bucket(F.col("off_ms")))))
-    )
-    pairs = times.withColumn("__b", bucket(F.col("t_ms"))).join(laid, ["measu", "__b"])
-    return pairs.filter((F.col("on_ms") <= F.col("t_ms")) & (F.col("off_ms") >= F.col("t_ms"))).drop("__b")
+def _cell(ms: Column, level: Column, finest_ms: float) -> Column:
+    return F.floor(ms / (F.lit(float(finest_ms)) * F.pow(F.lit(2.0), level)))
+
+
+def active_pairs(stimuli: DataFrame, times: DataFrame, finest_ms: float = FINEST_MS) -> DataFrame:
+    """Interval join behind T6, T13 and T14: times inside pulses, both ends included.
+
+    Pulses lie on cells whose width doubles from level to level (:func:`interval_cells`); a time looks into one cell of every
+    level that any pulse uses. Both meet by (recording, level, cell) equality, so a recording with very many
+    rows is cut along its time axis. ``times(measu, t_ms, ...)``.
+    """
+    laid = stimuli.withColumn("__c", F.explode(interval_cells(F.col("on_ms"), F.col("off_ms"), finest_ms)))
+    used = stimuli.select(F.get(interval_cells(F.col("on_ms"), F.col("off_ms"), finest_ms), F.lit(0))["level"].alias("l"))
+    levels = used.agg(F.array_sort(F.collect_set("l"))).scalar()  # a few dozen numbers at most
+    asked = times.withColumn("__level", F.explode(levels)).withColumn("__cell", _cell(F.col("t_ms"), F.col("__level"), finest_ms))
+    laid = laid.withColumns({"__level": F.col("__c.level"), "__cell": F.col("__c.cell")}).drop("__c")
+    pairs = asked.join(laid, ["measu", "__level", "__cell"])
+    return pairs.filter((F.col("on_ms") <= F.col("t_ms")) & (F.col("off_ms") >= F.col("t_ms"))).drop("__level", "__cell")
 
 
-def active_stimuli(stimuli: DataFrame, times: DataFrame, key: str, bucket_ms: float | None = None) -> DataFrame:
+def active_stimuli(stimuli: DataFrame, times: DataFrame, key: str, finest_ms: float = FINEST_MS) -> DataFrame:
     """For every time, the odours and concentrations active then, in pulse order.
 
     ``key`` identifies a time row; a time without stimulus keeps empty lists.
     """
-    pairs = active_pairs(stimuli, times.select(key, "measu", "t_ms"), bucket_ms)
+    pairs = active_pairs(stimuli, times.select(key, "measu", "t_ms"), finest_ms)
     lists = pairs.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("stim_idx", "odor", "conc"))).alias("hits")
     )
@@ -170,10 +186,10 @@ def active_stimuli(stimuli: DataFrame, times: DataFrame, key: str, bucket_ms: fl
 
 
 def frame_labels(
-    stimuli: DataFrame, times: DataFrame, key: str, with_conc: bool = True, bucket_ms: float | None = None
+    stimuli: DataFrame, times: DataFrame, key: str, with_conc: bool = True, finest_ms: float = FINEST_MS
 ) -> DataFrame:
     """Text of the first active stimulus per time, null when none is active."""
-    pairs = active_pairs(stimuli, times.select(key, "measu", "t_ms"), bucket_ms)
+    pairs = active_pairs(stimuli, times.select(key, "measu", "t_ms"), finest_ms)
     first = pairs.groupBy(key).agg(F.min(F.struct("stim_idx", "odor", "conc")).alias("s"))
     text = F.concat(F.col("s.odor"), F.lit("@"), F.col("s.conc").cast("string")) if with_conc else F.col("s.odor")
     return times.join(first.select(key, text.alias("stimulus_text")), key, "left")

@@ -22,6 +22,8 @@ from lumentrace.plans.skew import join_per_key, known
 BUCKETS = 64
 #: Cells a quantile sketch cuts a group into, and its accuracy: ranks are off by at most 1 / ACCURACY of the rows.
 CELLS, ACCURACY = 2000, 50_000
+#: Ranges that :func:`numbered` cuts a table into.
+LABEL_CUTS = 255
 
 
 def order_bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
@@ -84,6 +86,36 @@ def indexed(
     )
 
 
+def numbered(df: DataFrame, order: str, name: str = "row_idx", ties: Sequence[str] = (), cuts: int = LABEL_CUTS) -> DataFrame:
+    """0-based position of each row by any column that can be ordered, text too; nulls come first.
+
+    The rows are cut between values of the column (with ``ties``, so that even one value of very many rows is cut): those of
+    the ``cuts`` rows with the smallest hashes, which a recomputed task finds again. They and the counts
+    between them are read when the plan is built; rows are then numbered within their range.
+    """
+    key = F.struct(order, *ties)
+    picked = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(cuts).distinct().orderBy("k").collect()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(order, *ties).schema)
+    held = df.sparkSession.createDataFrame([(i + 1, r.k) for i, r in enumerate(picked)], f"i INT, k STRUCT<{fields}>")
+    bounds = held.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "k"))), lambda e: e["k"])).scalar()
+    marked = df.withColumn("__bounds", bounds)
+    steps = [1 << i for i in reversed(range(max(1, len(picked).bit_length())))]
+    # binary search: the number of bounds that are not after the row
+    found = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, s: F.when(at + s <= len(picked), F.when(F.get("__bounds", at + s - 1) <= key, at + s).otherwise(at)).otherwise(at),
+    )
+    marked = marked.withColumn("__range", found).drop("__bounds")
+    counts = {r["__range"]: r["count"] for r in marked.groupBy("__range").count().collect()}
+    before, total = [], 0
+    for i in range(len(picked) + 1):
+        before.append(F.lit(total))
+        total += counts.get(i, 0)
+    inside = Window.partitionBy("__range").orderBy(order, *ties)
+    place = F.get(F.array(*before), F.col("__range")).cast("long") + F.row_number().over(inside) - 1
+    return marked.withColumn(name, place).drop("__range")
+
+
 def carried_forward(
     df: DataFrame,
     order: str,

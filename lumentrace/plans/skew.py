@@ -55,8 +55,10 @@ class Known:
         return big.join(F.broadcast(self.df), list(keys), how) if self.small else join_per_key(big, self.df, keys, how)
 
 
-def known(facts: DataFrame, rows: int = FACT_ROWS) -> Known:
+def known(facts: DataFrame | Known, rows: int = FACT_ROWS) -> Known:
     """The facts, computed now if there are at most ``rows`` of them; no more than ``rows`` + 1 reach the driver."""
+    if isinstance(facts, Known):
+        return facts
     held = facts.limit(rows + 1).collect()
     if len(held) > rows:
         return Known(facts, False)

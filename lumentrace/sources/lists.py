@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentrace.model import meta_rows
 from lumentrace.operators import measurements as L
 
+#: Columns of the manifest of runs.
+MANIFEST = "run_ts STRING, rows BIGINT"
+
 
 def read_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Tab text in latin-1, blanks after the separator skipped, header right-trimmed."""
@@ -71,15 +75,46 @@ def versioned(df: DataFrame, run_ts: str) -> DataFrame:
 
 
 def write_versioned(df: DataFrame, path: str, run_ts: str) -> None:
-    """A new ``run_ts=`` folder per run instead of overwriting."""
-    versioned(df, run_ts).write.mode("append").partitionBy("run_ts").parquet(path)
+    """A new folder per run instead of overwriting; an entry in the manifest, written last, makes the run visible.
+
+    What an interrupted run with the same time has left is replaced; a complete run is never written again.
+    """
+    spark = df.sparkSession
+    if _manifest(spark, path).filter(F.col("run_ts") == run_ts).limit(1).count():
+        raise ValueError(f"run {run_ts} is complete already")
+    folder = f"{path}/runs/{run_ts}"
+    df.write.mode("overwrite").parquet(folder)
+    _enter(spark, path, run_ts, spark.read.schema(df.schema).parquet(folder).count())
+
+
+def _enter(spark: SparkSession, path: str, run_ts: str, rows: int) -> None:
+    entry = spark.createDataFrame([(run_ts, rows)], MANIFEST)
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Complete runs and their row counts; empty before the first one."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the newest run."""
-    runs = spark.read.parquet(path)
-    newest = runs.select(F.max("run_ts").alias("run_ts"))
-    return runs.join(newest, "run_ts", "left_semi")
+    """The rows of the newest complete run, with ``run_ts``."""
+    newest = _manifest(spark, path).agg(F.max("run_ts")).first()[0]
+    if newest is None:
+        raise FileNotFoundError(f"no complete run in {path}")
+    return versioned(spark.read.parquet(f"{path}/runs/{newest}"), newest)
+
+
+def newest_complete(runs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """S19 for rows of many runs in one table: those of the newest run that the manifest has, with the number of rows it names."""
+    present = runs.groupBy("run_ts").agg(F.count(F.lit(1)).alias("rows"))
+    complete = present.join(manifest, ["run_ts", "rows"], "left_semi").agg(F.max("run_ts")).scalar()
+    return runs.filter(F.col("run_ts") == complete)
 
 
 def column_docs(columns: DataFrame, docs: DataFrame, extra: DataFrame | None = None) -> DataFrame:

@@ -131,3 +131,41 @@ def test_global_peak_at_the_onset(spark):
     onsets = spark.createDataFrame([(1, 4), (2, 4)], "measu BIGINT, onset_frame INT")
     got = {r.measu: r.value for r in C.global_peak_overview(traces, onsets, 5.0).collect()}
     assert abs(got[1] - (100 + 16 - 2 - 4 - 8) / 3) < 1e-9 and abs(got[2] - (100 - 2 - 4 - 8) / 3) < 1e-9
+
+
+def test_delays_by_transforms_equal_direct_sums(spark):
+    rng = np.random.default_rng(21)
+
+    def rising(values):
+        falls = np.append(np.diff(values) <= 0, False)
+        kept = np.where(falls, np.median(values), values)
+        return np.where(kept >= values.min() + 0.85 * (values.max() - values.min()), np.median(values), kept)
+
+    pairs = []
+    for n in (64, 50, 1000):
+        for _ in range(12):
+            a = np.cumsum(rng.normal(size=n))
+            pairs.append((a, np.roll(a, int(rng.integers(0, 20))) + 0.1 * rng.normal(size=n)))
+    pairs += [(np.zeros(8), np.zeros(8)), (np.ones(5), np.arange(5.0)), (np.tile([0.0, 1.0, 0.5], 20), np.tile([0.5, 0.0, 1.0], 20)), (np.array([1.0]), np.array([2.0]))]
+    want = [int(np.argmax(np.correlate(rising(a), rising(b), "full"))) - len(a) + 1 for a, b in pairs]
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(pairs)] + [(99, None, [1.0])], "i int, a array<double>, b array<double>")
+    got = {r.i: r.lag for r in df.repartition(3).select("i", C.rising_phase_delay(F.col("a"), F.col("b")).alias("lag")).collect()}
+    assert got.pop(99) is None
+    assert [got[i] for i in range(len(pairs))] == want
+
+
+def test_delay_of_long_traces():
+    rng = np.random.default_rng(22)
+    a = np.cumsum(rng.normal(size=(4, 10_000)), axis=1)
+    b = np.stack([np.roll(x, k) for x, k in zip(a, (3, 0, 500, 77), strict=True)])
+    want = [int(np.argmax(np.correlate(x, y, "full"))) - 9_999 for x, y in zip(a, b, strict=True)]
+    assert C.best_lags(a, b).tolist() == want
+
+
+def test_several_features_in_one_pass(spark, traces):
+    ctx = C.FeatureContext.from_params(Params(first_frame=5, last_frame=12))
+    both = C.apply_features(traces, [22, 300], ctx)
+    for name in (22, 300):
+        one = {(r.measu, r.x, r.y): r.value for r in C.apply_feature(traces, name, ctx).collect()}
+        got = {(r.measu, r.x, r.y): r.value for r in both.filter(F.col("feature") == str(name)).collect()}
+        assert got == one

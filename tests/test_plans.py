@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumentrace.plans.ranking import carried_forward, indexed, rank_picks
+from lumentrace.plans.ranking import carried_forward, indexed, numbered, rank_picks
 from lumentrace.plans.skew import join_per_key, known, with_key_stats
 from lumentrace.session import cut_lineage
 
@@ -55,6 +55,22 @@ def test_rank_picks_equal_sorted_arrays(spark, skewed):
         assert r["low"] == values[int(np.round((n - 1) * 0.2))] and r["high"] == values[int(np.round((n - 1) * 0.8))]
 
 
+def test_numbering_by_text_bursts_and_ties(spark):
+    rng = np.random.default_rng(9)
+    words = [f"region {'x' * (i % 7)}{i}" for i in range(2000)] + ["", "é", "zz", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(5)
+    got = {r.w: r.n for r in numbered(df, "w", "n").collect()}
+    want = sorted((w for w in words if w is not None), key=lambda w: w.encode())
+    assert got == {w: i for i, w in enumerate([None, *want])}
+    times = np.concatenate([np.full(1500, 7.0), 7 + rng.uniform(0, 1e-9, 1500), [1e300, -1e300]])
+    burst = spark.createDataFrame([(i, float(t)) for i, t in enumerate(times)], "id int, t double").repartition(5)
+    out = numbered(burst, "t", "n", ties=["id"], cuts=63)
+    assert sorted((r.t, r.id) for r in out.collect()) == [(r.t, r.id) for r in sorted(out.collect(), key=lambda r: r.n)]
+    assert out.groupBy(F.floor(F.col("n") / 500)).count().count() == 7
+    assert numbered(df.filter("false"), "w", "n").count() == 0
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+
+
 def _picked(spark, rows, ranks, schema="key int, value double", **more):
     df = spark.createDataFrame(rows, schema).repartition(6)
     return {r.key: tuple(r[name] for name in ranks) for r in rank_picks(df, "value", ["key"], {n: F.lit(r).cast("long") for n, r in ranks.items()}, **more).collect()}

@@ -221,3 +221,20 @@ def test_ragged_traces_keep_all_frames(spark, tmp_path):
     wide = CSV.to_wide(table).select("Measu", "frames")
     assert {len(r.frames) for r in wide.collect()} == {5}
     assert H.wide_to_long(wide).count() == 6
+
+
+def test_region_files_of_three_levels(spark):
+    recordings = spark.createDataFrame([(1, "m1", "A"), (2, "m2", "A"), (3, "m3", "B"), (4, "m4", "C")], "measu BIGINT, label STRING, animal STRING")
+    files = spark.createDataFrame(
+        [("one", 0, "m1"), ("a", 0, "A"), ("late", 1, "m3"), ("b", 0, "B"), ("b2", 0, "B"), ("c", 1, "C"), ("d", 2, "m4"), ("other", 0, "Z")],
+        "file STRING, folder INT, stem STRING",
+    )
+    got = {r.measu: r.file for r in I.chosen_files(recordings, files, ["label", "animal"]).collect()}
+    assert got == {1: "one", 2: "a", 3: "b", 4: "c"}
+    shapes = spark.createDataFrame([("a", "r1"), ("a", "r2"), ("b", "r1"), ("d", "r9")], "file STRING, roi STRING")
+    rows = I.chosen_shapes(recordings, files, shapes, ["label", "animal"]).collect()
+    assert sorted((r.measu, r.roi) for r in rows) == [(2, "r1"), (2, "r2"), (3, "r1")]
+    more = recordings.unionByName(spark.createDataFrame([(5, "m5", None)], recordings.schema))
+    assert I.chosen_files(more, files, ["label", "animal"], missing="skip").count() == 4
+    with pytest.raises(Exception, match="no region file for recording 5"):
+        I.chosen_files(more, files, ["label", "animal"]).collect()

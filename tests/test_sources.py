@@ -53,6 +53,31 @@ def test_binary_stacks(spark, tmp_path):
         ST.read_stacks(spark, str(tmp_path), short).collect()
 
 
+def test_one_large_stack_is_read_by_several_tasks(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    movies, names = {}, []
+    for k, (nx, ny, nt) in enumerate([(5, 4, 60), (3, 7, 2), (40, 30, 11)]):
+        raw = rng.integers(0, 60000, (nt, ny, nx)).astype("<u2")
+        raw.tofile(tmp_path / f"m{k}.{'pst' if k else 'ps'}")
+        (tmp_path / f"m{k}.inf").write_text(f"[Info]\nWidth={nx}\r\nHeight={ny}\nFrames={nt}\nother=a=b\n")
+        movies[k] = raw
+        names.append((f"m{k}", k))
+    recordings = spark.createDataFrame(names, "stem STRING, measu BIGINT")
+    spark.dataSource.register(ST.StackRanges)
+    parts = spark.read.format("stack_ranges").options(bytes="500").load(str(tmp_path))
+    pieces = parts.filter("stem = 'm0'").select("t0", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(pieces) > 3 and len({r.p for r in pieces}) == len({r.t0 for r in pieces})
+    for size in (500, 1 << 20, 7):
+        rows = ST.read_stack_ranges(spark, str(tmp_path), recordings, bytes=size, block=9).collect()
+        assert len(rows) == 20 + 21 + 1200
+        for r in rows:
+            raw = movies[r.measu]
+            np.testing.assert_array_equal(r.trace, raw[:, raw.shape[1] - 1 - r.y, r.x])
+    (tmp_path / "m1.inf").write_text("Width=3\nHeight=7\nFrames=3\n")
+    with pytest.raises(Exception, match="bytes expected"):
+        ST.read_stack_ranges(spark, str(tmp_path), recordings).collect()
+
+
 def test_casts(spark, traces):
     pixels = A.unrolled(traces, "measu", "x", "y")
     whole = pixels.withColumn("v", F.floor("v").cast("double"))
@@ -78,8 +103,9 @@ def test_versions_and_exports(spark, traces, tmp_path):
     df = spark.createDataFrame([(1, "a")], "k INT, v STRING")
     LS.write_versioned(df, str(tmp_path / "v"), "20240101")
     LS.write_versioned(df.withColumn("v", F.lit("b")), str(tmp_path / "v"), "20240102")
-    assert spark.read.parquet(str(tmp_path / "v")).count() == 2
-    assert LS.latest_version(spark, str(tmp_path / "v")).first().v == "b"
+    assert {r.v for r in spark.read.parquet(str(tmp_path / "v" / "runs" / "*")).collect()} == {"a", "b"}
+    newest = LS.latest_version(spark, str(tmp_path / "v")).first()
+    assert (newest.v, newest.run_ts) == ("b", "20240102")
     meta = spark.createDataFrame([(0, "A", "l0"), (1, "B", "l1")], "measu BIGINT, animal STRING, label STRING")
     overview = traces.select("measu", "x", "y", F.col("trace")[0].alias("value"))
     EX.export_processed(EX.processed_rows(meta, overview, traces, 5), str(tmp_path / "e"))
@@ -89,6 +115,28 @@ def test_versions_and_exports(spark, traces, tmp_path):
     assert one.trace == traces.filter("measu = 1 AND x = 2 AND y = 4").first().trace
 
 
+def test_an_interrupted_run_is_invisible(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "v")
+    with pytest.raises(FileNotFoundError):
+        LS.latest_version(spark, path)
+    df = spark.createDataFrame([(1, "a"), (2, "a")], "k INT, v STRING")
+    LS.write_versioned(df, path, "1")
+    whole = LS._enter
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(LS, "_enter", killed)
+    with pytest.raises(KeyboardInterrupt):
+        LS.write_versioned(df.withColumn("v", F.lit("b")), path, "2")
+    assert {r.v for r in LS.latest_version(spark, path).collect()} == {"a"}
+    monkeypatch.setattr(LS, "_enter", whole)
+    LS.write_versioned(df.withColumn("v", F.lit("c")), path, "2")
+    assert [r.v for r in LS.latest_version(spark, path).collect()] == ["c", "c"]
+    with pytest.raises(ValueError, match="complete already"):
+        LS.write_versioned(df, path, "2")
+
+
 def test_setups():
     assert LS.setup_source(4) == ("pst", 2)
     with pytest.raises(NotImplementedError):

@@ -1,5 +1,6 @@
 """Golden stimulus tables and stimulus operators on small fixtures."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,10 +115,34 @@ def table(spark):
 
 def test_active_stimuli_include_both_ends(spark, table):
     times = spark.createDataFrame([(i, 1, float(t)) for i, t in enumerate([499, 500, 1000, 1500, 2000, 2001])], "k INT, measu BIGINT, t_ms DOUBLE")
-    got = {r.k: r.odors for r in T.active_stimuli(table, times, "k", bucket_ms=300.0).collect()}
+    got = {r.k: r.odors for r in T.active_stimuli(table, times, "k", finest_ms=300.0).collect()}
     assert got == {0: [], 1: ["B"], 2: ["A", "B"], 3: ["A", "B"], 4: ["A"], 5: []}
 
 
+def heavy_tailed():
+    rng = np.random.default_rng(4)
+    on = np.concatenate([rng.uniform(0, 1e6, 300), 5e5 + rng.uniform(0, 5, 200), [0.0, -50.0, 7.0, 9.0]])
+    length = np.concatenate([np.exp(rng.normal(3, 3, 300)), rng.uniform(0, 1, 200), [1e9, 1e6, 0.0, -5.0]])
+    return [(1 + i % 2, i, "A", -1.0, float(a), float(a + n), 200.0) for i, (a, n) in enumerate(zip(on, length))]
+
+
+@pytest.mark.parametrize("finest", [1.0, 0.001, 1e5])
+def test_interval_join_with_heavy_tails_and_bursts(spark, finest):
+    rows = heavy_tailed()
+    pulses = spark.createDataFrame(rows, STIMULI).repartition(4)
+    rng = np.random.default_rng(5)
+    t = np.concatenate([rng.uniform(-100, 1.2e6, 400), 5e5 + rng.uniform(-1, 7, 300), [r[4] for r in rows[:20]], [r[5] for r in rows[:20]]])
+    times = spark.createDataFrame([(i, 1 + i % 2, float(x)) for i, x in enumerate(t)], "k INT, measu BIGINT, t_ms DOUBLE").repartition(3)
+    got = sorted((r.k, r.stim_idx) for r in T.active_pairs(pulses, times, finest).collect())
+    assert got == sorted((i, r[1]) for i, x in enumerate(t) for r in rows if r[0] == 1 + i % 2 and r[4] <= x <= r[5])
+
+
+def test_pulses_are_laid_on_few_cells(spark):
+    pulses = spark.createDataFrame(heavy_tailed(), STIMULI)
+    cells = pulses.select(F.size(T.interval_cells(F.col("on_ms"), F.col("off_ms"))).alias("n"))
+    assert cells.agg(F.max("n")).first()[0] <= 3
+
+
 def test_first_listed_onset_not_earliest(table):
     got = {r.measu: r.onset_frame for r in T.first_onsets(table).collect()}
     assert got == {1: 5, 2: 0}
