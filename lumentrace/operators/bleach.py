@@ -233,7 +233,7 @@ def with_area(pixels: DataFrame, area: DataFrame) -> DataFrame:
     """Flag pixels by the area; a recording without an area file is all true."""
     key = ["measu", "x", "y"]
     members = area.select(*key).distinct()
-    known = members.select("measu").distinct().withColumn("__has", F.lit(True))
+    has = known(members.select("measu").distinct().withColumn("__has", F.lit(True)))
     marked = pixels.join(members.withColumn("__in", F.lit(True)), key, "left")
-    joined = join_per_key(marked, known, ["measu"], "left")
+    joined = has.joined_to(marked, ["measu"], "left")
     return joined.withColumn("in_area", F.col("__in").isNotNull() | F.col("__has").isNull()).drop("__in", "__has")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions import arrays as A
 from lumentrace.model import Params
 from lumentrace.plans.ranking import indexed
-from lumentrace.plans.skew import SALTS, join_per_key
+from lumentrace.plans.skew import join_per_key
 
 
 #: Columns that say whose a region is; equal labels of different files or animals are different regions.
@@ -207,17 +207,12 @@ def weighted_points(frames: DataFrame, *more: Column) -> DataFrame:
 def roi_trace_points(traces: DataFrame, weights: DataFrame) -> DataFrame:
     """I12, long form: sum of w * v per (recording, region, frame), combined map-side.
 
-    Pixels meet their region, and then the other pixels of that region, as whole traces:
-    both moves ship one compact row per pixel. Only then are traces unrolled, so the
-    partial sums already cover a region (or, for a region with very many pixels, one of
-    ``SALTS`` parts of it) and the last shuffle carries a few rows per frame.
+    A trace is unrolled where it lies, and only partial sums travel: a row per region and frame of each task. On tables
+    bucketed by pixel (:mod:`lumentrace.sources.bucketed`) no trace is shuffled at all.
     """
     on = [c for c in ("measu", "x", "y") if c in weights.columns]
     joined = traces.join(weights.select(*on, "roi", "w"), on)
-    part = F.pmod(F.xxhash64("x", "y"), F.lit(SALTS))
-    joined = joined.select("measu", "roi", "w", "trace", part.alias("__part")).repartition("measu", "roi", "__part")
-    frames = A.unrolled(joined, "measu", "roi", "w")
-    return weighted_points(frames)
+    return weighted_points(A.unrolled(joined.select("measu", "roi", "w", "trace"), "measu", "roi", "w"))
 
 
 def roi_traces(traces: DataFrame, weights: DataFrame) -> DataFrame:

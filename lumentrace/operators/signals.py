@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumentrace.functions import arrays as A
 from lumentrace.model import Params
-from lumentrace.plans.skew import join_per_key
+from lumentrace.plans.skew import Known, join_per_key, known
 
 
 def scaled(trace: Column | str) -> Column:
@@ -27,24 +27,32 @@ def relative_change(trace: Column | str, start: Column, end: Column) -> Column:
     return A.against(trace, divisor, lambda v, f: v / f - 1)
 
 
-def dff(traces: DataFrame, backgrounds: DataFrame) -> DataFrame:
+def _with(traces: DataFrame, facts: DataFrame | Known) -> DataFrame:
+    """Facts of recordings on their traces; those that are :class:`Known` to be few move no trace."""
+    if isinstance(facts, Known):
+        return facts.joined_to(traces, ["measu"])
+    return join_per_key(traces, facts, ["measu"], spread=["x", "y"])
+
+
+def dff(traces: DataFrame, backgrounds: DataFrame | Known) -> DataFrame:
     """G3 over a movie table; ``backgrounds(measu, bg_start, bg_end)``."""
-    joined = join_per_key(traces, backgrounds, ["measu"], spread=["x", "y"])
+    joined = _with(traces, backgrounds)
     value = relative_change("trace", F.col("bg_start"), F.col("bg_end"))
     return joined.withColumn("trace", value).select(*traces.columns)
 
 
-def ratio_change(traces1: DataFrame, traces2: DataFrame, area: DataFrame, backgrounds: DataFrame) -> DataFrame:
+def ratio_change(traces1: DataFrame, traces2: DataFrame, area: DataFrame, backgrounds: DataFrame | Known) -> DataFrame:
     """Ratio of the normalised wavelengths minus each pixel's background ratio.
 
     The wavelengths meet once, with a flag for the area; both masked means come from one
-    aggregate and only they are joined back. A zero denominator gives null where an array
+    aggregate, are read when the plan is built (:func:`known`) and joined back. Nothing else needs an exchange: on tables
+    bucketed by pixel no trace is shuffled. A zero denominator gives null where an array
     library would give inf or NaN.
     """
     pixel = ["measu", "x", "y"]
     members = area.select(*pixel).distinct().withColumn("__in", F.lit(True))
     both = traces1.join(traces2.withColumnRenamed("trace", "trace2"), pixel).join(members, pixel, "left")
-    joined = join_per_key(both, backgrounds, ["measu"], spread=["x", "y"])
+    joined = _with(both, backgrounds)
     inside = joined.filter("__in")
     sums = {}
     for name, trace in (("1", "trace"), ("2", "trace2")):
@@ -52,7 +60,7 @@ def ratio_change(traces1: DataFrame, traces2: DataFrame, area: DataFrame, backgr
         sums[f"s{name}"], sums[f"n{name}"] = A.total(window), F.size(window).cast("double")
     parts = inside.select("measu", *[c.alias(n) for n, c in sums.items()])
     means = parts.groupBy("measu").agg(*[F.try_divide(F.sum(f"s{i}"), F.sum(f"n{i}")).alias(f"m{i}") for i in "12"])
-    joined = join_per_key(joined, means, ["measu"], spread=["x", "y"])
+    joined = known(means).joined_to(joined, ["measu"])
     m1c, m2c = F.col("m1"), F.col("m2")
     ratio = F.zip_with(
         "trace", "trace2", lambda a, b: F.try_divide(F.try_divide(a, m1c), F.try_divide(b, m2c))
@@ -73,7 +81,7 @@ def plain_ratio(traces1: DataFrame, traces2: DataFrame) -> DataFrame:
 def signal(
     params: Params,
     traces1: DataFrame,
-    backgrounds: DataFrame,
+    backgrounds: DataFrame | Known,
     traces2: DataFrame | None = None,
     area: DataFrame | None = None,
 ) -> DataFrame:

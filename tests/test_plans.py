@@ -147,3 +147,48 @@ def test_lineage_is_cut_in_the_named_folder(spark, tmp_path):
     assert out.count() == 10
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert any(tmp_path.rglob("part-*"))
+
+
+def exchanged(df):
+    """Columns that go through a shuffle in the plan of ``df``, per exchange."""
+    import re
+
+    formatted = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", formatted)
+    return [[c.split("#")[0] for c in i.split(", ")] for i in inputs]
+
+
+def test_bucketed_movies_are_not_shuffled(spark, traces, tmp_path):
+    from lumentrace.operators import rois as I
+    from lumentrace.operators import signals as G
+    from lumentrace.operators.bleach import flagged
+    from lumentrace.sources.bucketed import attach_bucketed, write_bucketed
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    names = [f"bucketed_{n}_{abs(hash(str(tmp_path)))}" for n in ("one", "two", "area", "members")]
+    try:
+        second = traces.withColumn("trace", F.transform("trace", lambda v: v * 0.5 + 1))
+        area = traces.filter("(x + y) % 3 <> 0").select("measu", "x", "y")
+        members = traces.select("measu", "x", "y", F.concat(F.lit("r"), F.col("x") % 2).alias("roi"))
+        weights = I.weighted(members)
+        plain = {"one": traces, "two": second, "area": area, "members": weights}
+        held = {k: write_bucketed(df, n, str(tmp_path / k), 3) for (k, df), n in zip(plain.items(), names, strict=True)}
+        spark.sql(f"DROP TABLE {names[0]}")
+        held["one"] = attach_bucketed(spark, names[0], str(tmp_path / "one"), "measu BIGINT, x INT, y INT, trace ARRAY<DOUBLE>", 3)
+        facts = known(traces.select("measu").distinct().selectExpr("measu", "2 AS bg_start", "5 AS bg_end"))
+        of = lambda t: (
+            G.ratio_change(t["one"], t["two"], t["area"], facts), I.roi_trace_points(G.dff(t["one"], facts), t["members"]), flagged(t["one"], t["area"]),
+        )
+        for got, want in zip(of(held), of(plain), strict=True):
+            assert not any({"trace", "trace2"} & set(columns) for columns in exchanged(got))
+            keys = [c for c in ("measu", "roi", "x", "y", "t") if c in got.columns]
+            a, b = (df.toPandas().sort_values(keys).reset_index(drop=True) for df in (got, want.select(*got.columns)))
+            for c in a.columns:
+                x, y = (np.array(list(d[c])) for d in (a, b))
+                np.testing.assert_allclose(x, y, atol=1e-9) if x.dtype.kind == "f" else np.testing.assert_array_equal(x, y)
+        assert any({"trace"} & set(columns) for columns in exchanged(of(plain)[0]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
