@@ -2,32 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumentrace.functions import arrays as A
-from lumentrace.plans.skew import join_per_key
+from lumentrace.plans.skew import known
 
 REFERENCE_FRAME = 5
+#: Frames that one task compares with their reference.
+CHUNK = 16
 
 
 def search_radius(nx: int, ny: int, fraction: float = 0.10) -> int:
     return min(int(nx * fraction), int(ny * fraction))
 
 
-def _frames(pixels: DataFrame, nx: int | Column, ny: int | Column) -> DataFrame:
-    """One row per frame: its size and values in x-major order. A row holds one frame, whose
-    size the camera fixes; a long recording is spread over its frames."""
-    ordered = F.array_sort(F.collect_list(F.struct("x", "y", "v")))
-    sized = pixels.withColumns({"__nx": A.lit(nx), "__ny": A.lit(ny)})
-    size = F.max(F.struct(F.col("__nx").alias("nx"), F.col("__ny").alias("ny")))
-    return sized.groupBy("measu", "t").agg(ordered["v"].alias("frame"), size.alias("size"))
-
-
 def _window_sums(values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Sums of all windows of a shape, from running sums."""
     total = np.zeros((values.shape[0] + 1, values.shape[1] + 1))
@@ -60,39 +51,57 @@ def estimated_shifts(pixels: DataFrame, nx: int | Column, ny: int | Column, radi
     """Best (dx, dy) of every frame against frame 5 by correlation of the inner
     region; it must exceed 0, and the first best in (dx, dy) order wins.
 
-    All (2r+1)^2 candidates of a frame come from one pair of Fourier transforms and running
-    sums, inside the task that holds the frame; those within rounding of the best are
-    correlated again one by one, so that ties are decided exactly.
+    Pixels are shuffled once, to the task of their run of CHUNK frames; the pixels of the reference frame go to each of these
+    tasks, so one frame in CHUNK is a copy. All (2r+1)^2 candidates of a frame come from one pair of Fourier
+    transforms and running sums; those within rounding of the best are
+    correlated again one by one, so that ties are decided exactly. The runs of each recording are read when the
+    plan is built.
     """
-    frames = _frames(pixels, nx, ny)
-    reference = frames.filter(F.col("t") == REFERENCE_FRAME).select("measu", F.col("frame").alias("ref"))
-    pairs = join_per_key(frames, reference, ["measu"], spread=["t"])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for measu, t, frame, ref, *shape in zip(*[batch[c] for c in ("measu", "t", "frame", "ref", "nx", "ny")]):
-                best, where = 0.0, (0, 0)
-                if t != REFERENCE_FRAME:
-                    r = search_radius(*shape) if radius is None else radius
-                    inner = slice(r, -r) if r else slice(None)
-                    image = np.asarray(frame).reshape(shape)
-                    target = np.asarray(ref).reshape(shape)[inner, inner]
-                    target = target - target.mean()
-                    norm = np.sqrt((target**2).sum())
-                    for dx, dy in _likely_shifts(image, target, r):
-                        moved = np.roll(image, (dx, dy), axis=(0, 1))[inner, inner]
-                        moved = moved - moved.mean()
-                        scale = norm * np.sqrt((moved**2).sum())
-                        score = (moved * target).sum() / scale if scale > 0 else np.nan
-                        if score > best:
-                            best, where = score, (dx, dy)
-                found.append((measu, t, *where, int(best * 10)))
-            yield pd.DataFrame(found, columns=["measu", "t", "dx", "dy", "quality"])
-
-    return pairs.select("measu", "t", "frame", "ref", "size.nx", "size.ny").mapInPandas(
-        search, "measu BIGINT, t INT, dx INT, dy INT, quality INT"
-    )
+    sized = pixels.select("measu", "x", "y", "t", "v", A.lit(nx).alias("nx"), A.lit(ny).alias("ny"))
+    chunk = F.floor(F.col("t") / CHUNK).cast("int")
+    placed = sized.withColumn("chunk", chunk)
+    chunks = known(placed.groupBy("measu").agg(F.collect_set("chunk").alias("chunks")))
+    reference = chunks.joined_to(sized.filter(F.col("t") == REFERENCE_FRAME), ["measu"])
+    copies = reference.select("measu", "x", "y", F.lit(-1).alias("t"), "v", "nx", "ny", F.explode("chunks").alias("chunk"))
+
+    def search(table: pa.Table) -> pa.Table:
+        x, y, t, v = (table[c].to_numpy() for c in ("x", "y", "t", "v"))
+        shape = table["nx"][0].as_py(), table["ny"][0].as_py()
+        found = []
+        at = {k: np.flatnonzero(t == k) for k in np.unique(t).tolist()}
+        r = search_radius(*shape) if radius is None else radius
+        inner = slice(r, -r) if r else slice(None)
+        target, norm = None, 0.0
+        if -1 in at:
+            target = _image(x, y, v, at.pop(-1), shape)[inner, inner]
+            target = target - target.mean()
+            norm = np.sqrt((target**2).sum())
+        for k, rows in at.items():
+            best, where = 0.0, (0, 0)
+            if target is None:
+                continue  # a recording without the reference frame has no shifts
+            if k != REFERENCE_FRAME:
+                image = _image(x, y, v, rows, shape)
+                for dx, dy in _likely_shifts(image, target, r):
+                    moved = np.roll(image, (dx, dy), axis=(0, 1))[inner, inner]
+                    moved = moved - moved.mean()
+                    scale = norm * np.sqrt((moved**2).sum())
+                    score = (moved * target).sum() / scale if scale > 0 else np.nan
+                    if score > best:
+                        best, where = score, (dx, dy)
+            found.append((table["measu"][0].as_py(), k, *where, int(best * 10)))
+        columns = list(zip(*found)) or [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["measu", "t", "dx", "dy", "quality"])
+
+    rows = placed.unionByName(copies)
+    return rows.groupBy("measu", "chunk").applyInArrow(search, "measu BIGINT, t INT, dx INT, dy INT, quality INT")
+
+
+def _image(x: np.ndarray, y: np.ndarray, v: np.ndarray, rows: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    image = np.empty(shape)
+    image[x[rows], y[rows]] = v[rows]
+    return image
 
 
 def rolled(pixels: DataFrame, shifts: DataFrame, nx: int | Column, ny: int | Column, shrink: int = 1) -> DataFrame:
@@ -117,15 +126,24 @@ def motion_corrected(
     movement_file: str | None = None,
     shrink: int = 1,
 ) -> DataFrame:
-    """``compute``, ``compute_save`` or ``reuse`` the shifts, then apply them."""
-    from lumentrace.sources.movements import append_shifts, read_shifts
+    """``compute``, ``compute_save`` or ``reuse`` the shifts, then apply them.
 
-    if mode == "reuse":
-        return rolled(pixels, read_shifts(pixels.sparkSession, movement_file), nx, ny, shrink)
-    if mode not in ("compute", "compute_save"):
+    ``compute_save`` is :func:`save_shifts`, an action, followed by ``reuse``.
+    """
+    from lumentrace.sources.movements import read_shifts
+
+    if mode == "compute":
+        return rolled(pixels, estimated_shifts(pixels, nx, ny), nx, ny)
+    if mode not in ("reuse", "compute_save"):
         raise NotImplementedError(f"no movement mode {mode!r}")
-    shifts = estimated_shifts(pixels, nx, ny)
     if mode == "compute_save":
-        append_shifts(shifts, movement_file)
-        shifts = read_shifts(pixels.sparkSession, movement_file)  # computed once, read back
-    return rolled(pixels, shifts, nx, ny)
+        save_shifts(pixels, nx, ny, movement_file)
+        shrink = 1
+    return rolled(pixels, read_shifts(pixels.sparkSession, movement_file), nx, ny, shrink)
+
+
+def save_shifts(pixels: DataFrame, nx: int | Column, ny: int | Column, movement_file: str) -> None:
+    """Compute the shifts now and append them to the movement list."""
+    from lumentrace.sources.movements import append_shifts
+
+    append_shifts(estimated_shifts(pixels, nx, ny), movement_file)
