@@ -49,9 +49,9 @@ def _op3() -> str:
         host, path = rule.split("/", 1)
         fits.append(f"('{host}', '/{path}', '{rule}', '{verdict}')")
     steps = [
-        f"""s{i} AS (SELECT host, kind, CAST(sum(score) AS BIGINT) AS score FROM (
+        f"""s{i} AS (SELECT host, kind, CAST(sum(score) AS HUGEINT) AS score FROM (
   SELECT host, kind, score * {100 - U.DAMPING_PERCENT} // 100 AS score FROM s0
-  UNION ALL SELECT f.dst, f.kind, s.score * share // {U.SHARES} * {U.DAMPING_PERCENT} // 100
+  UNION ALL SELECT f.dst, f.kind, s.score * w // total * {U.DAMPING_PERCENT} // 100
   FROM s{i - 1} s JOIN flow f ON s.host = f.src AND s.kind = f.kind) GROUP BY host, kind)"""
         for i in range(1, U.ROUNDS + 1)
     ]
@@ -70,18 +70,18 @@ up AS (SELECT host, substr(host, instr(host, '.') + 1) AS parent FROM hosts WHER
 family AS (SELECT host, parent FROM up WHERE parent LIKE '%.%'),
 edges AS (SELECT src, dst, count(*) AS w FROM (SELECT * FROM linked UNION ALL SELECT host, parent FROM family UNION ALL SELECT parent, host FROM family)
   WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
-flow AS (SELECT src, dst, 0 AS kind, CAST(floor(w * {U.SHARES} / sum(w) OVER (PARTITION BY src)) AS BIGINT) AS share FROM edges
-  UNION ALL SELECT dst, src, 1, CAST(floor(w * {U.SHARES} / sum(w) OVER (PARTITION BY dst)) AS BIGINT) FROM edges),
+flow AS (SELECT src, dst, 0 AS kind, w, CAST(sum(w) OVER (PARTITION BY src) AS HUGEINT) AS total FROM edges
+  UNION ALL SELECT dst, src, 1, w, CAST(sum(w) OVER (PARTITION BY dst) AS HUGEINT) FROM edges),
 seeds AS (SELECT host, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM m WHERE host <> '' GROUP BY host),
-s0 AS (SELECT * FROM (
-  SELECT host, 0 AS kind, CAST(floor(coalesce(CAST(a AS DOUBLE) / nullif(sum(a) OVER (), 0), 0) * {U.UNIT}) AS BIGINT) AS score FROM seeds
-  UNION ALL SELECT host, 1, CAST(floor(coalesce(CAST(b AS DOUBLE) / nullif(sum(b) OVER (), 0), 0) * {U.UNIT}) AS BIGINT) FROM seeds) WHERE score > 0),
+s0 AS (SELECT * FROM (SELECT host, 0 AS kind, CAST(a AS HUGEINT) * {U.UNIT} AS score FROM seeds
+  UNION ALL SELECT host, 1, CAST(b AS HUGEINT) * {U.UNIT} FROM seeds) WHERE score > 0),
 {", ".join(steps)},
-sc AS (SELECT host, coalesce(sum(score) FILTER (kind = 0), 0) AS t, coalesce(sum(score) FILTER (kind = 1), 0) AS d FROM s{U.ROUNDS} GROUP BY host)
+sc AS (SELECT host, coalesce(sum(score) FILTER (kind = 0), 0) AS t, coalesce(sum(score) FILTER (kind = 1), 0) AS d FROM s{U.ROUNDS} GROUP BY host),
+n AS (SELECT greatest(coalesce(sum(a), 0), 1) AS a, greatest(coalesce(sum(b), 0), 1) AS b FROM seeds)
 SELECT page_id, m.host, path, rule,
-  coalesce(ruled, CASE WHEN 100 * coalesce(d, 0) > {U.THRESHOLD_PERCENT} * coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict,
-  CAST(coalesce(t, 0) AS BIGINT) AS trust, CAST(coalesce(d, 0) AS BIGINT) AS distrust
-FROM m LEFT JOIN sc USING (host)
+  coalesce(ruled, CASE WHEN 100 * coalesce(d, 0) * n.a > {U.THRESHOLD_PERCENT} * coalesce(t, 0) * n.b THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(CAST(coalesce(t, 0) AS HUGEINT) AS VARCHAR) AS trust, CAST(CAST(coalesce(d, 0) AS HUGEINT) AS VARCHAR) AS distrust
+FROM m CROSS JOIN n LEFT JOIN sc ON sc.host = m.host
 """
 
 

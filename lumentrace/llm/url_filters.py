@@ -20,12 +20,10 @@ RULES = (
 )
 ROUNDS = 10
 DAMPING_PERCENT = 85
-#: All seeds together, and the parts a host's links are counted in.
+#: What every seed page brings; scores are whole numbers of up to 38 digits.
 UNIT = 10**12
-SHARES = 10**6
-#: Links of a host up to which they are counted in SHARES, where that loses less than a thousandth of a share; beyond it they are divided exactly.
-COUNTED = 1000
-#: A host is blocked when 100 * distrust > THRESHOLD_PERCENT * trust.
+SCORE = "decimal(38,0)"
+#: A host is blocked when 100 * distrust / blocked pages > THRESHOLD_PERCENT * trust / allowed pages (of all hosts).
 THRESHOLD_PERCENT = 100
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
@@ -77,38 +75,42 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
+def _whole(over: Column, under: Column) -> Column:
+    """Quotient of whole numbers without its fraction, in 38 digits."""
+    return ((over - over % under) / under).cast(SCORE)
+
+
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, w) and seeds (host, allowed, blocked counts).
 
-    No link of a host is rounded away, however many it has; only what is below one of UNIT parts is.
+    Every seed page brings UNIT parts, however many seeds there are, and every link of a host moves its share of what the
+    host has, however many links it has; only the fraction of one part is lost in a step.
     Without seeds of a kind its scores are 0. A host without links keeps only its seed share.
     """
     out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("w").alias("total"))
     into = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("w").alias("total"))
-    counted = F.col("total") <= COUNTED
-    part = F.when(counted, F.floor(F.col("w") * SHARES / F.col("total")).cast("long")).otherwise(F.col("w")).alias("part")
-    whole = F.when(counted, F.lit(SHARES).cast("long")).otherwise(F.col("total")).alias("whole")
-    along = edges.join(out, edges.src == out.host).select("src", "dst", F.lit(0).alias("kind"), part, whole)
+    along = edges.join(out, edges.src == out.host).select("src", "dst", F.lit(0).alias("kind"), "w", "total")
     against = edges.join(into, edges.dst == into.host).select(
-        F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("kind"), part, whole
+        F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("kind"), "w", "total"
     )
     flow = written(along.unionByName(against), "flow")
-    allowed, blocked = (seeds.agg(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in ("allowed", "blocked"))
-    count, total = F.when(F.col("kind") == 0, F.col("allowed")).otherwise(F.col("blocked")), F.when(F.col("kind") == 0, allowed).otherwise(blocked)
+    count = F.when(F.col("kind") == 0, F.col("allowed")).otherwise(F.col("blocked")).cast("decimal(18,0)")
     base = seeds.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        "host", "kind", F.floor(F.coalesce(F.try_divide(count.cast("double"), total.cast("double")), F.lit(0.0)) * UNIT).cast("long").alias("score")
+        "host", "kind", (count * F.lit(UNIT).cast("decimal(13,0)")).cast(SCORE).alias("score")
     ).filter("score > 0")
     base = written(base, "seeds")
-    kept = base.select("host", "kind", F.expr(f"score * {100 - DAMPING_PERCENT} div 100").alias("score"))
+    hundred, damping = F.lit(100).cast("decimal(3,0)"), F.lit(DAMPING_PERCENT).cast("decimal(3,0)")
+    kept = base.select("host", "kind", _whole(F.col("score") * (hundred - damping), hundred).alias("score"))
     now = base
     for i in range(rounds):
+        share = _whole(F.col("score").cast("decimal(26,0)") * F.col("w").cast("decimal(11,0)"), F.col("total").cast("decimal(20,0)"))
         moved = now.withColumnRenamed("host", "src").join(flow, ["src", "kind"]).select(
-            F.col("dst").alias("host"), "kind", F.expr(f"CAST(score AS decimal(19, 0)) * CAST(part AS decimal(18, 0)) div whole * {DAMPING_PERCENT} div 100").alias("score")
+            F.col("dst").alias("host"), "kind", _whole(share * damping, hundred).alias("score")
         )
-        now = kept.unionByName(moved).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+        now = kept.unionByName(moved).groupBy("host", "kind").agg(F.sum("score").cast(SCORE).alias("score"))
         if i % 5 == 4:
             now = written(now, "scores")
-    pick = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0))
+    pick = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0)).cast(SCORE)
     return now.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"))
 
 
@@ -118,7 +120,7 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFr
     The longest rule that fits host and path decides; where none fits, the host's scores do, and a host
     without scores (or an empty one) is allowed. A null url, or one without ``://``, has empty host and path.
     Repeated rows get equal verdicts and count as pages of their own; an empty table gives an empty result;
-    null html has no links; other columns are not read.
+    null html has no links; other columns are not read. trust and distrust are the scores' digits as text.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     hosts = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).select("host"), "hosts")
@@ -133,8 +135,11 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFr
     scores = written(spread(written(host_edges(rows, hosts), "links"), seeds), "hostscores")
     facts = hosts.join(scores, "host")
     joined = join_facts(marked, facts, n, ["host"])
-    trust, distrust = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
-    of_host = F.when(100 * distrust > THRESHOLD_PERCENT * trust, "block").otherwise("allow")
+    trust, distrust = (F.coalesce(c, F.lit(0).cast(SCORE)).cast("decimal(24,0)") for c in ("trust", "distrust"))
+    # shares of all seeds of a kind, compared without a division; without seeds of a kind its scores are 0
+    allowed, blocked = (seeds.agg(F.greatest(F.coalesce(F.sum(c), F.lit(0)), F.lit(1)).cast("decimal(11,0)")).scalar() for c in ("allowed", "blocked"))
+    outweighs = F.lit(100).cast("decimal(3,0)") * (distrust * allowed) > F.lit(THRESHOLD_PERCENT).cast("decimal(3,0)") * (trust * blocked)
     return joined.select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", of_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
+        "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(outweighs, "block").otherwise("allow")).alias("verdict"),
+        trust.cast("string").alias("trust"), distrust.cast("string").alias("distrust"),
     )
