@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,9 +48,13 @@ class OrdinalModel:
     thresholds: tuple[float, ...]
 
     def severity(self, text: str | None) -> float:
-        """Expected grade of a text (null: empty): each known feature counts once."""
-        score = sum(map(self.weights.__getitem__, features(text or "") & self.weights.keys()))
-        return float(sum(1 / (1 + np.exp(np.clip(t - score, -50, 50))) for t in self.thresholds))
+        return severity(text, self.weights, self.thresholds)
+
+
+def severity(text: str | None, weights: dict[str, float], thresholds: Sequence[float]) -> float:
+    """Expected grade of a text (null: empty): each known feature counts once."""
+    score = sum(map(weights.__getitem__, features(text or "") & weights.keys()))
+    return float(sum(1 / (1 + np.exp(np.clip(t - score, -50, 50))) for t in thresholds))
 
 
 def cues(sets: list[set[str]], grades: list[int]) -> list[str]:
@@ -150,12 +154,13 @@ def sample_model(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Or
 
 def scored(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``__severity``, from whole texts. Null or empty text scores as no features."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES words and numbers
+    # at most FEATURES words and numbers, as plain values: a broadcast is read by workers that may not have this package
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in sliced(batches):
-            found = [own.severity(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = [severity(t.as_py(), *own) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(found, pa.float64())], names=[*batch.schema.names[:-1], "__severity"]
             )
