@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentrace.llm.common import sliced
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Where turns are in each layout: (role, path) for single fields, or the array with its role and text fields,
 #: and the names of roles. Layouts are given by the paths of their leaves.
@@ -55,23 +57,68 @@ def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-MAPPINGS = {fingerprint(v["paths"]): v for v in LAYOUTS.values()}
+MAPPINGS = {fingerprint(v["paths"]): (k, v) for k, v in LAYOUTS.items()}
+#: Paths that any layout needs; other fields of a record are extras and don't count for its fingerprint.
+_NEEDED = {p for v in LAYOUTS.values() for p in v["paths"]}
+_LISTS = {v["list"][0] for v in LAYOUTS.values() if "list" in v}
+
+
+def layout_of(record: str | None) -> str | None:
+    """The layout of a record: a name in LAYOUTS, ``empty`` (null, no fields, or a list without messages), or None if it has none."""
+    if record is None:
+        return "empty"
+    try:
+        value = json.loads(record)
+    except ValueError:
+        return None
+    return _layout(value)
+
 
+def _layout(value: object) -> str | None:
+    if value is None or value == {}:
+        return "empty"
+    if not isinstance(value, dict):
+        return None
+    needed = field_paths(value) & _NEEDED
+    if not needed and any(value.get(name) == [] for name in _LISTS):
+        return "empty"
+    found = MAPPINGS.get(fingerprint(needed))
+    return found[0] if found else None
 
-def turns_of(record: str) -> list[tuple[str, str]]:
-    """(role, text) turns of a JSON record; an unknown layout is an error that names its paths. Null is empty."""
-    value = json.loads(record)
-    paths = field_paths(value)
-    mapping = MAPPINGS.get(fingerprint(paths))
-    if mapping is None:
-        raise ValueError(f"no mapping for the fields {sorted(paths)}")
+
+def turns_of(record: str | None) -> list[tuple[str, str]]:
+    """(role, text) turns of a JSON record. Null and empty records, those of no known layout and text that is no JSON have none.
+
+    The fingerprint is that of the fields that layouts need, so a record may have more fields. A message without a role or text has
+    an empty one; text that is not a string is written as JSON.
+    """
+    name = layout_of(record)
+    if name in (None, "empty"):
+        return []
+    value, mapping = json.loads(record), LAYOUTS[name]
     if "list" in mapping:
-        name, role, text = mapping["list"]
-        found = [(m[role], m[text]) for m in value[name]]
+        field, role, text = mapping["list"]
+        items = [m if isinstance(m, dict) else {text: m} for m in value[field]]
+        found = [(m.get(role), m.get(text)) for m in items]
     else:
         found = [(role, value[field]) for role, field in mapping["turns"]]
     names = mapping.get("roles", {})
-    return [(names.get(r, r) or "", t or "") for r, t in found]
+    plain = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x)
+    return [(names.get(plain(r), plain(r)), plain(t)) for r, t in found]
+
+
+def layouts(records: DataFrame, record: str) -> DataFrame:
+    """All columns of ``records`` and ``__layout`` (see :func:`layout_of`), so that unknown ones (null) can be counted."""
+
+    at = records.columns.index(record)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [layout_of(r) for r in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "__layout"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema], "__layout string"])
+    return records.mapInArrow(name, schema)
 
 
 def escaped(text: Column) -> Column:
@@ -83,14 +130,14 @@ def unescaped(text: Column) -> Column:
 
 
 def turns(records: DataFrame, key: str, record: str, order: str | None = None) -> DataFrame:
-    """(key, pos, role, text): the canonical turns of every record.
+    """(key, pos, role, text): the canonical turns of every record; records without turns (:func:`turns_of`) give no row.
 
     A conversation in several records (pieces of a long one) gives ``order``; the turns of a record follow
     those of the records before it.
     """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [turns_of(r) for r in batch.column(2).to_pylist()]
             of = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
             flat = [t for f in found for t in f]

@@ -2,7 +2,6 @@ import hashlib
 import json
 import random
 
-import pytest
 
 from lumentrace.llm import chat as C
 
@@ -71,10 +70,30 @@ def test_layouts(spark):
     assert [(r["key"], r["role"], r["text"]) for r in got] == [(i, *t) for i, (_, ts) in enumerate(LAYOUTS.values()) for t in ts]
 
 
-def test_unknown_layout(spark):
-    df = spark.createDataFrame([(1, '{"question": "?", "answer": {"text": "!"}}')], "id long, record string")
-    with pytest.raises(Exception, match=r"answer.text"):
-        C.turns(df, "id", "record").collect()
+ODD = {
+    None: ("empty", []), "null": ("empty", []), "{}": ("empty", []), '{"messages": []}': ("empty", []), '{"conversations": [], "id": 7}': ("empty", []),
+    '{"question": "?", "answer": {"text": "!"}}': (None, []), "no json": (None, []), "[1, 2]": (None, []), '"text"': (None, []),
+    '{"messages": [{"role": "user", "content": "a", "name": "n"}], "id": 3}': ("messages", [("user", "a")]),
+    '{"prompt": null, "completion": "c", "meta": {"x": [1]}}': ("prompt", [("user", ""), ("assistant", "c")]),
+    '{"messages": [{"role": "user", "content": "a"}, {"content": 5}]}': ("messages", [("user", "a"), ("", "5")]),
+}
+
+
+def test_null_empty_unknown_and_extended_records(spark):
+    rows = [(i, r, "clash", 9) for i, r in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "id long, record string, role string, pos int").repartition(3)
+    named = {r["id"]: r["__layout"] for r in C.layouts(df, "record").collect()}
+    assert named == {i: name for i, (name, _) in enumerate(ODD.values())}
+    got = C.turns(df, "id", "record").orderBy("key", "pos").collect()
+    assert [(r["key"], r["role"], r["text"]) for r in got] == [(i, *t) for i, (_, ts) in enumerate(ODD.values()) for t in ts]
+    assert C.turns(df.filter("false"), "id", "record").count() == 0
+
+
+def test_query_ignores_clashing_columns(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = rows.selectExpr("*", "1 AS key", "2 AS at", "'x' AS piece", "3 AS loss", "4 AS n_turns")
+    want, got = (sorted(map(tuple, C.conversation_digests(df).collect())) for df in (rows, extra))
+    assert got == want
 
 
 def test_field_paths():
