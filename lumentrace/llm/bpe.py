@@ -160,13 +160,34 @@ def _listed(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """All columns of ``docs`` and ``__ids``; with ``offsets`` also ``__starts`` and ``__ends``.
+class Decoder:
+    """Bytes of ids, through the byte table."""
+
+    def __init__(self, path: str) -> None:
+        table = byte_table(path)
+        tokens = [table.get(i, b"") for i in range(max(table) + 1)]
+        self.lengths = np.array([len(x) for x in tokens], np.int64)
+        self.flat, self.starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(self.lengths) - self.lengths
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise ValueError("an id is not in the byte table")
+        return gathered(ids, self.starts, self.lengths, self.flat).tobytes()
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False, back: bool = False) -> DataFrame:
+    """All columns of ``docs`` and ``__ids``; with ``offsets`` also ``__starts`` and ``__ends``, with ``back`` also ``__bytes``,
+    the ids decoded as :func:`decoded` does, by the worker that has them.
 
     Offsets are code points of the text. A character whose bytes lie in several tokens belongs to each of
     them. Null text counts as empty and has no ids. ``path`` is a rank file that every executor can read.
     """
-    fields = ["__ids array<int>"] + ["__starts array<int>", "__ends array<int>"] * offsets
+    fields = ["__ids array<int>"] + ["__starts array<int>", "__ends array<int>"] * offsets + ["__bytes binary"] * back
     names = [f.split()[0] for f in fields]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +201,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", offset
                     columns = [pa.array(c, pa.list_(pa.int32())) for c in lists]
                 else:
                     columns = [_listed(*worker.ids(texts[a:b]), pa.int32())]
+                if back:
+                    lists, table = columns[0], decoder(path)
+                    each = [lists[i].values.to_numpy(zero_copy_only=False) for i in range(len(lists))]
+                    columns.append(pa.array([table.bytes_of(ids) for ids in each], pa.binary()))
                 rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], names=[*rows.schema.names[:-1], *names])
 
@@ -197,22 +222,13 @@ def decoded(tokens: DataFrame, path: str, ids: str = "__ids") -> DataFrame:
     at = tokens.columns.index(ids)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(path)
-        empty = [table.get(i, b"") for i in range(max(table) + 1)]
-        lengths = np.array([len(x) for x in empty], np.int64)
-        flat, starts = np.frombuffer(b"".join(empty), np.uint8), np.cumsum(lengths) - lengths
+        table = decoder(path)
         for batch in sliced(batches):
             lists = batch.column(at)
             out = []
             for i in range(len(lists)):
-                codes = lists[i].values
-                if codes is None:
-                    out.append(None)
-                    continue
-                codes = codes.to_numpy(zero_copy_only=False)
-                if len(codes) and (codes.min() < 0 or codes.max() >= len(lengths) or not lengths[codes].all()):
-                    raise ValueError("an id is not in the byte table")
-                out.append(gathered(codes, starts, lengths, flat).tobytes())
+                ids = lists[i].values
+                out.append(None if ids is None else table.bytes_of(ids.to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "__bytes"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema], "__bytes binary"])
@@ -238,9 +254,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Repeated rows give repeated results; other columns are not read; an empty table gives an empty result.
     """
-    tokens = encoded(docs.select("doc_id", "text"), path, pattern).drop("text")
+    tokens = encoded(docs.select("doc_id", "text"), path, pattern, back=True)
     plain = F.array_join(F.col("__ids").cast("array<string>"), " ")
-    return decoded(tokens, path).select(
+    return tokens.select(
         "doc_id", F.size("__ids").cast("long").alias("n_tokens"), F.sha2(plain.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("__bytes", 256).alias("decoded_sha256"),
     )
