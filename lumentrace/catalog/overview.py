@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumentrace.catalog import tables as M
+from lumentrace.catalog.corrections import gauss_sql, kernel_sql
 from lumentrace.catalog.features import _C22, _C35_CTES, backgrounds, context, signal, with_context
 from lumentrace.catalog.registry import query, sql_over
 from lumentrace.functions import arrays as A
@@ -302,7 +303,25 @@ def _(spark, sf):
     return rnd(out.select("measu", "x", "y", "t", "v", "shown", "stimulus_text", "time_text"), "v")
 
 
-@query("o16_movie_filtered")
+_T3 = A.gaussian_weights(P.time_filter_size)
+
+
+@query(
+    "o16_movie_filtered",
+    sql_over(
+        "dff", "stimuli",
+        body=kernel_sql("ft", "dff", "t", _T3, -(len(_T3) // 2), "reflect", 64) + gauss_sql("f", "ft", P.space_filter_size, "reflect")
+        + """, l AS (SELECT measu, min(v) AS lo, max(v) AS hi FROM fy GROUP BY 1),
+rl AS (SELECT measu, min(v) AS lo, max(v) AS hi FROM pixels GROUP BY 1),
+o AS (SELECT measu, min(on_ms) AS first FROM stimuli GROUP BY 1),
+c AS (SELECT measu, x, y, t, least(greatest(v, lo), hi) AS v, lo, hi FROM fy JOIN l USING (measu))
+SELECT c.measu, c.x, c.y, c.t, round(CASE WHEN NOT (c.lo < 0 AND c.hi > 0) THEN (c.v - c.lo) / (c.hi - c.lo)
+  WHEN c.v >= 0 THEN 0.5 + 0.5 * c.v / c.hi ELSE 0.5 * (c.v - c.lo) / (0 - c.lo) END, 6) AS v,
+  r.v > rl.lo + 0.01 * 50 * (rl.hi - rl.lo) OR r.v < 0 AS shown,
+  CASE WHEN c.t * 200 - coalesce(first, 0) < 0 THEN '-' ELSE '' END || printf('%2d', CAST(round_even(abs(c.t * 200 - coalesce(first, 0)) / 1000, 0) AS INTEGER)) || ' s' AS time_text
+FROM c JOIN pixels r USING (measu, x, y, t) JOIN rl ON rl.measu = c.measu LEFT JOIN o ON o.measu = c.measu""",
+    ),
+)
 def _(spark, sf):
     params = P.with_(individual_scale=12, time_filter=True, space_filter=True, threshold_on="raw1", threshold_positive="r50")
     out = recipes.movie_table(signal(spark, sf), M.stimuli(spark, sf), params, 10, 10, 64, M.traces(spark, sf))

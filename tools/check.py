@@ -18,7 +18,7 @@ TABLES = (
 
 #: Queries with a fit inside, which SQL does not repeat; unit tests compare them with brute force.
 NO_SQL = {
-    "g6_composite_signal", "o16_movie_filtered", "r11_fit_parameters", "r12_bleach_pixelwise", "r13_bleach_uniform",
+    "g6_composite_signal", "r11_fit_parameters", "r12_bleach_pixelwise", "r13_bleach_uniform",
     "r14_bleach_whole_frame", "r27_correction_pipeline",
 }
 
