@@ -115,8 +115,8 @@ g AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS
 e AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
     THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM g),
 x AS (SELECT rid, n, unnest(range(n)) AS i, unnest(w) AS word FROM e),
-k AS (SELECT rid, n, unnest(range(n - 15)) AS i, w FROM e WHERE n >= 24),
-k16 AS (SELECT rid, n, i, hash(w[i + 1:i + 16]) AS k FROM k),
+k AS (SELECT rid, n, i, list(word) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS g FROM x WHERE n >= 24),
+k16 AS (SELECT rid, n, i, hash(g) AS k FROM k WHERE len(g) = 16),
 lag AS (SELECT DISTINCT u.rid, v.i - u.i AS q FROM k16 u JOIN k16 v ON u.rid = v.rid AND u.k = v.k AND v.i > u.i AND 3 * (v.i - u.i) <= u.n),
 eq AS (SELECT lag.rid, q, u.i FROM lag JOIN x u ON u.rid = lag.rid JOIN x v ON v.rid = u.rid AND v.i = u.i + q AND v.word = u.word),
 isle AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS g FROM eq),
