@@ -211,13 +211,17 @@ def _(spark, sf):
     "c_list_features",
     sql_over(
         "dff",
-        body=f""", n AS (SELECT count(*) AS n FROM (SELECT DISTINCT measu, x, y FROM dff))
-SELECT feature, n AS pixels FROM n, (VALUES (0), (22), (35), (222), (300), (301), (302), (303), (330), (331), (332), (333)) f(feature)""",
+        body=_C35_CTES + """, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT measu, x, y FROM dff)), m AS (SELECT count(value) AS m FROM c35)
+SELECT feature, n AS pixels, CASE WHEN feature = 35 THEN m ELSE n END AS defined
+FROM n, m, (VALUES (0), (22), (35), (222), (300), (301), (302), (303), (330), (331), (332), (333)) f(feature)""",
     ),
 )
 def _(spark, sf):
-    pixels = M.traces(spark, sf).agg(F.count(F.lit(1))).scalar()
-    return C.available_features(spark).withColumn("pixels", pixels)
+    """Every feature known by number, over all pixels in one pass: how many have a value."""
+    numbers = [r.feature for r in C.available_features(spark).collect()]
+    values = C.apply_features(with_context(spark, sf), numbers, context()).filter("part = 0")
+    counted = values.groupBy(F.col("feature").cast("int").alias("feature"))
+    return counted.agg(F.count(F.lit(1)).alias("pixels"), F.count("value").alias("defined"))
 
 
 @query(
