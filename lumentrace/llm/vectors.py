@@ -1,11 +1,11 @@
 """Near duplicates among embeddings, through a robust-pruned flat graph.
 
 Equal vectors of a label are one node with a weight. The nodes of a label are spread over overlapping cluster shards:
-each goes to its nearest centres and to those nearly as near. In every shard, nodes are tied to near ones by robust pruning, which keeps a
+each goes to its nearest centres. In every shard, nodes are tied to near ones by robust pruning, which keeps a
 neighbour only if none kept before is much closer to it; the lists of a node from all its shards are united. Every
 node is then searched for in each of its shards: best first from the medoid, then on through all nodes within
 range. What is within range is verified in double precision. An audit compares a bounded sample of nodes with all
-nodes; while it misses links, the margin grows and the graph is built again.
+nodes; while it misses links, nodes also go to centres nearly as near, by a growing margin, and the graph is built again.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ RANGE = 0.93
 SHARD, PART = 700, 1024
 #: Centres of all labels together at most (they are broadcast), and nodes of a label that they are chosen from.
 CENTRES, CENTRE_SAMPLE = 2048, 8
-#: A node goes to its nearest centres, this many, and to all whose cosine is less than a margin below the nearest one's (at first this one).
-OVERLAP, MARGIN = 2, 0.12
+#: Centres a node goes to, the nearest ones; after an audit that failed also all whose cosine is less than a margin below the nearest one's.
+OVERLAP, MARGIN = 3, 0.25
 #: Neighbours of a node in a shard, candidates they are chosen from, and how much closer (in angle) one must be to prune.
 DEGREE, POOL, SLACK = 16, 48, 1.2
 #: Steps of the best-first search before it only goes on within range.
@@ -324,9 +324,9 @@ def audited(nodes: DataFrame, links: DataFrame, least: float = RANGE, sample: in
 def linked_nodes(nodes: DataFrame, least: float = RANGE) -> DataFrame:
     """node, n and root rows as in :func:`found_links`, of a graph whose audit passed (a written table).
 
-    The margin doubles until the audit passes or every node is in every shard of its label.
+    There is no margin at first; it grows until the audit passes or every node is in every shard of its label.
     """
-    centres, margin = centres_of(nodes), MARGIN
+    centres, margin = centres_of(nodes), 0.0
     while True:
         members = written(memberships(nodes, centres, margin), "members")
         tasks = tasks_of(members)
@@ -337,7 +337,7 @@ def linked_nodes(nodes: DataFrame, least: float = RANGE) -> DataFrame:
         if not centres or margin >= 2 or audited(nodes, links, least) >= LEAST_RECALL:
             return links
         released(links)
-        margin *= 2
+        margin = max(MARGIN, 2 * margin)
 
 
 def vector_components(embeddings: DataFrame, least: float = RANGE) -> DataFrame:
