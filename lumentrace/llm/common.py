@@ -72,4 +72,4 @@ def join_facts(big: DataFrame, facts: DataFrame, rows: int, keys: Sequence[str],
     """Join one-row-per-key facts: broadcast up to BROADCAST_ROWS counted rows, else by salted keys."""
     if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(facts), list(keys), how)
-    return join_per_key(big, facts, keys, how)
+    return join_per_key(big, facts, keys, how, estimated=True)

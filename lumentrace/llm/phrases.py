@@ -345,8 +345,8 @@ def scored(found: DataFrame, sums: DataFrame) -> DataFrame:
         F.array_join(F.slice("w", F.col("cut") + 1, F.size("w")), " ").alias("tail"),
     )
     for part, count in (("head", "l"), ("tail", "r")):
-        cuts = join_per_key(cuts, parts.withColumnsRenamed({"part": part, "f": count}), ["lang", part], spread=["phrase", "cut"])
-    cuts = join_per_key(cuts, sums, ["lang"], spread=["phrase", "cut"])
+        cuts = join_per_key(cuts, parts.withColumnsRenamed({"part": part, "f": count}), ["lang", part], spread=["phrase", "cut"], estimated=True)
+    cuts = join_per_key(cuts, sums, ["lang"], spread=["phrase", "cut"], estimated=True)
     whole = (F.lit(1000).cast("decimal(4,0)") * (_exact("a") * _exact("n")).cast("decimal(34,0)")).cast("decimal(38,0)")
     cuts = cuts.withColumns({"over": whole, "under": (_exact("l") * _exact("r")).cast("decimal(38,0)")})
     cuts = cuts.withColumn("score", F.expr("over div under"))

@@ -132,7 +132,7 @@ def tasks_of(members: DataFrame) -> DataFrame:
     """
     spread = members.select("*", F.explode("shards").alias("shard"))
     sizes = spread.groupBy("label", "shard").count().select("label", "shard", F.ceil(F.col("count") / PART).alias("parts"))
-    held = join_per_key(spread, sizes.filter("parts > 1"), ["label", "shard"], "left", spread=["node"])
+    held = join_per_key(spread, sizes.filter("parts > 1"), ["label", "shard"], "left", spread=["node"], estimated=True)
     part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1), lambda p: F.struct(
         F.least(p, F.col("part")).alias("a"), F.greatest(p, F.col("part")).alias("b"), F.sign(F.col("part") - p).cast("int").alias("side")))

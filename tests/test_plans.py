@@ -192,3 +192,14 @@ def test_bucketed_movies_are_not_shuffled(spark, traces, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         for n in names:
             spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
+def test_no_side_of_a_salted_join_is_broadcast_by_its_estimate(spark, tmp_path):
+    """A small file says little about the rows it becomes, such as copies per salt."""
+    spark.range(500).selectExpr("id AS key", "'x' AS text").write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    big = facts.select("key", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("t"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = join_per_key(big, facts, ["key"], how)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == (0 if how == "left_anti" else 10_000)

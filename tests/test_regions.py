@@ -238,3 +238,14 @@ def test_region_files_of_three_levels(spark):
     assert I.chosen_files(more, files, ["label", "animal"], missing="skip").count() == 4
     with pytest.raises(Exception, match="no region file for recording 5"):
         I.chosen_files(more, files, ["label", "animal"]).collect()
+
+
+@pytest.mark.parametrize("number", [0, 3])
+def test_region_pixels_are_never_broadcast(spark, tmp_path, number):
+    """Shapes are few and their pixels many; the driver holds neither those nor copies of region sizes."""
+    fields = "concat('r', id) AS roi", "'circle' AS kind", "CAST(id % 50 AS INT) AS cx", "CAST(id % 40 AS INT) AS cy", "7D AS d"
+    spark.range(60).selectExpr(*fields, "CAST(NULL AS ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>) AS vertices").write.parquet(str(tmp_path / "s"))
+    out = I.roi_pixels(Params(roi_source=number), spark.read.parquet(str(tmp_path / "s")), 50, 40)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    sums = out.groupBy("roi").agg(F.sum("w").alias("w")).collect()
+    assert len(sums) == 60 and all(abs(r.w - 1) < 1e-9 for r in sums)
