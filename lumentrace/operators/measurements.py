@@ -12,7 +12,7 @@ from lumentrace.functions import arrays as A
 from lumentrace.functions import text as X
 from lumentrace.model import defaults, meta_def, meta_rows
 from lumentrace.plans.ranking import indexed, rank_picks
-from lumentrace.plans.skew import join_per_key
+from lumentrace.plans.skew import facts_in_use, join_per_key
 
 # Columns of each vocabulary in the metadata definition.
 VOCABULARIES = {"list": 0, "settings": 3, "recording": 4}
@@ -374,7 +374,7 @@ def unique_labels(df: DataFrame, label: str = "label", order: str = "measu") ->
 
 def loaded(df: DataFrame, traces: DataFrame) -> DataFrame:
     """Metadata with the pixels of each recording."""
-    return join_per_key(traces, df, ["measu"], spread=["x", "y"])
+    return join_per_key(traces, facts_in_use(df, traces, ["measu"]), ["measu"], spread=["x", "y"])
 
 
 def latest_matching(listing: DataFrame, pattern: str, groups: Sequence[str] = ()) -> DataFrame:

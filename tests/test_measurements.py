@@ -139,3 +139,11 @@ def test_every_name_in_every_vocabulary(spark):
             names = [(r[places[source]], r[places[target]]) for r in rows if r[places[source]] and r[places[target]]]
             df = spark.createDataFrame([tuple(range(len(names)))], [a for a, _ in names])
             assert L.renamed(df, source, target).columns == [b for _, b in names]
+
+
+def test_loaded_copies_only_facts_of_loaded_recordings(spark, traces):
+    meta = spark.range(1000).selectExpr("id AS measu", "concat('l', id) AS label")
+    out = L.loaded(meta, traces)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "LeftSemi" in plan
+    assert {(r.measu, r.label, r["count"]) for r in out.groupBy("measu", "label").count().collect()} == {(0, "l0", 30), (1, "l1", 30)}
