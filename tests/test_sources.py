@@ -141,3 +141,12 @@ def test_setups():
     assert LS.setup_source(4) == ("pst", 2)
     with pytest.raises(NotImplementedError):
         LS.setup_source(99)
+
+
+def test_export_copies_only_facts_of_exported_recordings(spark, traces):
+    meta = spark.range(1000).selectExpr("id AS measu", "concat('a', id) AS animal", "'l' AS label")
+    overview = traces.select("measu", "x", "y", F.lit(1.0).alias("value"))
+    rows = EX.processed_rows(meta, overview, traces, 5)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "LeftSemi" in plan
+    assert rows.groupBy("animal").count().orderBy("animal").collect() == [("a0", 30), ("a1", 30)]
