@@ -321,11 +321,15 @@ def zero_based(
     return df.withColumns({**changes, "comment": F.concat("comment", F.lit(note))})
 
 
-def candidate_paths(path: Column, tag: Column, extension: str, root: str) -> Column:
-    """The eleven places where a data file may lie, best first."""
+def _short(tag: Column) -> Column:
+    return F.regexp_replace(tag, "_?[^_]*$", "")
+
+
+def candidate_paths(path: Column, tag: Column, extension: Column | str, root: str, short: Column | None = None) -> Column:
+    """The eleven places where a data file may lie, best first. ``short``: the tag without its last part, where it is known."""
     root = root.rstrip("/")
     ext = F.lit(extension)
-    short = F.regexp_replace(tag, "_?[^_]*$", "")
+    short = _short(tag) if short is None else short
 
     def under(*parts: Column) -> Column:
         return F.concat_ws("/", F.lit(root), *parts)
@@ -346,16 +350,38 @@ def candidate_paths(path: Column, tag: Column, extension: str, root: str) -> Col
     )
 
 
+def _tried(path: Column, tag: Column, extensions: Sequence[str], root: str, short: Column | None = None) -> Column:
+    """Candidates of all extensions in order; one lambda, so the code of a plan does not grow with them."""
+    return F.flatten(F.transform(F.array(*[F.lit(e) for e in extensions]), lambda e: candidate_paths(path, tag, e, root, short)))
+
+
+def _place(path: Column, extensions: Sequence[str]) -> Column:
+    """A hash of a path without the extensions of its parts: most candidates of a recording share it with others."""
+    bare = F.concat(path, F.lit("/"))
+    for e in extensions:
+        bare = F.replace(bare, F.lit(f"{e}/"), F.lit("/"))
+    return F.xxhash64(bare)
+
+
 def first_existing(df: DataFrame, listing: DataFrame, key: str, extensions: Sequence[str], root: str) -> DataFrame:
     """First candidate that exists, per recording. ``listing(path)``.
 
-    The best candidate is a map-side minimum of (priority, path), so no row is sorted.
+    Candidates do not travel: a recording goes once to each place (:func:`_place`) that its candidates have, five at most as a
+    rule, whatever the number of extensions; there every listed path is looked up among the candidates themselves. The best one
+    is a map-side minimum of (priority, path). Sizes of unrolled rows can't be estimated, so all joins are merged.
     """
-    tried = F.concat(*[candidate_paths(X.slashes("dbb1"), F.col("animal"), e, root) for e in extensions])
-    candidates = A.unrolled(df, key, trace=tried, names=("prio", "path"))
-    hits = candidates.join(listing.select("path").distinct(), "path", "left_semi")
-    best = hits.groupBy(key).agg(F.min(F.struct("prio", "path")).alias("b"))
-    return df.join(best.select(key, F.col("b.path").alias("existing_path")), key, "left")
+    path, tag = F.col("__path"), F.col("__tag")
+    tried = _tried(path, tag, extensions, root, F.col("__short"))
+    places = F.array_distinct(F.transform(tried, lambda p: _place(p, extensions)))
+    named = df.select(key, X.slashes("dbb1").alias("__path"), F.col("animal").alias("__tag")).withColumn("__short", _short(tag))
+    asked = named.select(key, path, tag, F.explode_outer(places).alias("__at"))  # the inner form computes the array twice
+    files = listing.filter("path IS NOT NULL").select("path").distinct().select("path", _place(F.col("path"), extensions).alias("__at"))
+    near = asked.join(files.hint("merge"), "__at").withColumn("__short", _short(tag))
+    none = 11 * len(extensions)
+    prio = F.pmod(F.array_position(tried, F.col("path")) - 1, F.lit(none + 1))  # none where the path is no candidate
+    best = near.select(key, F.struct(prio.alias("prio"), "path").alias("b")).groupBy(key).agg(F.min("b").alias("b"))
+    found = best.filter(F.col("b.prio") < none).select(key, F.col("b.path").alias("existing_path"))
+    return df.join(found.hint("merge"), key, "left")
 
 
 def measurement_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -147,3 +147,35 @@ def test_loaded_copies_only_facts_of_loaded_recordings(spark, traces):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "LeftSemi" in plan
     assert {(r.measu, r.label, r["count"]) for r in out.groupBy("measu", "label").count().collect()} == {(0, "l0", 30), (1, "l1", 30)}
+
+
+def test_first_existing_of_odd_rows_equals_a_look_at_every_candidate(spark):
+    tags, names = ["a_1", "a", "", None, "b.pst", "x/y"], ["f", "d\\f", "f.tif", "f.pst.tif", "", None, "a/f.pst"]
+    rows = [(i % 35 if i % 11 else None, t, n) for i, (t, n) in enumerate((t, n) for t in tags for n in names)]
+    df = spark.createDataFrame(rows, "measu long, animal string, dbb1 string")
+    endings = [".pst", ".tif"]
+    every = F.concat(*[L.candidate_paths(F.replace("dbb1", F.lit("\\"), F.lit("/")), F.col("animal"), e, "/r") for e in endings])
+    tried = [(r.measu, r.animal, r.dbb1, r.c) for r in df.select("*", every.alias("c")).collect()]
+    listed = sorted({c for *_, some in tried for c in some})[::3] + ["/elsewhere", "/elsewhere", None]
+    listing = spark.createDataFrame([(p,) for p in listed], "path string")
+    best = {}
+    for measu, _, _, some in tried:
+        hits = [(i, c) for i, c in enumerate(some) if c in listed]
+        best[measu] = min([*hits, *([best[measu]] if measu in best else [])], default=(99, None))
+    got = L.first_existing(df, listing, "measu", endings, "/r")
+    assert got.columns == ["measu", "animal", "dbb1", "existing_path"]
+    want = [(m, t, n, best[m][1] if m is not None else None) for m, t, n, _ in tried]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert len({w[3] for w in want}) > 10
+
+
+def test_first_existing_sends_places_not_candidates(spark):
+    df = spark.range(40).selectExpr("id AS measu", "concat('a', id, '_x') AS animal", "concat('f', id) AS dbb1")
+    listing = df.selectExpr("concat('/r/', animal, '/', dbb1, '.tif') AS path")
+    out = L.first_existing(df, listing, "measu", [".pst", ".tif", ".lsm"], "/r")
+    assert out.filter("existing_path IS NULL").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "posexplode" not in plan
+    tried = L._tried(F.col("dbb1"), F.col("animal"), [".pst", ".tif", ".lsm"], "/r")
+    places = df.select(F.size(F.array_distinct(F.transform(tried, lambda p: L._place(p, [".pst", ".tif", ".lsm"])))).alias("n"), F.size(tried).alias("m"))
+    assert {tuple(r) for r in places.collect()} == {(5, 33)}
