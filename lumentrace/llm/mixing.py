@@ -149,16 +149,21 @@ def slots_of(spark: SparkSession, entries: list[dict], seed: int = 0) -> DataFra
         .join(F.broadcast(table), "sid")
     )
 
-    def index(sid: pd.Series, slot: pd.Series, blocks: pd.Series) -> pd.Series:
-        n, g = blocks.to_numpy(), slot.to_numpy()
-        with np.errstate(over="ignore"):
-            key = (sid.to_numpy().astype(np.uint64) * np.uint64(1_000_003) + (g // n).astype(np.uint64)) * np.uint64(
-                0xD1342543DE82EF95
-            ) + np.uint64(seed)
-        return pd.Series(permuted(g % n, n, key))
-
-    block = F.pandas_udf(index, "long")
-    return slots.select("shard", "sid", "slot", block("sid", "slot", "blocks").alias("block"))
+    # a map and not a function in a column: a join by the block would ask such a function twice, once to drop nulls, and
+    # each task would hold two Python workers
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sid, g, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "slot", "blocks"))
+            with np.errstate(over="ignore"):
+                key = (sid.astype(np.uint64) * np.uint64(1_000_003) + (g // n).astype(np.uint64)) * np.uint64(
+                    0xD1342543DE82EF95
+                ) + np.uint64(seed)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("shard", "sid", "slot")), pa.array(permuted(g % n, n, key), pa.int64())],
+                names=["shard", "sid", "slot", "block"],
+            )
+
+    return slots.select("shard", "sid", "slot", "blocks").mapInArrow(index, "shard long, sid int, slot long, block long")
 
 
 def laid_out(rows: DataFrame, table: DataFrame, sources: int) -> DataFrame:

@@ -91,6 +91,28 @@ def test_draws_meet_slots(spark):
     assert max(per_shard.values()) <= M.SHARD_SLOTS and len(per_shard) >= 4
 
 
+def python_steps(df):
+    """The most Python steps that one task of a plan runs: each is a worker of its own."""
+    above, most = [], 0
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        step = line.lstrip(" :+-*").lstrip("()0123456789 ")
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < depth]
+        if "Exchange" in step.split()[0]:
+            above.append((depth, None))
+        elif step.startswith(("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas")):
+            above.append((depth, step))
+            names = [x[1] for x in above]
+            last = max((i for i, x in enumerate(names) if x is None), default=-1)
+            most = max(most, len(names) - last - 1)
+    return most
+
+
+def test_a_task_holds_one_python_worker(documents):
+    assert python_steps(M.mixed(documents)) == 1
+    assert python_steps(M.taken(documents)) == 1
+
+
 def test_mixed_is_what_taken_counts(documents):
     words = Counter()
     for r in M.mixed(documents).collect():
