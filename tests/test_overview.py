@@ -112,6 +112,23 @@ def test_three_digit_texts(spark):
     assert [r.t for r in rows.orderBy("i").collect()] == [f"{v:.3g}" for v in values]
 
 
+def test_three_digit_texts_round_the_exact_value(spark):
+    values = [12350.0, 12450.0, 7765.0, 1545.0, 100.5, 1.005, 1.125, -2.345e30, 9.995e-5, 999.5, 1e23, 5e-324, 1.7e308, -0.0, float("nan"), float("inf"), float("-inf")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i INT, v DOUBLE").select("i", O.three_digits(F.col("v")).alias("t"))
+    assert [r.t for r in rows.orderBy("i").collect()] == [*(f"{v:.3g}" for v in values), None]
+
+
+def test_every_price_has_a_text(spark, tmp_path):
+    from lumentrace.catalog import load
+
+    prices = [901.82, 999.49, 999.5, 1000.0, 12350.0, 12450.0, 68423.46, 104997.88, None]
+    schema = "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_extendedprice DOUBLE, l_quantity DOUBLE"
+    spark.createDataFrame([(i, 1, i, p, 3.0 * i) for i, p in enumerate(prices)], schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = load()[0]["o22_three_digits"](spark, str(tmp_path)).orderBy("l_orderkey").collect()
+    assert [r.text for r in rows] == [None if p is None else f"{p:.3g}" for p in prices]
+    assert [r.ratio_text for r in rows] == [f"{3.0 * i / 7:.3g}" for i in range(len(prices))]
+
+
 def test_tapestry_rows_inherit(spark):
     rows = spark.createDataFrame(
         [(0, "row1", "A", [1, 2, 3, 4], {"feature": "22"}), (1, "row2", None, [5, 6, 7, 8, 9], None), (2, "row3", None, None, {"x": "1"})],
