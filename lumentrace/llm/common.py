@@ -68,8 +68,11 @@ def released(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def join_facts(big: DataFrame, facts: DataFrame, rows: int, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join one-row-per-key facts: broadcast up to BROADCAST_ROWS counted rows, else by salted keys."""
+def join_facts(big: DataFrame, facts: DataFrame, rows: int, keys: Sequence[str], how: str = "left", estimated: bool = True) -> DataFrame:
+    """Join one-row-per-key facts: broadcast up to BROADCAST_ROWS counted rows, else by salted keys.
+
+    ``estimated=False`` merges them there, as Catalyst's estimate of a packed table would let its copies per salt be broadcast.
+    """
     if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(facts), list(keys), how)
-    return join_per_key(big, facts, keys, how, estimated=True)
+    return join_per_key(big, facts, keys, how, estimated=estimated)

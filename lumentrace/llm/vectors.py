@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +84,13 @@ def centres_of(nodes: DataFrame) -> dict[str, np.ndarray]:
     # of evenly spread hashes, those below twice the share hold the k smallest
     order = F.xxhash64("node")
     near = (order.cast("double") + 2.0**63) / 2.0**64 <= F.greatest(2 * F.col("share"), F.col("share") + 1e-6)
-    sample = nodes.join(F.broadcast(asked), "label").filter(near).select("label", "k", order.alias("h"), "vec")
-    found: dict[str, list] = {label: [] for label in wanted}
-    for row in sample.collect():  # at most 2 * CENTRES * CENTRE_SAMPLE short vectors
-        found[row.label].append((row.h, row.vec))
+    sample = nodes.join(F.broadcast(asked), "label").filter(near).select("label", order.alias("h"), "vec")
+    found = sample.toArrow()  # at most 2 * CENTRES * CENTRE_SAMPLE vectors, which stay flat arrays
     out = {}
     for label, n in wanted.items():
-        held_vectors = np.array([v for _, v in sorted(found[label], key=lambda x: x[0])[: n * CENTRE_SAMPLE]])
-        held_vectors /= np.linalg.norm(held_vectors, axis=1, keepdims=True)
+        mine = found.filter(pc.equal(found["label"], label))
+        smallest = np.argsort(mine["h"].to_numpy(), kind="stable")[: n * CENTRE_SAMPLE]
+        held_vectors = _matrix(mine["vec"].combine_chunks().take(pa.array(smallest)))
         first = held_vectors[:n]
         at = np.argmax(held_vectors @ first.T, 1)
         moved = np.array([held_vectors[at == i].sum(0) for i in range(len(first))])
@@ -355,9 +355,12 @@ def vector_components(embeddings: DataFrame, least: float = RANGE) -> DataFrame:
     links = linked_nodes(nodes, least)
     roots = components(links.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
-    named = nodes.select("node", "weight", "first").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # tables with a row for each node are merged: their packed size says little of what a broadcast takes
+    counted = nodes.select("node", "weight", "first").join(counts.hint("merge"), "node", "left")
+    named = counted.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    facts = written(named.join(smallest, "root").select("node", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "facts")
-    out = join_facts(rows.select("vec_id", "node"), facts, facts.count(), ["node"])
+    facts = written(
+        named.join(smallest.hint("merge"), "root").select("node", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "facts")
+    out = join_facts(rows.select("vec_id", "node"), facts, facts.count(), ["node"], estimated=False)
     component = F.when(F.isnull("node"), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

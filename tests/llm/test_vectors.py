@@ -2,8 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumentrace.llm import vectors
+from lumentrace.llm import common, vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, n long, task int"
 
@@ -101,3 +102,41 @@ def test_audit_sees_missing_links(spark):
     less = links.withColumn("n", (links.n / 2).cast("long"))
     assert 0.4 < vectors.audited(nodes, less) < 0.6
     nodes.unpersist()
+
+
+def test_tables_of_many_nodes_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    plans = {}
+
+    def planned(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(vectors, "written", lambda df, name: common.written(planned(df, name), name))
+    v = near_copies(np.random.default_rng(9), 90, 8, 20, 0.1)
+    v[40:60] = v[3]
+    rows = [(i, x.tolist(), i % 2) for i, x in enumerate(v)]
+    df = spark.createDataFrame([(*r, "", 1, 2) for r in rows], SCHEMA)
+    out = planned(vectors.vector_components(df), "out")
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(rows, vectors.RANGE)
+    assert "SortMergeJoin" in plans["facts"] and "SortMergeJoin" in plans["out"]
+    assert "Broadcast" not in plans["facts"] + plans["out"]
+
+
+def test_centres_are_means_around_the_nodes_with_the_smallest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 30)
+    v = near_copies(np.random.default_rng(10), 300, 8, 12, 0.2)
+    df = spark.createDataFrame([(i, x.tolist(), i % 2, "", 1, 2) for i, x in enumerate(v)], SCHEMA).repartition(3)
+    nodes = vectors.nodes_of(vectors.rows_of(df))
+    held = nodes.withColumn("h", F.xxhash64("node")).orderBy("h").collect()
+    found = vectors.centres_of(nodes)
+    assert sorted(found) == ["8:0", "8:1"]
+    for label, centres in found.items():
+        unit = np.array([r.vec for r in held if r.label == label])
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        n = len(centres)
+        assert n == -(-vectors.OVERLAP * len(unit) // 30)
+        unit = unit[: n * vectors.CENTRE_SAMPLE]
+        at = np.argmax(unit @ unit[:n].T, 1)
+        want = np.array([unit[at == i].sum(0) for i in range(n)])
+        assert np.allclose(centres, want / np.linalg.norm(want, axis=1, keepdims=True))
