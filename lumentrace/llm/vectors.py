@@ -357,10 +357,11 @@ def vector_components(embeddings: DataFrame, least: float = RANGE) -> DataFrame:
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
     # tables with a row for each node are merged: their packed size says little of what a broadcast takes
     counted = nodes.select("node", "weight", "first").join(counts.hint("merge"), "node", "left")
-    named = counted.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    facts = written(
-        named.join(smallest.hint("merge"), "root").select("node", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "facts")
+    named = counted.join(roots.hint("merge"), "node", "left")
+    smallest = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("component_id"))
+    placed = join_per_key(named.withColumn("root", F.coalesce("root", "node")), smallest, ["root"], "left", spread=["node"])  # a root may have most nodes
+    n_links = F.col("weight") - 1 + F.coalesce("n", F.lit(0))
+    facts = written(placed.select("node", n_links.alias("n_links"), F.coalesce("component_id", "first").alias("component_id")), "facts")
     out = join_facts(rows.select("vec_id", "node"), facts, facts.count(), ["node"], estimated=False)
     component = F.when(F.isnull("node"), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
